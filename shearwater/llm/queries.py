@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import packing, secrets
+from . import ngram_join, packing, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
         secrets.op2_secret_scans,
+        ngram_join.op8_ngram_jaccard_join,
         packing.op9_best_fit_packing,
     )
 }
