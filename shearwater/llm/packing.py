@@ -25,7 +25,7 @@ from . import common, kernels
 
 CAPACITY = 2048
 #: Distinct units whose ids a worker keeps; beyond it the cache starts anew.
-CACHE_UNITS = 600_000
+CACHE_UNITS = 1_000_000
 PIECE_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -60,46 +60,76 @@ class UnitEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
+        # a byte-level vocabulary writes each byte as one character
+        vocab = self.tokenizer.get_vocab()
+        self.width = np.zeros(max(vocab.values()) + 1, np.int64)
+        for piece, i in vocab.items():
+            self.width[i] = len(piece)
         self.clear()
 
     def clear(self) -> None:
-        self.slot: dict[int, int] = {}
+        self.known, self.slot = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # sorted hashes of units, and their slots
         self.pool, self.used = np.zeros(1 << 16, np.uint32), 1
         self.begin, self.size, self.slots = np.zeros(1 << 12, np.int64), np.ones(1 << 12, np.int64), 1  # slot 0: the id 0
 
-    def add(self, hashes: list[int], units: list[str]) -> None:
-        encode = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
-        ids = [e.ids for e in encode(units, add_special_tokens=False)]
-        lens = np.fromiter(map(len, ids), np.int64, len(ids))
-        flat = np.fromiter((x for i in ids for x in i), np.uint32, int(lens.sum()))
+    def add(self, hashes: np.ndarray, spans: list[tuple[int, int]], inner: np.ndarray, raw: bytes) -> None:
+        """Encode new units.  Inner units (neither first nor last of a text) begin where a word must begin and end
+        where one must end, so many of them are encoded as one text and its ids are dealt out by their byte lengths."""
+        done = []
+        for lone in (False, True):
+            mine = np.flatnonzero(inner != lone).tolist()
+            for g in range(0, len(mine), 4096):
+                part = mine[g : g + 4096]
+                units = [raw[spans[i][0] : spans[i][1]] for i in part]
+                if lone:
+                    each = [e.ids for e in self.batch([u.decode("utf-8", "replace") for u in units], add_special_tokens=False)]
+                    lens = np.fromiter(map(len, each), np.int64, len(each))
+                    flat = np.array([x for i in each for x in i], np.uint32)
+                else:
+                    flat = np.array(self.batch([b"".join(units).decode("utf-8", "replace")], add_special_tokens=False)[0].ids, np.int64)
+                    ends = np.cumsum(np.fromiter(map(len, units), np.int64, len(units)))
+                    upto = np.searchsorted(np.cumsum(self.width[flat]), ends) + 1
+                    lens = np.diff(np.concatenate([[0], upto]))
+                done.append((hashes[part], flat, lens))
+        if done:
+            self.keep(*map(np.concatenate, zip(*done)))
+
+    def keep(self, hashes: np.ndarray, flat: np.ndarray, lens: np.ndarray) -> None:
         while self.used + len(flat) > len(self.pool):
             self.pool = np.concatenate([self.pool, np.zeros_like(self.pool)])
-        while self.slots + len(ids) > len(self.size):
+        while self.slots + len(lens) > len(self.size):
             self.begin, self.size = (np.concatenate([x, np.zeros_like(x)]) for x in (self.begin, self.size))
         self.pool[self.used : self.used + len(flat)] = flat
-        self.begin[self.slots : self.slots + len(ids)] = self.used + np.cumsum(lens) - lens
-        self.size[self.slots : self.slots + len(ids)] = lens
-        self.slot.update(zip(hashes, range(self.slots, self.slots + len(ids))))
+        self.begin[self.slots : self.slots + len(lens)] = self.used + np.cumsum(lens) - lens
+        self.size[self.slots : self.slots + len(lens)] = lens
+        order = np.argsort(hashes)
+        at = np.searchsorted(self.known, hashes[order])
+        self.known = np.insert(self.known, at, hashes[order])
+        self.slot = np.insert(self.slot, at, self.slots + order)
         self.used += len(flat)
-        self.slots += len(ids)
+        self.slots += len(lens)
 
     def encode(self, buf: np.ndarray, offsets: np.ndarray, end_id: bool = True) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts end to end, offsets of the texts); each text is followed by id 0 if asked for."""
         starts = unit_starts(buf, offsets)
         ends = np.append(starts[1:], offsets[-1]) if len(starts) else starts
         hashes, back = np.unique(kernels.hash_spans(buf, starts, ends), return_inverse=True)
-        if len(self.slot) + len(hashes) > CACHE_UNITS:
+        if len(self.known) + len(hashes) > CACHE_UNITS:
             self.clear()
-        keys = hashes.tolist()
-        missing = [i for i, h in enumerate(keys) if h not in self.slot]
-        if missing:
-            where = np.empty(len(keys), np.int64)
-            where[back] = np.arange(len(back))
-            at = where[missing]
-            raw = buf.tobytes()
-            self.add([keys[i] for i in missing], [raw[a:b].decode("utf-8", "replace") for a, b in zip(starts[at].tolist(), ends[at].tolist())])
-        slots = np.fromiter((self.slot[h] for h in keys), np.int64, len(keys))[back]
         first = np.searchsorted(starts, offsets)
+        at = np.searchsorted(self.known, hashes)
+        missing = np.flatnonzero(np.append(self.known, 0)[at] != hashes if len(self.known) else np.ones(len(hashes), bool))
+        if len(missing):
+            where = np.empty(len(hashes), np.int64)
+            where[back] = np.arange(len(back))
+            new = where[missing]
+            inner = np.ones(len(starts), bool)
+            filled = first[:-1] < first[1:]
+            inner[first[:-1][filled]] = inner[first[1:][filled] - 1] = False
+            self.add(hashes[missing], list(zip(starts[new].tolist(), ends[new].tolist())), inner[new], buf.tobytes())
+            at = np.searchsorted(self.known, hashes)
+        slots = self.slot[at][back]
         if end_id:
             slots = np.insert(slots, first[1:], 0)
             first = first + np.arange(len(first))
