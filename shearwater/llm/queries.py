@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import ngram_join, packing, secrets
+from . import line_dedup, ngram_join, packing, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
+        line_dedup.op1_line_dedup,
         secrets.op2_secret_scans,
         ngram_join.op8_ngram_jaccard_join,
         packing.op9_best_fit_packing,
