@@ -51,7 +51,7 @@ def counted(docs: DataFrame, rows: Callable[[pa.RecordBatch, np.ndarray], pa.Rec
             yield pa.RecordBatch.from_arrays([*out.columns, *nulls], [*names, "block", "data"])
         if types is not None:
             at = [b for b in range(0, width, step) if counts[b : b + step].any()]
-            data = [pa.array([b // step for b in at], pa.int32()), pa.array([counts[b : b + step].tobytes() for b in at], pa.binary())]
+            data = [pa.array([b // step for b in at], pa.int32()), pa.array([counts[b : b + step].astype(np.uint32).tobytes() for b in at], pa.binary())]
             yield pa.RecordBatch.from_arrays([*(pa.nulls(len(at), t) for t in types), *data], [*names, "block", "data"])
 
     both = common.table(docs.mapInArrow(run, f"{shape}, block int, data binary"), name)
@@ -60,7 +60,7 @@ def counted(docs: DataFrame, rows: Callable[[pa.RecordBatch, np.ndarray], pa.Rec
         total = np.zeros(step, np.int64)
         for batch in batches:
             for raw in batch.column("data"):
-                part = np.frombuffer(raw.as_py(), np.int64)
+                part = np.frombuffer(raw.as_py(), np.uint32)
                 total[: len(part)] += part
         yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["block", "data"])
 
