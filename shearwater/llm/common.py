@@ -124,10 +124,22 @@ def in_bloom(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return ok
 
 
-def sorted_groups(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[dict[str, np.ndarray]]:
+def gathered(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at least ``rows`` rows."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.num_rows for b in held) >= rows:
+            yield pa.concat_batches(held)
+            held = []
+    if held:
+        yield pa.concat_batches(held)
+
+
+def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_000) -> Iterator[dict[str, np.ndarray]]:
     """Whole groups from rows sorted by ``key``: each yield is a run of complete groups, singletons included."""
     held: list[dict[str, np.ndarray]] = []
-    for batch in batches:
+    for batch in gathered(batches, rows):
         if batch.num_rows == 0:
             continue
         cols = {n: batch.column(n).to_numpy(zero_copy_only=False) for n in batch.schema.names}

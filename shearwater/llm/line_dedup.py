@@ -21,8 +21,8 @@ from . import common, kernels, setjoin
 
 WIDTH = 1 << 20
 #: Groups up to this size are compared pair by pair in bulk, larger ones row by row.
-SMALL = 24
-#: In a large group a line with more candidates than this first tries its earliest one only.
+SMALL = 400
+#: In a group a line with more candidates than this first tries its earliest one only.
 FEW = 6
 _LOWEST = -(1 << 63)
 
@@ -87,12 +87,12 @@ def listed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return lines, common.rarity_classes(counts)
 
 
-def postings(docs: DataFrame, rarity: object) -> DataFrame:
+def postings(docs: DataFrame, rarity: object, only: object | None = None) -> DataFrame:
     """(key, cls, n, pos, sig, doc, th, line): prefix tokens of every line that its task meets for the first time.
 
     Tokens in a bucket counted once can't match and aren't indexed.  ``sig``
     has a bit flipped by each token: two sets differ in at least as many
-    tokens as their signatures differ in bits.
+    tokens as their signatures differ in bits.  ``only`` is a Bloom filter of keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,6 +114,8 @@ def postings(docs: DataFrame, rarity: object) -> DataFrame:
             sig = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
             pos = np.arange(len(keys)) - np.repeat(start, n)
             take = (pos < np.repeat(setjoin.prefix(n), n)) & (keys >> np.uint64(56) > 0)
+            if only is not None:
+                take[take] = common.in_bloom(only.value, kernels.signed(keys[take]))
             line = np.repeat(np.arange(len(lines)), n)[take]
             of = lines[line]
             cols = [
@@ -126,18 +128,22 @@ def postings(docs: DataFrame, rarity: object) -> DataFrame:
 
 
 def _bound(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Length, positional and bitmap filters: which of the pairs can still be similar."""
+    """Bitmap, length and positional filters: numbers of the pairs that can still be similar."""
     a, b = g["n"][i], g["n"][j]
-    need = setjoin.overlap(a, b)
-    ok = (np.minimum(a, b) * setjoin.DEN >= np.maximum(a, b) * setjoin.NUM) & (1 + np.minimum(a - g["pos"][i], b - g["pos"][j]) - 1 >= need)
-    flips = np.bitwise_count(g["sig"][i] ^ g["sig"][j]).astype(np.int64)
-    return ok & (flips <= a + b - 2 * need)
+    both = a + b
+    at = np.flatnonzero(np.bitwise_count(g["sig"][i] ^ g["sig"][j]) <= both // 9)  # both - 2 * overlap is at most both / 9
+    if len(at):
+        a, b, i, j = a[at], b[at], i[at], j[at]
+        need = setjoin.overlap(a, b)
+        ok = (np.minimum(a, b) * setjoin.DEN >= np.maximum(a, b) * setjoin.NUM) & (np.minimum(a - g["pos"][i], b - g["pos"][j]) >= need)
+        at = at[ok]
+    return at
 
 
 def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
     """(a, b, more): line class a and an earlier class b it may be similar to.
 
-    In a large group a line with many candidates gets its earliest and
+    In a group a line with many candidates gets its earliest and
     ``more``; with ``every``, a Bloom filter over classes, all candidates of
     those classes and nothing else.
     """
@@ -156,22 +162,21 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
             wanted = None if every is None else common.in_bloom(every.value, g["cls"])
             small = np.repeat((size > 1) & (size <= SMALL), size)
             rows = np.flatnonzero(small)
-            out = [[], [], []]
+            later, earlier = [], []
 
-            def put(i, j, more):
+            def put(i, j):
                 late = place[i] > place[j]
                 a, b = np.where(late, i, j), np.where(late, j, i)
-                if wanted is not None:
-                    keep = wanted[a]
-                    a, b, more = a[keep], b[keep], more[keep]
-                for o, c in zip(out, (g["cls"][a], g["cls"][b], more)):
-                    o.append(c)
+                keep = slice(None) if wanted is None else wanted[a]
+                later.append(a[keep])
+                earlier.append(b[keep])
 
             if len(rows):
                 for i, j in setjoin.close_pairs(size[(size > 1) & (size <= SMALL)]):
                     i, j = rows[i], rows[j]
                     ok = _bound(g, i, j)
-                    put(i[ok], j[ok], np.zeros(int(ok.sum()), bool))
+                    if len(ok):
+                        put(i[ok], j[ok])
             for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
                 order = s + np.argsort(place[s : s + m], kind="stable")
                 for k in range(1, m):
@@ -180,12 +185,18 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
                         continue
                     y = order[:k]
                     y = y[_bound(g, np.full(k, x), y)]
-                    if len(y) > FEW and wanted is None:
-                        put(np.array([x]), y[:1], np.ones(1, bool))
-                    elif len(y):
-                        put(np.full(len(y), x), y, np.zeros(len(y), bool))
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(o)) for o in out], ["a", "b", "more"])
+                    put(np.full(len(y), x), y)
+            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (later, earlier))
+            more = np.zeros(len(a), bool)
+            if every is None and len(a):
+                order = np.lexsort((place[b], a))
+                a, b = a[order], b[order]
+                first = np.concatenate([[True], a[1:] != a[:-1]])
+                many = np.bincount(a, minlength=len(place))[a] > FEW
+                keep = first | ~many
+                a, b, more = a[keep], b[keep], many[keep]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g["cls"][a], g["cls"][b], more)], ["a", "b", "more"])
 
     order = ["key", "cls", "doc", "th", "line"]
     return posts.repartition("key").sortWithinPartitions(*order).mapInArrow(run, "a long, b long, more boolean")
@@ -224,7 +235,9 @@ def similar(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     if left.limit(1).count() == 0:
         return found
     every = sc.broadcast(common.bloom(left, "cls"))
-    rest = candidates(postings(docs, rare), every).select("a", "b").distinct().join(left.withColumnRenamed("cls", "a"), "a", "left_semi")
+    asked = sets_of(docs, every, rare).join(left, "cls", "left_semi")
+    keys = sc.broadcast(common.bloom(asked.select(F.explode(F.slice("keys", F.lit(1), setjoin.prefix(F.size("keys")))).alias("key")), "key"))
+    rest = candidates(postings(docs, rare, keys), every).select("a", "b").distinct().join(left.withColumnRenamed("cls", "a"), "a", "left_semi")
     return found.union(check(common.table(rest, "rest"))).distinct()
 
 

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import common, kernels
@@ -16,12 +16,14 @@ from . import common, kernels
 NUM, DEN = 4, 5
 
 
-def at_least(n: np.ndarray | int) -> np.ndarray | int:
-    """Smallest overlap that a set of n tokens has with any set it is similar to."""
+def at_least(n):
+    """Smallest overlap that a set of n tokens has with any set it is similar to (n: number, array or column)."""
+    if isinstance(n, Column):
+        return F.ceil(NUM * n / DEN).cast("int")
     return (NUM * n + DEN - 1) // DEN
 
 
-def prefix(n: np.ndarray | int) -> np.ndarray | int:
+def prefix(n):
     """So many of the first tokens in rarity order hold one that any similar set shares."""
     return n - at_least(n) + 1
 
