@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import line_dedup, ngram_join, packing, secrets
+from . import ann, langid, line_dedup, ngram_join, packing, pieces, secrets
 
 QUERIES = {
     f.__name__: f
     for f in (
         line_dedup.op1_line_dedup,
         secrets.op2_secret_scans,
+        ann.op3_approximate_nearest_neighbours,
+        pieces.op6_sentencepiece,
+        langid.op7_language_id,
         ngram_join.op8_ngram_jaccard_join,
         packing.op9_best_fit_packing,
     )
