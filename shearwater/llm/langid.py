@@ -239,10 +239,13 @@ def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], ["lang", "doc_id", "h"])
 
+    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return least(batches)
+
     shape = "lang string, doc_id long, h long"
     learn = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
     ids = learn.select("lang", "doc_id", F.shiftright(F.xxhash64("doc_id"), 1).alias("h")).mapInArrow(least, shape)
-    ids = ids.groupBy("lang").applyInArrow(lambda key, batches: least(batches), shape).select("doc_id").distinct()
+    ids = ids.groupBy("lang").applyInArrow(merged, shape).select("doc_id").distinct()
     # per_language rows for each language at most
     rows = learn.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
     return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))]

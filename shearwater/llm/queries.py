@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, line_dedup, ngram_join, packing, pieces, secrets
+from . import ann, langid, line_dedup, merkle, ngram_join, packing, pieces, secrets
 
 QUERIES = {
     f.__name__: f
@@ -10,6 +10,7 @@ QUERIES = {
         line_dedup.op1_line_dedup,
         secrets.op2_secret_scans,
         ann.op3_approximate_nearest_neighbours,
+        merkle.op4_document_fingerprints,
         pieces.op6_sentencepiece,
         langid.op7_language_id,
         ngram_join.op8_ngram_jaccard_join,
