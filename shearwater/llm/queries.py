@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, line_dedup, merkle, ngram_join, packing, pieces, secrets
+from . import ann, langid, line_dedup, merkle, ngram_join, packing, pieces, pii, secrets
 
 QUERIES = {
     f.__name__: f
@@ -11,6 +11,7 @@ QUERIES = {
         secrets.op2_secret_scans,
         ann.op3_approximate_nearest_neighbours,
         merkle.op4_document_fingerprints,
+        pii.op5_pii,
         pieces.op6_sentencepiece,
         langid.op7_language_id,
         ngram_join.op8_ngram_jaccard_join,
