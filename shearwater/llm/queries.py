@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, langid, line_dedup, merkle, ngram_join, packing, pieces, pii, secrets
+from . import ann, langid, line_dedup, merkle, ngram_join, packing, pieces, pii, secrets, substring_dedup
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,7 @@ QUERIES = {
         langid.op7_language_id,
         ngram_join.op8_ngram_jaccard_join,
         packing.op9_best_fit_packing,
+        substring_dedup.op10_substring_dedup,
     )
 }
 
