@@ -22,8 +22,8 @@ from . import common, kernels, setjoin
 WIDTH = 1 << 20
 #: Groups up to this size are compared pair by pair in bulk, larger ones row by row.
 SMALL = 400
-#: In a group a line with more candidates than this first tries its earliest one only.
-FEW = 6
+#: In a group a line first tries this many of its candidates, the earliest; a second round takes all the others.
+FEW = 8
 _LOWEST = -(1 << 63)
 
 
@@ -191,9 +191,9 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
             if every is None and len(a):
                 order = np.lexsort((place[b], a))
                 a, b = a[order], b[order]
-                first = np.concatenate([[True], a[1:] != a[:-1]])
-                many = np.bincount(a, minlength=len(place))[a] > FEW
-                keep = first | ~many
+                start, size = setjoin.group_bounds(a)
+                keep = np.arange(len(a)) - np.repeat(start, size) < FEW
+                many = np.repeat(size > FEW, size)
                 a, b, more = a[keep], b[keep], many[keep]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g["cls"][a], g["cls"][b], more)], ["a", "b", "more"])

@@ -63,7 +63,7 @@ def test_repeats_nulls_and_empty(docs_of):
 
 
 def test_second_round_finds_what_the_first_try_missed(docs_of, monkeypatch):
-    monkeypatch.setattr(line_dedup, "FEW", 0)
+    monkeypatch.setattr(line_dedup, "FEW", 1)
     monkeypatch.setattr(line_dedup, "SMALL", 1)
     rows = corpus(7)
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(rows)).collect()} == brute(rows)
