@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from . import relational, scalars  # noqa: F401
+from . import analytics, relational, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
