@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from . import ann, langid, line_dedup, merkle, ngram_join, packing, pieces, pii, secrets, substring_dedup
+from .oracles import ORACLE_SQL
 
 QUERIES = {
     f.__name__: f
@@ -20,4 +21,4 @@ QUERIES = {
     )
 }
 
-ORACLE_SQL: dict[str, str] = {}
+__all__ = ["ORACLE_SQL", "QUERIES"]
