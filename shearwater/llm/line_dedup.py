@@ -22,8 +22,11 @@ from . import common, kernels, setjoin
 WIDTH = 1 << 20
 #: Groups up to this size are compared pair by pair in bulk, larger ones row by row.
 SMALL = 400
-#: In a group a line first tries this many of its candidates, the earliest; a second round takes all the others.
+#: In a group a line with a very likely match and many candidates first tries its likeliest ones only; a second round
+#: takes all the others of lines for which these fail.
 FEW = 8
+#: Lines of more tokens than this also have a signature of 256 bits.
+WIDE = 80
 _LOWEST = -(1 << 63)
 
 
@@ -88,11 +91,11 @@ def listed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, rarity: object, only: object | None = None) -> DataFrame:
-    """(key, cls, n, pos, sig, doc, th, line): prefix tokens of every line that its task meets for the first time.
+    """(key, cls, n, pos, sig, wide, doc, th, line): prefix tokens of every line that its task meets for the first time.
 
     Tokens in a bucket counted once can't match and aren't indexed.  ``sig``
     has a bit flipped by each token: two sets differ in at least as many
-    tokens as their signatures differ in bits.  ``only`` is a Bloom filter of keys.
+    tokens as their signatures differ in bits; long lines also have a wide one.  ``only`` is a Bloom filter of keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,6 +116,11 @@ def postings(docs: DataFrame, rarity: object, only: object | None = None) -> Dat
             start = np.cumsum(n) - n
             sig = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
             pos = np.arange(len(keys)) - np.repeat(start, n)
+            wide: list[bytes | None] = [None] * len(lines)
+            for k in np.flatnonzero(n > WIDE).tolist():
+                bit = (keys[start[k] : start[k] + n[k]] >> np.uint64(6)).astype(np.int64) & 255
+                wide[k] = np.packbits(np.bincount(bit, minlength=256).astype(np.uint8) & 1).tobytes()
+            wides = pa.array(wide, pa.binary())
             take = (pos < np.repeat(setjoin.prefix(n), n)) & (keys >> np.uint64(56) > 0)
             if only is not None:
                 take[take] = common.in_bloom(only.value, kernels.signed(keys[take]))
@@ -120,24 +128,38 @@ def postings(docs: DataFrame, rarity: object, only: object | None = None) -> Dat
             of = lines[line]
             cols = [
                 kernels.signed(keys[take]), cls[of], n[line].astype(np.int32), pos[take].astype(np.int32), kernels.signed(sig[line]),
-                doc[x.doc[of]], th[x.doc[of]], x.number[of].astype(np.int32),
+                wides.take(pa.array(line)), doc[x.doc[of]], th[x.doc[of]], x.number[of].astype(np.int32),
             ]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["key", "cls", "n", "pos", "sig", "doc", "th", "line"])
+            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["key", "cls", "n", "pos", "sig", "wide", "doc", "th", "line"])
 
-    return docs.mapInArrow(run, "key long, cls long, n int, pos int, sig long, doc long, th long, line int")
+    return docs.mapInArrow(run, "key long, cls long, n int, pos int, sig long, wide binary, doc long, th long, line int")
 
 
-def _bound(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    """Bitmap, length and positional filters: numbers of the pairs that can still be similar."""
+def _bound(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bitmap, length and positional filters: (numbers of the pairs that can still be similar, bits that differ over bits that may)."""
     a, b = g["n"][i], g["n"][j]
     both = a + b
     at = np.flatnonzero(np.bitwise_count(g["sig"][i] ^ g["sig"][j]) <= both // 9)  # both - 2 * overlap is at most both / 9
-    if len(at):
-        a, b, i, j = a[at], b[at], i[at], j[at]
-        need = setjoin.overlap(a, b)
-        ok = (np.minimum(a, b) * setjoin.DEN >= np.maximum(a, b) * setjoin.NUM) & (np.minimum(a - g["pos"][i], b - g["pos"][j]) >= need)
-        at = at[ok]
-    return at
+    if not len(at):
+        return at, np.zeros(0)
+    a, b, i, j = a[at], b[at], i[at], j[at]
+    need = setjoin.overlap(a, b)
+    ok = (np.minimum(a, b) * setjoin.DEN >= np.maximum(a, b) * setjoin.NUM) & (np.minimum(a - g["pos"][i], b - g["pos"][j]) >= need)
+    at, a, b, i, j, need = (x[ok] for x in (at, a, b, i, j, need))
+    flips = np.bitwise_count(g["sig"][i] ^ g["sig"][j]).astype(np.int64)
+    wi, wj = g["at"][i], g["at"][j]
+    two = np.flatnonzero((wi >= 0) & (wj >= 0))
+    flips[two] = np.bitwise_count(g["wide"][wi[two]] ^ g["wide"][wj[two]]).astype(np.int64).sum(1)
+    most = a + b - 2 * need
+    ok = flips <= most
+    return at[ok], flips[ok] / np.maximum(most[ok], 1)
+
+
+def _wide(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row of each wide signature or -1, signatures of four words) from a column of bytes and nulls."""
+    have = np.array([x is not None for x in column], bool)
+    at = np.where(have, np.cumsum(have) - 1, -1)
+    return at, np.frombuffer(b"".join(column[have]), np.uint64).reshape(-1, 4)
 
 
 def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
@@ -162,21 +184,23 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
             wanted = None if every is None else common.in_bloom(every.value, g["cls"])
             small = np.repeat((size > 1) & (size <= SMALL), size)
             rows = np.flatnonzero(small)
-            later, earlier = [], []
+            g["at"], g["wide"] = _wide(g["wide"])
+            later, earlier, odds = [], [], []
 
-            def put(i, j):
+            def put(i, j, part):
                 late = place[i] > place[j]
                 a, b = np.where(late, i, j), np.where(late, j, i)
                 keep = slice(None) if wanted is None else wanted[a]
                 later.append(a[keep])
                 earlier.append(b[keep])
+                odds.append(part[keep])
 
             if len(rows):
                 for i, j in setjoin.close_pairs(size[(size > 1) & (size <= SMALL)]):
                     i, j = rows[i], rows[j]
-                    ok = _bound(g, i, j)
+                    ok, part = _bound(g, i, j)
                     if len(ok):
-                        put(i[ok], j[ok])
+                        put(i[ok], j[ok], part)
             for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
                 order = s + np.argsort(place[s : s + m], kind="stable")
                 for k in range(1, m):
@@ -184,16 +208,16 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
                     if wanted is not None and not wanted[x]:
                         continue
                     y = order[:k]
-                    y = y[_bound(g, np.full(k, x), y)]
-                    put(np.full(len(y), x), y)
-            a, b = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (later, earlier))
+                    ok, part = _bound(g, np.full(k, x), y)
+                    put(np.full(len(ok), x), y[ok], part)
+            a, b, part = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (later, earlier, odds))
             more = np.zeros(len(a), bool)
             if every is None and len(a):
-                order = np.lexsort((place[b], a))
-                a, b = a[order], b[order]
+                order = np.lexsort((place[b], part, a))
+                a, b, part = a[order], b[order], part[order]
                 start, size = setjoin.group_bounds(a)
-                keep = np.arange(len(a)) - np.repeat(start, size) < FEW
-                many = np.repeat(size > FEW, size)
+                many = np.repeat((size > FEW) & (part[start] <= 0.5), size)
+                keep = ~many | (np.arange(len(a)) - np.repeat(start, size) < FEW)
                 a, b, more = a[keep], b[keep], many[keep]
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g["cls"][a], g["cls"][b], more)], ["a", "b", "more"])

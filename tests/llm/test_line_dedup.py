@@ -67,3 +67,9 @@ def test_second_round_finds_what_the_first_try_missed(docs_of, monkeypatch):
     monkeypatch.setattr(line_dedup, "SMALL", 1)
     rows = corpus(7)
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(rows)).collect()} == brute(rows)
+
+
+def test_wide_signatures(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "WIDE", 3)
+    rows = corpus(4)
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(rows)).collect()} == brute(rows)
