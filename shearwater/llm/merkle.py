@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 BUCKET = 256
 #: Hex digits kept of a leaf's and of a section's hash.
 LEAF, SECTION = 8, 16
+#: Code points of a sentence without an end after which a leaf ends.
+LONGEST = 80
 
 
 def _fold(hashes: Column) -> Column:
@@ -32,8 +34,8 @@ def paragraphs_of(text: Column) -> Column:
 
 
 def leaves_of(text: Column) -> Column:
-    """Leaf hashes in order.  Sentences end after . ! or ?; line ends are kept apart from them."""
-    return F.transform(F.split(text, r"(?<=[.!?])(?=\s)|(?<=\n)|(?=\n)", -1), lambda s: F.substring(F.hex(F.xxhash64(s)), 1, 16))
+    """Leaf hashes in order.  Sentences end after . ! or ?, or LONGEST characters on; line ends are leaves of their own."""
+    return F.transform(F.split(text, r"(?<=[.!?])(?=\s)|(?<=\n)|(?=\n)|(?<=\G.{%d})" % LONGEST, -1), lambda s: F.substring(F.hex(F.xxhash64(s)), 1, 16))
 
 
 def fingerprint(text: Column) -> Column:

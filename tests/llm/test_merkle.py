@@ -34,3 +34,11 @@ def test_edges(docs_of, spark):
     a, b = "p one.\n\nq two.\n\nr three.", "p one.\n\nq 2.\n\nr three."
     df = spark.createDataFrame([(a, b)], "a string, b string").select(merkle.fingerprint(F.col("a")).alias("a"), merkle.fingerprint(F.col("b")).alias("b"))
     assert df.select(merkle.edits(F.col("a"), F.col("b")).alias("e"), merkle.likeness(F.col("a"), F.col("b")).alias("l")).first().e == [1]
+
+
+def test_leaves_of_text_without_sentences(spark):
+    a = "word " * 200
+    b = "word " * 100 + "other " * 60
+    df = spark.createDataFrame([(a, b, "x" * 800)], "a string, b string, c string")
+    got = df.select(merkle.likeness(merkle.fingerprint(F.col("a")), merkle.fingerprint(F.col("b"))).alias("l"), F.size(merkle.leaves_of(F.col("c"))).alias("n")).first()
+    assert 0 < got.l < 1 and got.n == 10
