@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .text import blank_to_null, extract, fold_digits, number, strip
@@ -12,8 +12,8 @@ _S = r"[\s　]*"
 
 def make(y: Column, m: Column, d: Column) -> Column:
     """A date, or null where there is no such day."""
-    text = F.concat_ws("-", F.lpad(y.cast("string"), 4, "0"), F.lpad(m.cast("string"), 2, "0"), F.lpad(d.cast("string"), 2, "0"))
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), text.try_cast("date"))
+    dash = F.lit("-")
+    return F.concat(F.lpad(y.cast("string"), 4, "0"), dash, F.lpad(m.cast("string"), 2, "0"), dash, F.lpad(d.cast("string"), 2, "0")).try_cast("date")
 
 
 def yearless(m: Column, d: Column, as_of: Column) -> Column:
@@ -26,9 +26,13 @@ def _parts(c: Column, pattern: str, n: int) -> list[Column]:
     return [number(F.regexp_extract(c, pattern, i + 1)) for i in range(n)]
 
 
-def shelter_date(c: Column, as_of: Column) -> Column:
-    """The first form that fits decides; null is the reference's error."""
-    s = fold_digits(strip(c))
+def folded(c: Column) -> Column:
+    return fold_digits(strip(c))
+
+
+def shelter_date(c: Column, as_of: Column, ready: bool = False) -> Column:
+    """The first form that fits decides; null where none does.  ``ready``: the text is folded already."""
+    s = c if ready else folded(c)
     iso = "^([0-9]{4})-([0-9]{2})-([0-9]{2})$"
     era = "令和([0-9]+)年([0-9]{1,2})月([0-9]{1,2})日"
     short = r"R([0-9]+)(?:\.|[\s　]+)([0-9]{1,2})/([0-9]{1,2})"
@@ -71,26 +75,34 @@ def birth_date(s: Column) -> Column:
     return out
 
 
-def age_months(c: Column, as_of: Column) -> Column:
-    """Age in months by the first form that fits; over 360 is implausible and null."""
-    s = F.regexp_replace(fold_digits(strip(c)), "才", "歳")
-    month = "(?:ヶ|か|カ|ヵ|ケ|箇)?月"
-    year_month = f"([0-9]+)歳{_S}([0-9]+){_S}{month}"
-    years, months_, weeks = "([0-9]+)歳", f"([0-9]+){_S}(?:ヶ|か|カ|ヵ|ケ|箇)月", f"([0-9]+){_S}週齢"
-    ym, rym, yy, bare = "([0-9]{4})年([0-9]{1,2})月", "令和([0-9]+)年([0-9]{1,2})月", "([0-9]{4})年", "([0-9]+)年"
+_MONTH = "(?:ヶ|か|カ|ヵ|ケ|箇)?月"
+_YEAR_MONTH, _YEARS, _MONTHS, _WEEKS = f"([0-9]+)歳{_S}([0-9]+){_S}{_MONTH}", "([0-9]+)歳", f"([0-9]+){_S}(?:ヶ|か|カ|ヵ|ケ|箇)月", f"([0-9]+){_S}週齢"
+_YM, _ERA_YM, _YY, _BARE = "([0-9]{4})年([0-9]{1,2})月", "令和([0-9]+)年([0-9]{1,2})月", "([0-9]{4})年", "([0-9]+)年"
+
+
+def with_age(df: DataFrame, column: str, out: str, as_of: Column) -> DataFrame:
+    """Age in months by the first form that fits; over 360 is implausible and null.
+
+    In three projections, so that no expression is repeated inside another:
+    the folded text, the birth date it names, and the months.
+    """
+    s, full, born = F.col("_age"), F.col("_full"), F.col("_born")
     one = lambda p: number(F.regexp_extract(s, p, 1))
     two = lambda p: number(F.regexp_extract(s, p, 2))
     first = lambda y, m: make(y, m, F.lit(1))
-    half = F.when(s.contains("歳半"), 6).otherwise(0)
+    partial = (
+        F.when(full.isNotNull(), full).when(s.rlike(_ERA_YM), first(one(_ERA_YM) + 2018, two(_ERA_YM)))
+        .when(s.rlike(_YM), first(one(_YM), two(_YM))).when(s.rlike(_YY), first(one(_YY), F.lit(1)))
+    )
     n = (
-        F.when(s.rlike(year_month), one(year_month) * 12 + two(year_month)).when(s.rlike(years), one(years) * 12 + half * 0)
-        .when(s.rlike(months_), one(months_)).when(s.rlike(weeks), F.floor(one(weeks) / 4).cast("int"))
+        F.when(s.rlike(_YEAR_MONTH), one(_YEAR_MONTH) * 12 + two(_YEAR_MONTH)).when(s.rlike(_YEARS), one(_YEARS) * 12)
+        .when(s.rlike(_MONTHS), one(_MONTHS)).when(s.rlike(_WEEKS), F.floor(one(_WEEKS) / 4).cast("int"))
         .when(s == "幼齢", 3).when(s == "若齢", 12).when(s == "中齢", 60).when(s == "高齢", 120)
-        .when(birth_date(s).isNotNull(), months_between(birth_date(s), as_of))
-        .when(s.rlike(rym), months_between(first(one(rym) + 2018, two(rym)), as_of)).when(s.rlike(ym), months_between(first(one(ym), two(ym)), as_of))
-        .when(s.rlike(yy), months_between(first(one(yy), F.lit(1)), as_of)).when(s.rlike(bare), one(bare) * 12)
+        .when(full.isNotNull() | s.rlike(f"{_ERA_YM}|{_YM}|{_YY}"), months_between(born, as_of)).when(s.rlike(_BARE), one(_BARE) * 12)
     )
-    return F.when(n <= 360, n.cast("int"))
+    df = df.withColumn("_age", F.regexp_replace(folded(F.col(column)), "才", "歳"))
+    df = df.withColumn("_full", birth_date(s)).withColumn("_born", partial).withColumn("_n", n)
+    return df.withColumn(out, F.when(F.col("_n") <= 360, F.col("_n").cast("int"))).drop("_age", "_full", "_born", "_n")
 
 
 def day_text(c: Column) -> Column:
@@ -98,4 +110,4 @@ def day_text(c: Column) -> Column:
     return F.date_format(F.try_to_timestamp(blank_to_null(c)), "yyyy-MM-dd")
 
 
-__all__ = ["age_months", "birth_date", "clamped", "day_text", "extract", "make", "months_between", "shelter_date", "yearless"]
+__all__ = ["birth_date", "clamped", "day_text", "extract", "make", "months_between", "shelter_date", "with_age", "yearless"]

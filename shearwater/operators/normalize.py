@@ -11,13 +11,15 @@ from ..functions import dates, text, web
 def normalized(raw: DataFrame, as_of: str) -> DataFrame:
     """All scalar rules at once; the order of rules follows the record: images, date, location, then the other fields."""
     today = F.to_date(F.lit(as_of))
-    day, estimated = dates.clamped(dates.shelter_date(F.col("shelter_date"), today), today)
+    raw = dates.with_age(raw, "age", "_months", today)
+    raw = raw.withColumn("_day", dates.folded(F.col("shelter_date"))).withColumn("_day", dates.shelter_date(F.col("_day"), today, ready=True)).withColumn("_phone", web.phone(F.col("phone")))
+    day, estimated = dates.clamped(F.col("_day"), today)
     return raw.select(
         "id", "source_url", "source_site", "category", "price",
-        text.species(F.col("species")).alias("species"), text.sex(F.col("sex")).alias("sex"), dates.age_months(F.col("age"), today).alias("age_months"),
+        text.species(F.col("species")).alias("species"), text.sex(F.col("sex")).alias("sex"), F.col("_months").alias("age_months"),
         text.color(F.col("color")).alias("color"), text.size(F.col("size")).alias("size"), day.alias("shelter_date"), estimated.alias("shelter_date_estimated"),
         text.coarse_location(F.col("location"), F.col("category")).alias("location"), web.prefecture(F.col("source_url")).alias("prefecture"),
-        web.public_phone(web.phone(F.col("phone"))).alias("phone"), web.images(F.split("imgs", " ")).alias("image_urls"),
+        web.public_phone(F.col("_phone")).alias("phone"), web.images(F.split("imgs", " ")).alias("image_urls"),
         text.cap(F.col("breed"), 50).alias("breed"), text.cap(F.col("name"), 100).alias("name"), text.cap(F.col("management_number"), 50).alias("management_number"),
         text.description(F.col("description")).alias("description"), F.coalesce("status", F.lit("sheltered")).alias("status"),
     )

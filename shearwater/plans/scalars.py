@@ -46,7 +46,7 @@ m as (select id, a, case
 select id, cast(case when n <= 360 then n end as integer) as age_months from m""")
 def normalize_age(spark, sf_dir):
     """N03 N04 N05 N06."""
-    return records(spark, sf_dir).select("id", dates.age_months(F.col("age"), F.to_date(F.lit(AS_OF))).alias("age_months"))
+    return dates.with_age(records(spark, sf_dir), "age", "age_months", F.to_date(F.lit(AS_OF))).select("id", "age_months")
 
 
 @query(f"""{W}, p as (select id, shelter_date as s, p0 as k from (select *, id % 8 as p0 from records)),
@@ -63,8 +63,9 @@ select id, case when d is null or d > date '{AS_OF}' then date '{AS_OF}' else d
 def normalize_date(spark, sf_dir):
     """N06 N07 N08 N09."""
     today = F.to_date(F.lit(AS_OF))
-    day, estimated = dates.clamped(dates.shelter_date(F.col("shelter_date"), today), today)
-    return records(spark, sf_dir).select("id", day.alias("shelter_date"), estimated.alias("estimated"))
+    r = records(spark, sf_dir).withColumn("_day", dates.folded(F.col("shelter_date"))).withColumn("_day", dates.shelter_date(F.col("_day"), today, ready=True))
+    day, estimated = dates.clamped(F.col("_day"), today)
+    return r.select("id", day.alias("shelter_date"), estimated.alias("estimated"))
 
 
 @query(f"""{W}, s as (select id, regexp_replace(translate(phone, '０１２３４５６７８９－()', '0123456789-'), ' *内線.*$', '') as p from records),
@@ -75,8 +76,8 @@ n as (select id, d, case when length(d) not in (10, 11) then '' when regexp_matc
 select id, phone, nullif(case when length(d) = 11 and substr(d, 1, 3) in ('070', '080', '090', '050') then '' else phone end, '') as public_phone from n""")
 def normalize_phone(spark, sf_dir):
     """N10 N11 X11."""
-    p = web.phone(F.col("phone"))
-    return records(spark, sf_dir).select("id", p.alias("phone"), web.public_phone(p).alias("public_phone"))
+    r = records(spark, sf_dir).select("id", web.phone(F.col("phone")).alias("phone"))
+    return r.select("id", "phone", web.public_phone(F.col("phone")).alias("public_phone"))
 
 
 _PII = r"(?:[0-9０-９]){2,4}[\s　]*[-－‐ー][\s　]*(?:[0-9０-９]){2,4}[\s　]*[-－‐ー][\s　]*(?:[0-9０-９]){3,4}|0[5789]0[0-9]{8}|0[0-9]{9}|[(（][\s　]*0[0-9]{1,3}[\s　]*[)）][\s　]*[0-9]{1,4}[\s　]*[-－‐ー.\s　][\s　]*[0-9]{3,4}|0[5789]0[.\s　][0-9]{4}[.\s　][0-9]{4}|[+]81[-－‐ー\s　]?[1-9][0-9]{0,3}[-－‐ー\s　.]?[0-9]{1,4}[-－‐ー\s　.]?[0-9]{3,4}"

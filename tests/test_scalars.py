@@ -19,7 +19,9 @@ def check(spark, fn, cases):
 
 def test_age(spark):
     cases = [("1歳", 12), ("2歳6ヶ月", 30), ("11才", 132), ("13才くらい", 156), ("2才半", 24), ("推定12週齢", 3), ("幼齢", 3), ("高齢", 120), ("1年", 12), ("不明", None), ("", None), ("82歳", None), ("31歳", None), ("1歳 (2025/4/1 収容)", 12), ("２歳", 24), (None, None), ("2025/2/30", None), ("2024-01-16", 23)]
-    check(spark, lambda c: dates.age_months(c, F.to_date(F.lit(TODAY))), cases)
+    df = spark.createDataFrame([(i, k) for i, (k, _) in enumerate(cases)], "i int, v string")
+    got = dates.with_age(df, "v", "o", F.to_date(F.lit(TODAY))).orderBy("i").collect()
+    assert [r.o for r in got] == [v for _, v in cases]
 
 
 def test_dates(spark):
