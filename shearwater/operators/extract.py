@@ -48,6 +48,7 @@ REGISTRY: dict[str, Spec] = {}
 
 
 def register(name: str, spec: Spec) -> None:
+    """Each name once."""
     if name in REGISTRY:
         raise ValueError(f"{name} is registered twice")
     REGISTRY[name] = spec

@@ -79,3 +79,46 @@ def facility_phones(spark, sf_dir):
     phone = F.when(F.col("s_name").contains("1"), "088-1").when(F.col("s_name").contains("2"), "088-2").otherwise("088-0")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", phone.alias("phone"))
     return s.withColumn("pos", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("pos <= 2").select("s_suppkey", "phone", "pos")
+
+
+@query(f"""{W} select id, case when contains(source_url, '/dog/') then '犬' when contains(source_url, '/neko/') then '猫' else '' end as by_path, shelter_date <> '' and (species <> '' or sex <> '') as valid,
+translate(phone, '０１２３４５６７８９－', '0123456789-') as folded from records""")
+def source_variants(spark, sf_dir):
+    """Species by path, validity of parsed rows, full-width folding."""
+    from ..functions import text, web
+
+    return records(spark, sf_dir).select(
+        "id", web.url_species(F.col("source_url")).alias("by_path"), ((F.col("shelter_date") != "") & ((F.col("species") != "") | (F.col("sex") != ""))).alias("valid"),
+        F.translate(text.fold_digits(F.col("phone")), "－", "-").alias("folded"),
+    )
+
+
+@query("select o_orderkey, make_date(2024, cast(1 + o_orderkey % 12 as int), cast(1 + o_orderkey % 28 as int)) as day from orders")
+def source_dates(spark, sf_dir):
+    """Dates as single sources write them, through the general rule."""
+    from ..functions import dates
+
+    m, d = (1 + F.col("o_orderkey") % 12).cast("string"), (1 + F.col("o_orderkey") % 28).cast("string")
+    t = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("令和6年"), m, F.lit("月"), d, F.lit("日頃"))).otherwise(F.concat(F.lit("R6."), m, F.lit("."), d))
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", dates.folded(t).alias("t"))
+    return rows.select("o_orderkey", dates.shelter_date(F.col("t"), today(), ready=True).alias("day"))
+
+
+@query("select count(*) as archivable, min(cast(o_orderdate as date)) as oldest, count(*) filter (where cast(o_orderdate as date) <= date '1996-01-01') as overdue from orders where o_orderstatus = 'F' and cast(o_orderdate as date) <= date '1998-01-01' - 180")
+def archive_report(spark, sf_dir):
+    """The daily report of what can be archived."""
+    from ..operators import listing
+    from .relational import _settled
+
+    old = listing.archivable(_settled(spark, sf_dir), "1998-01-01")
+    day = F.col("shelter_date")
+    return old.agg(F.count("*").alias("archivable"), F.min(day).alias("oldest"), F.count_if(day <= F.lit("1996-01-01").cast("date")).alias("overdue"))
+
+
+@query("with s as (select s_suppkey, s_name, case when s_suppkey % 6 = 0 then 0 when s_suppkey % 4 = 0 then 1 else 2 end as severity from supplier) select s_suppkey, s_name, severity, row_number() over (order by severity, s_name, s_suppkey) as place from s order by severity, s_name, s_suppkey limit 40")
+def sites_by_health(spark, sf_dir):
+    """By severity, then name in the site's collation."""
+    k = F.col("s_suppkey")
+    s = table(spark, sf_dir, "supplier").select(k, "s_name", F.when(k % 6 == 0, 0).when(k % 4 == 0, 1).otherwise(2).alias("severity"))
+    top = s.orderBy("severity", F.collate("s_name", "ja"), "s_suppkey").limit(40)  # the page
+    return top.withColumn("place", F.row_number().over(Window.orderBy("severity", F.collate("s_name", "ja"), "s_suppkey")))
