@@ -52,6 +52,12 @@ def table(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cleanup(spark: SparkSession) -> None:
+    """Delete the tables that ``table`` wrote, by the file system that holds them.  Call it when results are stored."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shearwater")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def texts(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns an operator reads, by plain names; extra columns never get into its plan."""
     return df.select(*(df[c] for c in keep))
