@@ -136,3 +136,14 @@ def test_every_catalog_query_matches_its_oracle(spark):
     code = subprocess.run([sys.executable, f"{root}/tools_compare.py", "/root/testdata/sf0.001"], capture_output=True, text=True, timeout=900)
     wrong = [x for x in code.stdout.splitlines() if x.lstrip().startswith(("WRONG", "ERROR"))]
     assert code.returncode == 0 and not wrong, wrong
+
+
+def test_entry_works_without_the_corpus_operators():
+    import os
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = "import sys; sys.modules['shearwater.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q); print(len(q))"
+    done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
+    assert done.returncode == 0 and int(done.stdout.split()[-1]) >= 100, done.stderr[-500:]
