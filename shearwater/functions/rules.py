@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dates import _parts, birth_date, make, yearless
@@ -20,27 +20,29 @@ def months_text(n: Column) -> Column:
     return F.when(n >= 12, F.concat(F.floor(n / 12).cast("string"), F.lit("歳"))).otherwise(F.concat(n.cast("string"), F.lit("ヶ月")))
 
 
-def legacy_age(c: Column, as_of: Column) -> Column:
-    """Age text that the general rule reads: numbers stay, birthdays, ranges (mean) and age words become numbers, none means adult."""
-    s = strip(F.coalesce(c, F.lit("")))
-    born = birth_date(fold_digits(s))
+def with_legacy_age(df: DataFrame, column: str, out: str, as_of: Column) -> DataFrame:
+    """Age text that the general rule reads: numbers stay, birthdays, ranges (mean) and age words become numbers, none means adult.
+
+    Staged over projections, so that no date expression is repeated.
+    """
+    s, born, partial = F.col("_text"), F.col("_born"), F.col("_partial")
     md = r"(?:誕生日|生年月日)[：:\s　]*([0-9]{1,2})/([0-9]{1,2})"
     m, d = _parts(s, md, 2)
-    this = make(F.year(as_of), m, d)
-    partial = F.when(this > as_of, make(F.year(as_of) - 1, m, d)).otherwise(this)
     months = lambda b: F.greatest((F.year(as_of) - F.year(b)) * 12 + F.month(as_of) - F.month(b), F.lit(0))
     span = r"([0-9]+)\s*[-~〜]\s*([0-9]+)\s*歳"
     lo, hi = _parts(s, span, 2)
-    out = (
+    df = df.withColumn("_text", strip(F.coalesce(F.col(column), F.lit("")))).withColumn("_born", birth_date(fold_digits(s)))
+    df = df.withColumn("_partial", make(F.year(as_of), m, d)).withColumn("_partial", F.when(partial > as_of, make(F.year(as_of) - 1, m, d)).otherwise(partial))
+    df = df.withColumn("_n", F.coalesce(born, partial)).withColumn("_n", F.when(F.col("_n").isNotNull(), months(F.col("_n"))))
+    rule = (
         F.when(s == "", months_text(F.lit(DEFAULT_AGE))).when(s.rlike(r"[0-9]+\s*[歳年]|[0-9]+\s*[ヶかカケ]月") & ~s.rlike(span) & ~s.contains("年月日"), s)
-        .when(born.isNotNull(), months_text(months(born))).when(s.rlike(md) & partial.isNotNull(), months_text(months(partial)))
-        .when(s.rlike(span), F.concat(F.floor((lo + hi) / 2).cast("string"), F.lit("歳")))
+        .when(F.col("_n").isNotNull(), months_text(F.col("_n"))).when(s.rlike(span), F.concat(F.floor((lo + hi) / 2).cast("string"), F.lit("歳")))
     )
     for word, n in AGE_WORDS:
-        out = out.when(s.contains(word), months_text(F.lit(n)))
+        rule = rule.when(s.contains(word), months_text(F.lit(n)))
     for word in UNKNOWN_AGE:
-        out = out.when(s.contains(word), months_text(F.lit(DEFAULT_AGE)))
-    return out.otherwise(s)
+        rule = rule.when(s.contains(word), months_text(F.lit(DEFAULT_AGE)))
+    return df.withColumn(out, rule.otherwise(s)).drop("_text", "_born", "_partial", "_n")
 
 
 def not_ahead(c: Column, as_of: Column) -> Column:
@@ -92,4 +94,4 @@ def token_role(t: Column) -> Column:
     return F.when(t.rlike("オス|メス|♂|♀|雄|雌"), "sex").when(t.rlike("[0-9０-９]+(?:歳|か月|ヶ月)|齢"), "age").when(t.rlike("[茶白黒灰]|キジ|三毛色"), "color").when(t.rlike("雑種|柴|プードル"), "breed").otherwise("other")
 
 
-__all__ = ["birth_month", "completed_year", "date_and_place", "kind_and_sex", "legacy_age", "months_text", "not_ahead", "species_by_content", "token_role", "yearless"]
+__all__ = ["birth_month", "completed_year", "date_and_place", "kind_and_sex", "months_text", "not_ahead", "species_by_content", "token_role", "with_legacy_age", "yearless"]

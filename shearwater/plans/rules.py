@@ -22,7 +22,7 @@ _T = "case id % 9 when 0 then '' when 1 then concat(id % 12 + 1, '歳') when 2 t
 def legacy_age_rules(spark, sf_dir):
     """X26 P18."""
     r = records(spark, sf_dir).select("id", F.expr(_T.replace("concat(id % 12 + 1, '歳')", "concat(cast(id % 12 + 1 as string), '歳')")).alias("t"))
-    return r.select("id", rules.legacy_age(F.col("t"), today()).alias("age"))
+    return rules.with_legacy_age(r, "t", "age", today()).select("id", "age")
 
 
 @query(f"""{W} select id, case id % 4 when 0 then case when id % 12 + 1 > 1 then concat('2025-', lpad(cast(id % 12 + 1 as varchar), 2, '0'), '-10') else '2026-01-10' end
