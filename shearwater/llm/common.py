@@ -163,24 +163,35 @@ def sorted_groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 100_0
         yield {n: np.concatenate([h[n] for h in held]) for n in held[0]}
 
 
-def components(links: DataFrame, rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(node, comp): the smallest node reachable, over links (a, b) of longs; nodes without links are absent.
 
-    Each round every node takes the smallest label among its neighbours and
-    labels jump to their own label; both are joins by key, and each round's
-    table is written to the shared folder.
+    Each round hooks every node below its smallest neighbour where that is
+    smaller, lets pointers jump to the roots, and goes on with the links
+    between roots until there are none.  A root that nothing hooks below has a
+    smaller neighbour in the next round, so two rounds at least halve the
+    roots: rounds grow with the logarithm of the nodes, whatever the shape.
+    All joins are by key, and each table is written to the shared folder.
     """
-    links = table(links.where("a <> b").select("a", "b").union(links.where("a <> b").select(F.col("b"), F.col("a"))).distinct(), "links")
-    label = table(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp")), "labels")
-    for _ in range(rounds):
-        near = links.join(label, links.b == label.node).groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("c1"))
-        jump = label.select(F.col("node").alias("up"), F.col("comp").alias("c2"))
-        step = (
-            label.join(near, "node", "left").join(jump, F.col("comp") == F.col("up"), "left")
-            .select("node", F.least("comp", "c1", "c2").alias("new"), F.col("comp").alias("old"))
-        )
-        step = table(step, "labels")
-        label = step.select("node", F.col("new").alias("comp"))
-        if step.where("new <> old").limit(1).count() == 0:
-            break
-    return label
+    links = table(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "links")
+    label = None
+    while True:
+        both = links.union(links.select("b", "a"))
+        root = both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("comp"))
+        root = table(root, "roots")
+        while True:
+            jump = root.select(F.col("node").alias("up"), F.col("comp").alias("new"))
+            step = table(root.join(jump, F.col("comp") == F.col("up")).select("node", "new", F.col("comp").alias("old")), "roots")
+            root = step.select("node", F.col("new").alias("comp"))
+            if step.where("new <> old").isEmpty():
+                break
+        if label is None:
+            label = root
+        else:
+            moved = root.select(F.col("node").alias("up"), F.col("comp").alias("new"))
+            label = table(label.join(moved, F.col("comp") == F.col("up"), "left").select("node", F.coalesce("new", "comp").alias("comp")), "labels")
+        one, two = (root.select(F.col("node").alias(k), F.col("comp").alias(f"c{k}")) for k in ("a", "b"))
+        between = links.join(one, "a").join(two, "b").where("ca <> cb")
+        links = table(between.select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).distinct(), "links")
+        if links.isEmpty():
+            return label
