@@ -27,10 +27,13 @@ BASE = (
 )
 #: Runs of 32 hex digits are rare; this finds the texts worth a full pass.
 _LONG_HEX = re.compile(r"[0-9a-f]{32}")
+#: No bound on any length.  A run of name characters is tried once, from its first letter on, so searching stays linear;
+#: ``bare`` is the first character of a bare literal, and _BARE finds its end.
 _PAIR = re.compile(
-    r"""(?P<q>["']?)(?P<name>[A-Za-z_][A-Za-z0-9_.-]{0,80})(?P=q)\x20{0,8}(?::=|=>|=|:)\x20{0,8}"""
-    r"""(?:"(?P<dq>[^"\n]{1,512})"|'(?P<sq>[^'\n]{1,512})'|(?P<bare>[^\s"',;(){}\[\]]{1,512}))"""
+    r"""(?:(?P<q>["'])|(?<![A-Za-z0-9_.-])[0-9.-]*+)(?P<name>[A-Za-z_][A-Za-z0-9_.-]*+)(?(q)(?P=q))\x20*+(?::=|=>|=|:)\x20*+"""
+    r"""(?:"(?P<dq>[^"\n]++)"|'(?P<sq>[^'\n]++)'|(?P<bare>[^\s"',;(){}\[\]]))"""
 )
+_BARE = re.compile(r"""[^\s"',;(){}\[\]]++""")
 _HINT = re.compile(r"""(?:pass|pwd|secret|token|key|cred|auth|bearer|private|signature)[A-Za-z0-9_.-]*["']?\x20*[:=]""", re.I | re.A)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 #: How much a part of a name says about its literal.
@@ -66,23 +69,26 @@ def lexed(text: str) -> list[tuple[int, int, str, float]]:
     """(start, end, name, score) of literals whose target's name makes them secrets; constants are followed."""
     if not _HINT.search(text):
         return []
-    known: dict[str, tuple[int, int, str]] = {}
+    known: dict[str, tuple[int, int]] = {}
     out: dict[tuple[int, int], tuple[str, float]] = {}
-    at = 0
+    at = stop = longest = 0
     while m := _PAIR.search(text, at):
         group = m.lastgroup
         a, b = m.span(group)
-        value = m[group]
         name = m["name"]
         at = b if group != "bare" else a  # a bare word may be the next target: a = b = "literal"
         if group == "bare":
-            value = value.rstrip(".,")
-            b = a + len(value)
-            if value in known:  # constant propagation
-                a, b, value = known[value]
-            at = max(at, m.start("bare"))
-        known[name] = (a, b, value)
-        score = name_score(name) * literal_score(value)
+            if a >= stop:  # else inside the last bare literal, with the same end
+                stop = _BARE.match(text, a).end()
+            b = stop
+            while b > a and text[b - 1] in ".,":
+                b -= 1
+            if b - a <= longest and text[a:b] in known:  # constant propagation
+                a, b = known[text[a:b]]
+        known[name] = (a, b)
+        longest = max(longest, len(name))
+        sure = name_score(name)
+        score = sure * literal_score(text[a:b]) if sure >= THRESHOLD else 0.0
         if score >= THRESHOLD and score > out.get((a, b), ("", 0.0))[1]:
             out[a, b] = (name, score)
     return [(a, b, *v) for (a, b), v in sorted(out.items())]

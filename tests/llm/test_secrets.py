@@ -44,3 +44,12 @@ def test_redaction_takes_out_all_spans(docs_of):
     out = {str(r.doc_id) + str(len(r.text or "")): r for r in secrets.redact(docs_of(TEXTS)).collect()}
     assert len(out) >= 9 and all("abcd1234" not in (r.text or "") for r in out.values())
     assert secrets.redacted("a password=abcd1234 b") == "a [secret] b" and secrets.redacted(None) is None and secrets.redacted("") == ""
+
+
+def test_long_literals_names_and_blanks_are_whole():
+    long = "a7Gh29Kd82LmQx+/" * 125
+    for sign in ('PRIVATE_KEY="{}"', "private_key = '{}'", "auth_key: {}", "a" * 200 + "_private_key={}", "private_key" + " " * 30 + "=" + " " * 30 + "{}", "--private_key={}", "9private_key={}"):
+        text = sign.format(long) + "\nrest"
+        assert [text[a:b] for a, b, _, _ in secrets.lexed(text)] == [long], sign[:20]
+        assert long[-40:] not in secrets.redacted(text) and secrets.redacted(text).endswith("rest")
+    assert not secrets.lexed("key=" + "a1" * 200_000 + " " * 100_000 + "x=" * 50_000)
