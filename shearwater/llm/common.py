@@ -4,6 +4,7 @@ statistics, Bloom filters, sorted group streams and connected components."""
 from __future__ import annotations
 
 import atexit
+import contextlib
 import os
 import shutil
 import tempfile
@@ -36,26 +37,91 @@ def ready(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; own temporary folder only where that is unset."""
-    where = spark.sparkContext.getConf().get("spark.checkpoint.dir") or _OWN.get(spark.sparkContext.applicationId)
+    """The folder all executors share: ``spark.checkpoint.dir``.
+
+    Only a local session, whose executors are this very machine, gets a
+    temporary folder of its own where that is unset; a cluster has to name one.
+    """
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or _OWN.get(sc.applicationId)
     if not where:
-        where = _OWN[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="shearwater-")
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="shearwater-")
         atexit.register(shutil.rmtree, where, True)
     return where.rstrip("/")
 
 
+#: Paths of tables written since the scopes now open began, one list a scope.
+_SCOPES: list[list[str]] = []
+
+
 def table(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shearwater/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    for made in _SCOPES:
+        made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def cleanup(spark: SparkSession) -> None:
-    """Delete the tables that ``table`` wrote, by the file system that holds them.  Call it when results are stored."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/shearwater")
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+def cleanup(spark: SparkSession, paths: list[str] | None = None) -> None:
+    """Delete tables that ``table`` wrote (all of them, if none are named), by the file system that holds them."""
+    for where in [f"{shared_dir(spark)}/shearwater"] if paths is None else paths:
+        path = spark._jvm.org.apache.hadoop.fs.Path(where)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextlib.contextmanager
+def scope(spark: SparkSession) -> Iterator[None]:
+    """Deletes the tables written inside it when it ends well: what is read from them must be stored by then."""
+    made: list[str] = []
+    _SCOPES.append(made)
+    try:
+        yield
+    finally:
+        _SCOPES.remove(made)
+    cleanup(spark, made)
+
+
+class Recent:
+    """Classes met lately, in a fixed number of slots: a class met again is usually known, never wrongly."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.slot, self.mask = np.zeros(slots, np.int64), np.int64(slots - 1)
+
+    def fresh(self, cls: np.ndarray) -> np.ndarray:
+        """Mask of the rows whose class (not 0) isn't in a slot and not in an earlier row; they enter the slots."""
+        out = np.zeros(len(cls), bool)
+        names, first = np.unique(cls, return_index=True)
+        first = first[(names != 0) & (self.slot[names & self.mask] != names)]
+        out[first] = True
+        self.slot[cls[first] & self.mask] = cls[first]
+        return out
+
+
+#: Least rows of a key that are spread, and the most keys that can be: a broadcast of so many rows.
+HOT_ROWS, HOT_KEYS = 2000, 1000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """Inner join of ``left`` (a written table) with ``right`` (unique by ``key``) where hot keys are spread over tasks.
+
+    A key is hot beyond HOT_ROWS rows and beyond 1 / HOT_KEYS of all rows, so
+    there are at most HOT_KEYS of them whatever the size.  Its left rows are
+    dealt by a hash of ``by``, and its right row is repeated for each share.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    per = max(HOT_ROWS, -(-left.count() // HOT_KEYS))
+    hot = {r[key]: -(-r["_n"] // per) for r in counts.where(F.col("_n") > per).collect()}
+    if not hot:
+        return left.join(right, key)
+    spark = left.sparkSession
+    parts = F.broadcast(spark.createDataFrame(list(hot.items()), f"{key} {dict(left.dtypes)[key]}, _parts int"))
+    one = left.join(parts, key, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    two = right.join(parts, key, "left").withColumn("_part", F.explode(F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1))).drop("_parts")
+    return one.join(two, [key, "_part"]).drop("_part")
 
 
 def texts(df: DataFrame, *keep: str) -> DataFrame:

@@ -1,15 +1,29 @@
 """Repeated passages across documents by compact windows.
 
-Every window of WORDS words has a min-hash over its 5-word shingles under each
-of HASHES functions; the shingle that attains it is the root of the window's
-Cartesian tree.  Windows in a row with the same root are one compact window
-(root c, from l to r), so a document of n words has about 2n / WORDS of them a
-function.  Compact windows with equal min-hash meet by value; pairs of
-documents whose windows overlap under enough functions are candidates, and
-each is verified on the words themselves by extending from the roots.
-
-An exact repeat of WORDS words has the same roots in both documents under all
-functions, so it can't be missed by them.
+Tokens are 5-word shingles.  Under each of HASHES functions a text has a
+Cartesian tree over its token hashes; a node (l, c, r) of it is a compact
+window: all subsequences of [l, r] that hold the root c have c's hash as their
+min-hash.  Only nodes that can hold a passage of WORDS words are kept, with l
+and r at most a passage away from c, so a text of n words has about 2n / WORDS
+of them a function, and they cover every subsequence of that width.
+
+1. Windows meet by (function, min-hash); those of a single text are dropped.
+2. The windows of a text are joined with each other as intervals: wherever
+   windows of ENOUGH functions have a subsequence in common, their min-hashes
+   are a signature of it.
+3. Texts with equal signatures form a group.  Each member is verified against
+   the group's leader by extending from their roots, word by word (32-bit
+   hashes of words).  A group of any size costs one comparison a member.
+4. Members that don't match their leader there meet once more by the exact
+   passages of WORDS words around the root, and those that do by the ones that
+   reach a word beyond the match; each group of these again has one leader.  So
+   exact repeats are never lost, whatever the sizes of groups.
+5. Matched passages are linked to passage classes: connected components of
+   (text, passage) nodes.  Nothing is ever expanded to all pairs of a group.
+
+Keys of very many rows are known from counts in a fixed number of buckets over
+all documents; they are spread over tasks by text and get a leader a share,
+and the leaders meet a second time.
 """
 
 from __future__ import annotations
@@ -23,13 +37,13 @@ from pyspark.sql import functions as F
 
 from . import common, kernels, setjoin
 
-WORDS, SHINGLE, HASHES, ENOUGH = 50, 5, 4, 2
+WORDS, SHINGLE, HASHES, ENOUGH = 50, 5, 6, 2
 WINDOW = WORDS - SHINGLE + 1
-#: Groups up to this size are compared pair by pair.  In larger ones windows meet the first of those with the same
-#: words on the left, or on the right, and their neighbours in that order: one side has at least SIDE words in common.
-SMALL, SIDE = 12, 20
 MATCH, MISMATCH, DROP, LIKE = 1, -4, 16, 0.8
-_POS = (1 << 22) - 1
+#: Buckets of the root counts; keys of buckets beyond HOT rows (and beyond 8 times the mean) are spread.
+WIDTH, HOT = 1 << 20, 20_000
+_BITS = 22
+_POS = (1 << _BITS) - 1
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * f + 1) & (1 << 64) - 1) for f in range(HASHES)]
 
 
@@ -48,15 +62,15 @@ def hashed(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return words, first, kernels.signed(cls)
 
 
-def roots(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(c, l, r) of the compact windows of texts laid end to end: root, first and last shingle.
+def _lowest(values: np.ndarray) -> np.ndarray:
+    """Place of the smallest of each WINDOW values in a row (the first of equal ones), by minima of blocks.
 
-    Sliding minima by blocks: the minimum of a window is that of a block's
-    tail and the next block's head.  Ties go to the left.
+    Places take the low _BITS bits beside the value, so longer inputs are done in pieces.
     """
     n, w = len(values), WINDOW
-    if n < w:
-        return (np.zeros(0, np.int64),) * 3
+    step = _POS - 2 * w
+    if n - w + 1 > step:
+        return np.concatenate([_lowest(values[s : s + step + w - 1]) + s for s in range(0, n - w + 1, step)])
     packed = (values & ~np.uint64(_POS)) | np.arange(n, dtype=np.uint64)
     full = np.full(-(-n // w) * w + w, ~np.uint64(0))
     full[:n] = packed
@@ -64,9 +78,16 @@ def roots(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     head = np.minimum.accumulate(grid, axis=1).ravel()
     tail = np.minimum.accumulate(grid[:, ::-1], axis=1)[:, ::-1].ravel()
     at = np.arange(n - w + 1)
-    low = (np.minimum(tail[at], head[at + w - 1]) & np.uint64(_POS)).astype(np.int64)
-    size = np.diff(offs)
-    left = np.repeat(offs[1:], size) - np.arange(n)
+    return (np.minimum(tail[at], head[at + w - 1]) & np.uint64(_POS)).astype(np.int64)
+
+
+def roots(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(c, l, r) of the compact windows of texts laid end to end: root, first and last shingle, at most WINDOW - 1 from c."""
+    n, w = len(values), WINDOW
+    if n < w:
+        return (np.zeros(0, np.int64),) * 3
+    low, at = _lowest(values), np.arange(n - w + 1)
+    left = np.repeat(offs[1:], np.diff(offs)) - np.arange(n)
     valid = left[: n - w + 1] >= w
     at, low = at[valid], low[valid]
     if not len(at):
@@ -76,85 +97,154 @@ def roots(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low[new], at[new], at[last] + w - 1
 
 
-def _side(h: np.ndarray, c: np.ndarray, lo: np.ndarray, hi: np.ndarray, step: int) -> np.ndarray:
-    """A hash of SIDE words before or after the root; 0 where the text ends sooner."""
-    out = np.zeros(len(c), np.uint64)
-    ok = np.ones(len(c), bool)
-    for k in range(1, SIDE // SHINGLE + 1):
-        at = c + k * step
-        ok &= (at >= lo) & (at < hi)
-        out = kernels.mix(out ^ h[np.clip(at, 0, len(h) - 1)])
-    return np.where(ok, out, 0).astype(np.uint64)
+def _packed(l: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """One long of a window: l, c - l and r - l - WINDOW + 1 (both below WINDOW)."""
+    return l << 16 | (c - l) << 8 | (r - l - WINDOW + 1)
+
+
+def rows_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, cls, n_words) of every text of at least WORDS words, and root counts by bucket over all documents."""
+
+    def rows(batch: pa.RecordBatch, counts: np.ndarray) -> pa.RecordBatch:
+        words, first, cls = hashed(batch)
+        h, offs = kernels.shingles(words, first, SHINGLE)
+        for seed in _SEEDS:
+            v = kernels.mix(h ^ seed)
+            c, _, _ = roots(v, offs)
+            counts += np.bincount(_bucket(kernels.mix(v[c])), minlength=WIDTH)
+        ok = np.flatnonzero(np.diff(first) >= WORDS)
+        return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ok)), pa.array(cls[ok]), pa.array(np.diff(first)[ok])], ["doc_id", "cls", "n_words"])
 
+    return setjoin.counted(docs, rows, "doc_id long, cls long, n_words long", WIDTH, "texts")
 
-def windows(docs: DataFrame) -> DataFrame:
-    """(key, cls, c, cl, cr): a row for each compact window; key holds the function in its lowest bits."""
+
+def heat(counts: np.ndarray) -> np.ndarray:
+    """For each bucket how many shares its keys are spread over, as a power of two (0: not hot)."""
+    bound = max(HOT, 8 * float(counts.mean()))
+    return np.ceil(np.log2(np.maximum(counts / bound, 1))).astype(np.uint8)
+
+
+def _bucket(key: np.ndarray) -> np.ndarray:
+    return (key.view(np.uint64) >> np.uint64(44)).astype(np.int64)
+
+
+def windows(docs: DataFrame, warm: object) -> DataFrame:
+    """(key, cls, at, hot): a row for each compact window; key holds the root's hash and the function in its lowest bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        recent = common.Recent()
         for batch in kernels.chunks(batches):
             words, first, cls = hashed(batch)
             h, offs = kernels.shingles(words, first, SHINGLE)
-            fresh = np.array([c != 0 and c not in seen and not seen.add(c) for c in cls.tolist()], bool)
+            fresh = recent.fresh(cls)
             text = np.repeat(np.arange(len(cls)), np.diff(offs))
             for f, seed in enumerate(_SEEDS):
                 v = kernels.mix(h ^ seed)
-                c, _, _ = roots(v, offs)
-                c = c[fresh[text[c]]]
-                if not len(c):
-                    continue
-                d = text[c]
-                key = (kernels.mix(v[c]) & ~np.uint64(3)) | np.uint64(f)
-                lo, hi = offs[d], offs[d + 1]
-                cols = [kernels.signed(key), cls[d], (c - lo).astype(np.int32), *(_side(h, c, lo, hi, s).astype(np.uint32).view(np.int32) for s in (-SHINGLE, SHINGLE))]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "cls", "c", "cl", "cr"])
+                c, l, r = roots(v, offs)
+                ok = fresh[text[c]]
+                c, l, r = c[ok], l[ok], r[ok]
+                if len(c):
+                    d = text[c]
+                    key = kernels.signed((kernels.mix(v[c]) & ~np.uint64(7)) | np.uint64(f))
+                    lo = offs[d]
+                    cols = [key, cls[d], _packed(l - lo, c - lo, r - lo), warm.value[_bucket(key)] > 0]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "cls", "at", "hot"])
 
-    return docs.mapInArrow(run, "key long, cls long, c int, cl int, cr int")
+    return docs.mapInArrow(run, "key long, cls long, at long, hot boolean")
 
 
-def meetings(found: DataFrame) -> DataFrame:
-    """(a, b, ca, cb, f): roots of different texts that meet."""
+def shared_windows(found: DataFrame) -> DataFrame:
+    """(cls, key, at): windows whose min-hash occurs in several texts, or is hot."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in common.sorted_groups(batches, "key"):
-            again = np.concatenate([[False], (g["key"][1:] == g["key"][:-1]) & (g["cls"][1:] == g["cls"][:-1]) & (g["c"][1:] == g["c"][:-1])])
-            g = {k: v[~again] for k, v in g.items()}
             start, size = setjoin.group_bounds(g["key"])
-            one, two = [], []
-            small = np.flatnonzero(np.repeat((size > 1) & (size <= SMALL), size))
-            for i, j in setjoin.close_pairs(size[(size > 1) & (size <= SMALL)]):
-                one.append(small[i])
-                two.append(small[j])
-            big = np.flatnonzero(np.repeat(size > SMALL, size))
-            for x, y in (("cl", "cr"), ("cr", "cl")):
-                if len(big):
-                    order = big[np.lexsort((g["cls"][big], g[y][big], g[x][big], g["key"][big]))]
-                    k, s = g["key"][order], g[x][order]
-                    head = np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])])
-                    at = np.flatnonzero(head)
-                    rank = np.arange(len(order))
-                    pivot = np.repeat(at, np.diff(np.append(at, len(order))))
-                    far = rank - pivot > 0
-                    one += [order[pivot[far]], order[rank[far] - 1]]
-                    two += [order[far], order[far]]
-            if one:
-                i, j = np.concatenate(one), np.concatenate(two)
-                ok = g["cls"][i] != g["cls"][j]
-                i, j = i[ok], j[ok]
-                swap = g["cls"][i] > g["cls"][j]
-                i, j = np.where(swap, j, i), np.where(swap, i, j)
-                pair = np.unique(np.stack([i, j], 1), axis=0)
-                i, j = pair[:, 0], pair[:, 1]
-                cols = [g["cls"][i], g["cls"][j], g["c"][i], g["c"][j], (g["key"][i] & 3).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["a", "b", "ca", "cb", "f"])
-
-    return found.repartition("key").sortWithinPartitions("key", "cls", "c").mapInArrow(run, "a long, b long, ca int, cb int, f int")
+            two = (np.minimum.reduceat(g["cls"], start) != np.maximum.reduceat(g["cls"], start)) | np.logical_or.reduceat(g["hot"].astype(bool), start)
+            keep = np.flatnonzero(np.repeat(two, size))
+            if len(keep):
+                yield pa.RecordBatch.from_arrays([pa.array(g[c][keep]) for c in ("cls", "key", "at")], ["cls", "key", "at"])
+
+    where = F.when(F.col("hot"), F.xxhash64("key", "cls")).otherwise(F.col("key"))
+    return found.repartition(where).sortWithinPartitions("key").mapInArrow(run, "cls long, key long, at long")
+
+
+def signatures(shared: DataFrame, warm: object) -> DataFrame:
+    """(sig, cls, c, share): where windows of two functions intersect in a passage; c is the first function's root.
+
+    The interval join runs inside a text, over both functions' windows by their
+    first and last passage; a text's windows never leave its task.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in common.sorted_groups(batches, "cls"):
+            order = np.lexsort((g["at"], g["key"] & 7, g["cls"]))
+            cls, key, at = (g[c][order] for c in ("cls", "key", "at"))
+            again = np.concatenate([[False], (cls[1:] == cls[:-1]) & (at[1:] == at[:-1]) & (key[1:] == key[:-1])])
+            cls, key, at = cls[~again], key[~again], at[~again]
+            text = np.cumsum(np.concatenate([[0], cls[1:] != cls[:-1]])).astype(np.int64)
+            first = (text << 40) + (at >> 16)
+            last, c = first + (at & 255), (at >> 16) + (at >> 8 & 255)
+            mine = [np.flatnonzero((key & 7) == f) for f in range(HASHES)]
+            for f in range(HASHES):
+                for e in range(f + 1, HASHES):
+                    x, y = mine[f], mine[e]
+                    if not len(x) or not len(y):
+                        continue
+                    lo, hi = np.searchsorted(last[y], first[x], "left"), np.searchsorted(first[y], last[x], "right")
+                    n = np.maximum(hi - lo, 0)
+                    i = np.repeat(x, n)
+                    j = y[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+                    if not len(i):
+                        continue
+                    sig = kernels.mix(kernels.mix(key[i].view(np.uint64)) ^ key[j].view(np.uint64))
+                    shares = np.minimum(warm.value[_bucket(key[i])], warm.value[_bucket(key[j])]).astype(np.int64)
+                    share = (cls[i] >> 8) & ((1 << shares) - 1)
+                    cols = [kernels.signed(sig), cls[i], c[i].astype(np.int32), np.where(shares > 0, share + 1, 0).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["sig", "cls", "c", "share"])
+
+    return shared.repartition("cls").sortWithinPartitions("cls").mapInArrow(run, "sig long, cls long, c int, share int")
+
+
+def stars(members: DataFrame, by: list[str]) -> DataFrame:
+    """(a, b, ca, cb, sig): every member of a group with the group's first text as leader (a < b); b null names leaders of shares.
+
+    ``members`` has (sig, cls, c, share), grouped by ``by``; a text that is
+    there several times comes with each of its places, the leader with its first.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        head = (None, None, 0, 0)  # the group the last batch ended in and its leader: a group may be of any size
+        for batch in common.gathered(batches, 100_000):
+            if not batch.num_rows:
+                continue
+            sig, share, cls, c = (batch.column(k).to_numpy() for k in ("sig", "share", "cls", "c"))
+            new = np.concatenate([[(sig[0], share[0]) != head[:2]], (sig[1:] != sig[:-1]) | (share[1:] != share[:-1])])
+            lead, leadc = cls.copy(), c.copy()
+            at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
+            lead, leadc = (np.where(at >= 0, v[np.maximum(at, 0)], h) for v, h in ((cls, head[2]), (c, head[3])))
+            head = (sig[-1], share[-1], lead[-1], leadc[-1])
+            ok = np.flatnonzero(cls != lead)
+            own = np.flatnonzero(new & (share > 0))
+            if len(ok) + len(own):
+                b = pa.concat_arrays([pa.array(cls[ok]), pa.nulls(len(own), pa.int64())])
+                cols = [np.concatenate([lead[ok], cls[own]]), np.concatenate([leadc[ok], c[own]]).astype(np.int32), np.concatenate([c[ok], c[own]]).astype(np.int32), np.concatenate([sig[ok], sig[own]])]
+                out = pa.RecordBatch.from_arrays([pa.array(cols[0]), b, *map(pa.array, cols[1:])], ["a", "b", "ca", "cb", "sig"])
+                yield out
+
+    return members.repartition(*by).sortWithinPartitions("sig", "share", "cls", "c").mapInArrow(run, "a long, b long, ca int, cb int, sig long")
+
+
+def meetings(members: DataFrame) -> DataFrame:
+    """(a, b, seeds): pairs of a leader and a member with the places where they meet."""
+    once = common.table(stars(members, ["sig", "share"]).select("a", "b", "ca", "cb", F.when(F.col("b").isNull(), F.col("sig")).alias("sig")).distinct(), "meetings")
+    leaders = once.where("b is null").select("sig", F.col("a").alias("cls"), F.col("ca").alias("c"), F.lit(0).alias("share"))
+    pairs = once.where("b is not null").select("a", "b", "ca", "cb").union(stars(leaders, ["sig"]).where("b is not null").select("a", "b", "ca", "cb"))
+    return pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("seeds"))
 
 
 def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
     """(words, matches) of the best common run from the start of x and y; few differing words are bridged."""
-    n = min(len(x), len(y))
-    total, size = 0, 256
+    n, size = min(len(x), len(y)), 256
     while True:
         m = min(n, size)
         gain = np.where(x[:m] == y[:m], MATCH, MISMATCH)
@@ -166,57 +256,84 @@ def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
             if stop == 0 or score[:stop].max(initial=0) <= 0:
                 return 0, 0
             k = int(np.argmax(score[:stop])) + 1
-            return k, int((gain[:k] == MATCH).sum()) + total
+            return k, int((gain[:k] == MATCH).sum())
         size *= 4
 
 
-def passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
-    """(start and end in x, start and end in y) of verified common passages of at least WORDS words.
+def passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
+    """(start and end in x, start and end in y) of verified common passages of at least WORDS words, and the seeds in none.
 
     A seed inside what was found before, on both sides, is not extended again:
     texts that repeat themselves would else match at every pair of places.
     """
     out: list[tuple[int, int, int, int]] = []
+    open_ = []
     for a, b in sorted(set(seeds)):
-        if any(s <= a < e for s, e, _, _ in out) and any(t <= b < u for _, _, t, u in out):
+        if any(s <= a < e and t <= b < u for s, e, t, u in reversed(out)) or any(s <= a < e for s, e, _, _ in out) and any(t <= b < u for _, _, t, u in out):
             continue
         right, r = extend(x[a:], y[b:])
         left, l = extend(x[:a][::-1], y[:b][::-1])
         if left + right >= WORDS and l + r >= LIKE * (left + right):
             out.append((a - left, a + right, b - left, b + right))
-    return out
+        else:
+            open_.append((a, b))
+    return out, open_
 
 
-def verified(pairs: DataFrame, words: DataFrame) -> DataFrame:
-    """(cls, start, end, other): passages of a class that another class repeats."""
+def grams(x: np.ndarray, places: list[int], edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(start, hash) of all runs of WORDS words around the shingles at ``places``, and of those that start at ``edges``."""
+    around = [np.arange(max(0, p - WINDOW + 1), min(p, len(x) - WORDS) + 1) for p in places]
+    starts = np.unique(np.concatenate([*around, [e for e in edges if 0 <= e <= len(x) - WORDS]]).astype(np.int64))
+    h = np.zeros(len(starts), np.uint64)
+    for k in range(WORDS):
+        h = kernels.mix((h ^ x[starts + k].view(np.uint32).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
+    return starts, kernels.signed(h)
+
+
+def verified(pairs: DataFrame, words: DataFrame, name: str, ask: bool) -> DataFrame:
+    """(a, sa, ea, b, sb, eb): passages of a and b that match.  With ``ask`` also (a, sa, gram) of places that don't and of edges."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = []
+            rows, at, gram, own = [], [], [], []
             flat = lambda c: (batch.column(c).flatten(), np.concatenate([[0], np.cumsum(batch.column(c).value_lengths().to_numpy())]).tolist())
-            (wa, ia), (wb, ib), (seeds, at) = flat("wa"), flat("wb"), flat("seeds")
+            (wa, ia), (wb, ib), (seeds, is_) = flat("wa"), flat("wb"), flat("seeds")
             wa, wb = wa.to_numpy(), wb.to_numpy()
             ca, cb = (seeds.field(c).to_pylist() for c in ("ca", "cb"))
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                x, y, k = wa[ia[i] : ia[i + 1]], wb[ib[i] : ib[i + 1]], slice(at[i], at[i + 1])
-                for s, e, t, u in passages(x, y, list(zip(ca[k], cb[k]))):
-                    rows += [(a, s, e, b), (b, t, u, a)]
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int32(), pa.int64()))], ["cls", "start", "end", "other"])
+                x, y, k = wa[ia[i] : ia[i + 1]], wb[ib[i] : ib[i + 1]], slice(is_[i], is_[i + 1])
+                good, failed = passages(x, y, list(zip(ca[k], cb[k])))
+                rows += [(a, s, e, b, t, u) for s, e, t, u in good]
+                if ask:
+                    for k, (cls, text) in enumerate(((a, x), (b, y))):
+                        edges = [p for g in good for p in (g[2 * k] - 1, g[2 * k + 1] + 1 - WORDS)]
+                        s, g = grams(text, sorted({f[k] for f in failed}), edges)
+                        own.append(np.full(len(s), cls))
+                        at.append(s)
+                        gram.append(g)
+            if rows or own:
+                m, o = len(rows), sum(map(len, own))
+                cols = list(zip(*rows)) or [[]] * 6
+                kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+                more = [np.concatenate(own), np.concatenate(at).astype(np.int32), None, None, None, None] if own else [None] * 6
+                out = [pa.concat_arrays([pa.array(c, t), pa.nulls(o, t) if n is None else pa.array(n, t)]) for c, t, n in zip(cols, kinds, more)]
+                out.append(pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.concatenate(gram) if own else [], pa.int64())]))
+                yield pa.RecordBatch.from_arrays(out, ["a", "sa", "ea", "b", "sb", "eb", "gram"])
 
     one, two = (words.select(F.col("cls").alias(k), F.col("words").alias(f"w{k}")) for k in ("a", "b"))
-    return pairs.join(one, "a").join(two, "b").select("a", "b", "seeds", "wa", "wb").mapInArrow(run, "cls long, start int, end int, other long")
+    both = common.spread_join(pairs, one, "a", "b").join(two, "b").select("a", "b", "seeds", "wa", "wb")
+    return common.table(both.mapInArrow(run, "a long, sa int, ea int, b long, sb int, eb int, gram long"), name)
 
 
 def words_of(docs: DataFrame, wanted: object) -> DataFrame:
     """(cls, words): the word hashes (32 bits) of the classes in a Bloom filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        recent = common.Recent()
         for batch in kernels.chunks(batches):
             words, first, cls = hashed(batch)
-            ok = [i for i in np.flatnonzero(common.in_bloom(wanted.value, cls) & (cls != 0)).tolist() if int(cls[i]) not in seen and not seen.add(int(cls[i]))]
-            if ok:
+            ok = np.flatnonzero(recent.fresh(np.where(common.in_bloom(wanted.value, cls), cls, 0)))
+            if len(ok):
                 parts = [(words[first[i] : first[i + 1]] >> np.uint64(32)).astype(np.uint32).view(np.int32) for i in ok]
                 cuts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[ok]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(np.concatenate(parts)))], ["cls", "words"])
@@ -224,52 +341,77 @@ def words_of(docs: DataFrame, wanted: object) -> DataFrame:
     return docs.mapInArrow(run, "cls long, words array<int>").groupBy("cls").agg(F.first("words").alias("words"))
 
 
-def repeats(docs: DataFrame) -> DataFrame:
-    """Documents that share a passage of at least 50 words with another one.
-
-    Returns doc_id, n_words, n_copies (rows with the very same words, itself
-    included), n_partners, partner_ids (the smallest doc_id of each text it
-    was matched with, at most one a text) and passages (``start:end`` in
-    words, comma-joined; the whole text for copies).  Rows without any repeat
-    aren't returned; null, empty and short texts have none.  Repeated rows and
-    repeated doc_ids count as copies of each other; a null doc_id comes back as
-    null.  Other columns are ignored.
-    """
-    spark = common.ready(docs.sparkSession)
-    sc = spark.sparkContext
-    docs = common.texts(docs, "doc_id", "text")
-
-    def named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in kernels.chunks(batches):
-            _, first, cls = hashed(batch)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(cls), pa.array(np.diff(first))], ["doc_id", "cls", "n_words"])
-
-    rows = common.table(docs.mapInArrow(named, "doc_id long, cls long, n_words long").where(F.col("n_words") >= WORDS), "texts")
-    classes = rows.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"), F.first("n_words").alias("n"))
-    pairs = meetings(windows(docs)).groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb", "f")).alias("seeds"))
-    pairs = common.table(pairs.where(F.size(F.array_distinct(F.transform("seeds", lambda s: s["f"]))) >= ENOUGH), "pairs")
+def matches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
+    """(a, sa, ea, b, sb, eb): enough verified passages of pairs of texts to connect all that match."""
+    sc = docs.sparkSession.sparkContext
+    warm = sc.broadcast(heat(counts))
+    members = signatures(shared_windows(windows(docs, warm)), warm)
+    pairs = common.table(meetings(members), "pairs")
     wanted = sc.broadcast(common.bloom(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
-    found = common.table(verified(pairs, words_of(docs, wanted)), "passages")
-    other = classes.select(F.col("cls").alias("other"), F.col("low").alias("partner"))
-    per = (
-        found.join(other, "other").groupBy("cls")
-        .agg(F.sort_array(F.collect_set("partner")).alias("partner_ids"), F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))
-    )
-    merged = F.aggregate(
-        "spans", F.array().cast("array<struct<start:int,end:int>>"),
+    words = common.table(words_of(docs, wanted), "words")
+    first = verified(pairs, words, "passages", True)
+    # what fails at its leader's place can still repeat another member exactly
+    again = first.where("gram is not null").select(F.col("gram").alias("sig"), F.col("a").alias("cls"), F.col("sa").alias("c")).distinct()
+    share = F.pmod(F.shiftright("cls", 8), F.lit(64)).cast("int") + 1
+    exact = common.table(meetings(again.withColumn("share", share)), "exact")
+    second = verified(exact, words, "exact_passages", False)
+    return first.where("gram is null").union(second).drop("gram").distinct()
+
+
+def merged(spans: str):
+    """Sorted spans with those that overlap or touch united."""
+    shape = "array<struct<start:int,end:int>>"
+    return F.aggregate(
+        spans, F.array().cast(shape),
         lambda acc, s: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= s["start"]),
             F.concat(F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0))), F.array(F.struct(F.element_at(acc, -1)["start"].alias("start"), F.greatest(F.element_at(acc, -1)["end"], s["end"]).alias("end")))),
         ).otherwise(F.concat(acc, F.array(s))),
     )
-    whole = F.concat(F.lit("0:"), F.col("n").cast("string"))
-    text = F.array_join(F.transform(merged, lambda s: F.concat_ws(":", s["start"].cast("string"), s["end"].cast("string"))), ",")
-    final = (
-        classes.join(per, "cls", "left").where((F.col("n_copies") > 1) | F.col("spans").isNotNull())
-        .select("cls", "low", "n_copies", F.coalesce("partner_ids", F.array().cast("array<long>")).alias("partner_ids"), F.when(F.col("n_copies") > 1, whole).otherwise(text).alias("passages"))
+
+
+def repeats(docs: DataFrame) -> DataFrame:
+    """Documents that share a passage of at least 50 words with another one.
+
+    Returns doc_id, n_words, n_copies (rows with the very same words, itself
+    included), first_copy_id, n_passages, passages (``start:end`` in words,
+    comma-joined, in order), passage_ids (the class of each passage: equal ids
+    are one passage), n_texts (different texts that hold the passage, itself
+    included) and first_ids (smallest doc_id that holds it).  Passages of a
+    text that overlap are one.  Rows without any repeat aren't returned; null,
+    empty and short texts have none.  Repeated rows and repeated doc_ids count
+    as copies of each other, and copies without other partners have no
+    passages beside that; ties go to the smallest class.  A null doc_id comes
+    back as null.  Texts may have any length.  An empty table gives no rows.
+    Other columns are ignored.
+    """
+    common.ready(docs.sparkSession)
+    docs = common.texts(docs, "doc_id", "text")
+    rows, counts = rows_of(docs)
+    classes = rows.groupBy("cls").agg(F.min("doc_id").alias("low"), F.count("*").alias("n_copies"))
+    found = common.table(matches(docs, counts), "matches")
+    both = found.select(F.col("a").alias("cls"), F.col("sa").alias("start"), F.col("ea").alias("end")).union(found.select("b", "sb", "eb"))
+    spans = both.groupBy("cls").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans")).select("cls", merged("spans").alias("spans"))
+    spans = common.table(spans, "spans")
+
+    def node(end: str, place: str) -> F.Column:
+        return F.xxhash64(end, F.filter("spans", lambda s: (s["start"] <= F.col(place)) & (F.col(place) < s["end"]))[0]["start"])
+
+    links = common.table(found.select("a", "sa", "b", "sb").distinct(), "links")
+    left = common.table(common.spread_join(links, spans.withColumnRenamed("cls", "a"), "a", "b").select(node("a", "sa").alias("na"), "b", "sb"), "links")
+    ends = common.spread_join(left, spans.withColumnRenamed("cls", "b"), "b", "na").select(F.col("na").alias("a"), node("b", "sb").alias("b"))
+    comp = common.components(ends).withColumnRenamed("comp", "id")
+    nodes = spans.select("cls", F.explode("spans").alias("s")).select("cls", "s", F.xxhash64("cls", F.col("s.start")).alias("node")).join(comp, "node").join(classes, "cls")
+    nodes = common.table(nodes.select("cls", "s", "id", "low"), "nodes")
+    sizes = nodes.groupBy("id").agg(F.countDistinct("cls").alias("n"), F.min("low").alias("first"))
+    per = common.spread_join(nodes, sizes, "id", "cls").groupBy("cls").agg(F.sort_array(F.collect_list(F.struct("s", "id", "n", "first"))).alias("p"))
+    text = F.array_join(F.transform("p", lambda x: F.concat_ws(":", x["s"]["start"].cast("string"), x["s"]["end"].cast("string"))), ",")
+    final = classes.join(per, "cls", "left").where((F.col("n_copies") > 1) | F.col("p").isNotNull()).select(
+        "cls", "low", "n_copies", F.coalesce(F.size("p"), F.lit(0)).alias("size"), F.coalesce(text, F.lit("")).alias("passages"),
+        *(F.coalesce(F.col(f"p.{k}"), F.array().cast("array<long>")).alias(v) for k, v in (("id", "passage_ids"), ("n", "n_texts"), ("first", "first_ids"))),
     )
-    return rows.join(final, "cls").select(
-        "doc_id", "n_words", "n_copies", F.col("low").alias("first_copy_id"), F.size("partner_ids").cast("long").alias("n_partners"), "partner_ids", "passages",
+    return common.spread_join(rows, final, "cls", "doc_id").select(
+        "doc_id", "n_words", "n_copies", F.col("low").alias("first_copy_id"), F.greatest("size", F.lit(0)).cast("long").alias("n_passages"), "passages", "passage_ids", "n_texts", "first_ids",
     )
 
 
