@@ -14,10 +14,11 @@ of them a function, and they cover every subsequence of that width.
 3. Texts with equal signatures form a group.  Each member is verified against
    the group's leader by extending from their roots, word by word (32-bit
    hashes of words).  A group of any size costs one comparison a member.
-4. Members that don't match their leader there meet once more by the exact
-   passages of WORDS words around the root, and those that do by the ones that
-   reach a word beyond the match; each group of these again has one leader.  So
-   exact repeats are never lost, whatever the sizes of groups.
+4. Members of larger groups meet once more by the exact runs of GRAM words
+   around their roots that don't lie in what they share with the leader; each
+   group of these again has one leader, and members that fail there meet by
+   their exact passages of WORDS words.  So texts that repeat a passage exactly
+   find each other, whatever the sizes of groups.
 5. Matched passages are linked to passage classes: connected components of
    (text, passage) nodes.  Nothing is ever expanded to all pairs of a group.
 
@@ -37,11 +38,14 @@ from pyspark.sql import functions as F
 
 from . import common, kernels, setjoin
 
-WORDS, SHINGLE, HASHES, ENOUGH = 50, 5, 6, 2
+WORDS, SHINGLE, HASHES, ENOUGH = 50, 5, 5, 2
 WINDOW = WORDS - SHINGLE + 1
 MATCH, MISMATCH, DROP, LIKE = 1, -4, 16, 0.8
-#: Buckets of the root counts; keys of buckets beyond HOT rows (and beyond 8 times the mean) are spread.
+#: Buckets of the shingle counts; keys of buckets beyond HOT rows (and beyond 8 times the mean) are spread.
 WIDTH, HOT = 1 << 20, 20_000
+#: Any WORDS words around a root hold one of the runs of GRAM words that start STEP words apart from the root.
+STEP = 8
+GRAM = WORDS - STEP + 1
 _BITS = 22
 _POS = (1 << _BITS) - 1
 _SEEDS = [np.uint64(0x9E3779B97F4A7C15 * (2 * f + 1) & (1 << 64) - 1) for f in range(HASHES)]
@@ -97,21 +101,18 @@ def roots(values: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return low[new], at[new], at[last] + w - 1
 
 
-def _packed(l: np.ndarray, c: np.ndarray, r: np.ndarray) -> np.ndarray:
-    """One long of a window: l, c - l and r - l - WINDOW + 1 (both below WINDOW)."""
-    return l << 16 | (c - l) << 8 | (r - l - WINDOW + 1)
+def _packed(l: np.ndarray, c: np.ndarray, r: np.ndarray, shares: np.ndarray) -> np.ndarray:
+    """One long of a window: l, the power of two of its key's shares, c - l and r - l - WINDOW + 1 (both below WINDOW)."""
+    return l << 22 | shares.astype(np.int64) << 16 | (c - l) << 8 | (r - l - WINDOW + 1)
 
 
 def rows_of(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(doc_id, cls, n_words) of every text of at least WORDS words, and root counts by bucket over all documents."""
+    """(doc_id, cls, n_words) of every text of at least WORDS words, and shingle counts by bucket over all documents."""
 
     def rows(batch: pa.RecordBatch, counts: np.ndarray) -> pa.RecordBatch:
         words, first, cls = hashed(batch)
         h, offs = kernels.shingles(words, first, SHINGLE)
-        for seed in _SEEDS:
-            v = kernels.mix(h ^ seed)
-            c, _, _ = roots(v, offs)
-            counts += np.bincount(_bucket(kernels.mix(v[c])), minlength=WIDTH)
+        counts += np.bincount((h & np.uint64(WIDTH - 1)).astype(np.int64), minlength=WIDTH)
         ok = np.flatnonzero(np.diff(first) >= WORDS)
         return pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(ok)), pa.array(cls[ok]), pa.array(np.diff(first)[ok])], ["doc_id", "cls", "n_words"])
 
@@ -124,12 +125,8 @@ def heat(counts: np.ndarray) -> np.ndarray:
     return np.ceil(np.log2(np.maximum(counts / bound, 1))).astype(np.uint8)
 
 
-def _bucket(key: np.ndarray) -> np.ndarray:
-    return (key.view(np.uint64) >> np.uint64(44)).astype(np.int64)
-
-
 def windows(docs: DataFrame, warm: object) -> DataFrame:
-    """(key, cls, at, hot): a row for each compact window; key holds the root's hash and the function in its lowest bits."""
+    """(key, cls, at): a row for each compact window; key holds the root's hash and the function in its lowest bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = common.Recent()
@@ -147,10 +144,11 @@ def windows(docs: DataFrame, warm: object) -> DataFrame:
                     d = text[c]
                     key = kernels.signed((kernels.mix(v[c]) & ~np.uint64(7)) | np.uint64(f))
                     lo = offs[d]
-                    cols = [key, cls[d], _packed(l - lo, c - lo, r - lo), warm.value[_bucket(key)] > 0]
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "cls", "at", "hot"])
+                    shares = warm.value[(h[c] & np.uint64(WIDTH - 1)).astype(np.int64)]
+                    cols = [key, cls[d], _packed(l - lo, c - lo, r - lo, shares)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in cols], ["key", "cls", "at"])
 
-    return docs.mapInArrow(run, "key long, cls long, at long, hot boolean")
+    return docs.mapInArrow(run, "key long, cls long, at long")
 
 
 def shared_windows(found: DataFrame) -> DataFrame:
@@ -159,16 +157,16 @@ def shared_windows(found: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in common.sorted_groups(batches, "key"):
             start, size = setjoin.group_bounds(g["key"])
-            two = (np.minimum.reduceat(g["cls"], start) != np.maximum.reduceat(g["cls"], start)) | np.logical_or.reduceat(g["hot"].astype(bool), start)
+            two = (np.minimum.reduceat(g["cls"], start) != np.maximum.reduceat(g["cls"], start)) | np.logical_or.reduceat((g["at"] >> 16 & 63) > 0, start)
             keep = np.flatnonzero(np.repeat(two, size))
             if len(keep):
                 yield pa.RecordBatch.from_arrays([pa.array(g[c][keep]) for c in ("cls", "key", "at")], ["cls", "key", "at"])
 
-    where = F.when(F.col("hot"), F.xxhash64("key", "cls")).otherwise(F.col("key"))
+    where = F.when(F.col("at").bitwiseAND(63 << 16) > 0, F.xxhash64("key", "cls")).otherwise(F.col("key"))
     return found.repartition(where).sortWithinPartitions("key").mapInArrow(run, "cls long, key long, at long")
 
 
-def signatures(shared: DataFrame, warm: object) -> DataFrame:
+def signatures(shared: DataFrame) -> DataFrame:
     """(sig, cls, c, share): where windows of two functions intersect in a passage; c is the first function's root.
 
     The interval join runs inside a text, over both functions' windows by their
@@ -182,8 +180,9 @@ def signatures(shared: DataFrame, warm: object) -> DataFrame:
             again = np.concatenate([[False], (cls[1:] == cls[:-1]) & (at[1:] == at[:-1]) & (key[1:] == key[:-1])])
             cls, key, at = cls[~again], key[~again], at[~again]
             text = np.cumsum(np.concatenate([[0], cls[1:] != cls[:-1]])).astype(np.int64)
-            first = (text << 40) + (at >> 16)
-            last, c = first + (at & 255), (at >> 16) + (at >> 8 & 255)
+            first = (text << 40) + (at >> 22)
+            last, c = first + (at & 255), (at >> 22) + (at >> 8 & 255)
+            warm = at >> 16 & 63
             mine = [np.flatnonzero((key & 7) == f) for f in range(HASHES)]
             for f in range(HASHES):
                 for e in range(f + 1, HASHES):
@@ -197,7 +196,7 @@ def signatures(shared: DataFrame, warm: object) -> DataFrame:
                     if not len(i):
                         continue
                     sig = kernels.mix(kernels.mix(key[i].view(np.uint64)) ^ key[j].view(np.uint64))
-                    shares = np.minimum(warm.value[_bucket(key[i])], warm.value[_bucket(key[j])]).astype(np.int64)
+                    shares = np.minimum(warm[i], warm[j])
                     share = (cls[i] >> 8) & ((1 << shares) - 1)
                     cols = [kernels.signed(sig), cls[i], c[i].astype(np.int32), np.where(shares > 0, share + 1, 0).astype(np.int32)]
                     yield pa.RecordBatch.from_arrays([pa.array(v) for v in cols], ["sig", "cls", "c", "share"])
@@ -206,10 +205,11 @@ def signatures(shared: DataFrame, warm: object) -> DataFrame:
 
 
 def stars(members: DataFrame, by: list[str]) -> DataFrame:
-    """(a, b, ca, cb, sig): every member of a group with the group's first text as leader (a < b); b null names leaders of shares.
+    """(a, b, ca, cb, sig): every member b of a group with the group's first text a; b null names leaders of shares.
 
     ``members`` has (sig, cls, c, share), grouped by ``by``; a text that is
-    there several times comes with each of its places, the leader with its first.
+    there several times comes with each of its places, the leader with its
+    first.  ``sig`` is null where the group has only two texts.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -218,28 +218,34 @@ def stars(members: DataFrame, by: list[str]) -> DataFrame:
             if not batch.num_rows:
                 continue
             sig, share, cls, c = (batch.column(k).to_numpy() for k in ("sig", "share", "cls", "c"))
-            new = np.concatenate([[(sig[0], share[0]) != head[:2]], (sig[1:] != sig[:-1]) | (share[1:] != share[:-1])])
-            lead, leadc = cls.copy(), c.copy()
+            inner = (sig[1:] != sig[:-1]) | (share[1:] != share[:-1])
+            new = np.concatenate([[(sig[0], share[0]) != head[:2]], inner])
             at = np.maximum.accumulate(np.where(new, np.arange(len(sig)), -1))
             lead, leadc = (np.where(at >= 0, v[np.maximum(at, 0)], h) for v, h in ((cls, head[2]), (c, head[3])))
+            group = np.cumsum(np.concatenate([[False], inner]))
+            texts = np.bincount(group, np.concatenate([[False], inner | (cls[1:] != cls[:-1])])) + (np.bincount(group) > 0)
+            texts[0] += at[0] < 0
+            large = (texts > 2)[group] | (group == group[-1]) | (share > 0)  # the last group may go on
             head = (sig[-1], share[-1], lead[-1], leadc[-1])
             ok = np.flatnonzero(cls != lead)
             own = np.flatnonzero(new & (share > 0))
             if len(ok) + len(own):
-                b = pa.concat_arrays([pa.array(cls[ok]), pa.nulls(len(own), pa.int64())])
-                cols = [np.concatenate([lead[ok], cls[own]]), np.concatenate([leadc[ok], c[own]]).astype(np.int32), np.concatenate([c[ok], c[own]]).astype(np.int32), np.concatenate([sig[ok], sig[own]])]
-                out = pa.RecordBatch.from_arrays([pa.array(cols[0]), b, *map(pa.array, cols[1:])], ["a", "b", "ca", "cb", "sig"])
-                yield out
+                none = lambda k: pa.nulls(k, pa.int64())
+                kept = pa.array(sig[ok], mask=~large[ok])
+                cols = [np.concatenate([lead[ok], cls[own]]), pa.concat_arrays([pa.array(cls[ok]), none(len(own))]), *(np.concatenate([v[ok], c[own]]).astype(np.int32) for v in (leadc, c)), pa.concat_arrays([kept, pa.array(sig[own])])]
+                yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in cols], ["a", "b", "ca", "cb", "sig"])
 
     return members.repartition(*by).sortWithinPartitions("sig", "share", "cls", "c").mapInArrow(run, "a long, b long, ca int, cb int, sig long")
 
 
-def meetings(members: DataFrame) -> DataFrame:
-    """(a, b, seeds): pairs of a leader and a member with the places where they meet."""
-    once = common.table(stars(members, ["sig", "share"]).select("a", "b", "ca", "cb", F.when(F.col("b").isNull(), F.col("sig")).alias("sig")).distinct(), "meetings")
-    leaders = once.where("b is null").select("sig", F.col("a").alias("cls"), F.col("ca").alias("c"), F.lit(0).alias("share"))
-    pairs = once.where("b is not null").select("a", "b", "ca", "cb").union(stars(leaders, ["sig"]).where("b is not null").select("a", "b", "ca", "cb"))
-    return pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb")).alias("seeds"))
+def meetings(members: DataFrame, spread: bool) -> DataFrame:
+    """(a, b, seeds): pairs of a leader and a member with the places (ca, cb, large: of a group of more texts) where they meet."""
+    pairs = stars(members, ["sig", "share"])
+    if spread:
+        once = common.table(pairs, "meetings")
+        leaders = once.where("b is null").select("sig", F.col("a").alias("cls"), F.col("ca").alias("c"), F.lit(0).alias("share"))
+        pairs = once.where("b is not null").union(stars(leaders, ["sig"]))
+    return pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb", F.col("sig").isNotNull().alias("large"))).alias("seeds"))
 
 
 def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
@@ -260,65 +266,78 @@ def extend(x: np.ndarray, y: np.ndarray) -> tuple[int, int]:
         size *= 4
 
 
-def passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> tuple[list[tuple[int, int, int, int]], list[tuple[int, int]]]:
-    """(start and end in x, start and end in y) of verified common passages of at least WORDS words, and the seeds in none.
+def passages(x: np.ndarray, y: np.ndarray, seeds: list[tuple[int, int]]) -> list[tuple[int, int, int, int]]:
+    """(start and end in x, start and end in y) of verified common passages of at least WORDS words.
 
     A seed inside what was found before, on both sides, is not extended again:
     texts that repeat themselves would else match at every pair of places.
     """
     out: list[tuple[int, int, int, int]] = []
-    open_ = []
     for a, b in sorted(set(seeds)):
-        if any(s <= a < e and t <= b < u for s, e, t, u in reversed(out)) or any(s <= a < e for s, e, _, _ in out) and any(t <= b < u for _, _, t, u in out):
+        if any(s <= a < e for s, e, _, _ in out) and any(t <= b < u for _, _, t, u in out):
             continue
         right, r = extend(x[a:], y[b:])
         left, l = extend(x[:a][::-1], y[:b][::-1])
         if left + right >= WORDS and l + r >= LIKE * (left + right):
             out.append((a - left, a + right, b - left, b + right))
-        else:
-            open_.append((a, b))
-    return out, open_
+    return out
+
+
+class Grams:
+    """Hashes of runs of words anywhere in many texts laid end to end, from sums of weighted words."""
+
+    BASE = 0x9E3779B97F4A7C15
 
+    def __init__(self, flat: np.ndarray):
+        n = len(flat)
+        power = lambda b: np.cumprod(np.concatenate([[np.uint64(1)], np.full(n, b & (1 << 64) - 1, np.uint64)]))
+        self.back = power(pow(self.BASE, -1, 1 << 64))
+        self.upto = np.concatenate([[np.uint64(0)], np.cumsum(kernels.mix(flat.view(np.uint32).astype(np.uint64)) * power(self.BASE)[:n])])
 
-def grams(x: np.ndarray, places: list[int], edges: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(start, hash) of all runs of WORDS words around the shingles at ``places``, and of those that start at ``edges``."""
-    around = [np.arange(max(0, p - WINDOW + 1), min(p, len(x) - WORDS) + 1) for p in places]
-    starts = np.unique(np.concatenate([*around, [e for e in edges if 0 <= e <= len(x) - WORDS]]).astype(np.int64))
-    h = np.zeros(len(starts), np.uint64)
-    for k in range(WORDS):
-        h = kernels.mix((h ^ x[starts + k].view(np.uint32).astype(np.uint64)) + np.uint64(0x9E3779B97F4A7C15))
-    return starts, kernels.signed(h)
+    def at(self, start: np.ndarray, size: int) -> np.ndarray:
+        return kernels.signed(kernels.mix((self.upto[start + size] - self.upto[start]) * self.back[start]))
 
 
-def verified(pairs: DataFrame, words: DataFrame, name: str, ask: bool) -> DataFrame:
-    """(a, sa, ea, b, sb, eb): passages of a and b that match.  With ``ask`` also (a, sa, gram) of places that don't and of edges."""
+def _asked(n: int, seeds: list[tuple[int, bool]], good: list[tuple[int, int]], size: int) -> list[int]:
+    """Starts of the runs of ``size`` words of a text of n words that may repeat beyond its spans ``good``."""
+    step = STEP if size == GRAM else 1
+    starts = {c - k for c, large in seeds if large for k in range(0, WINDOW, step)}
+    for s, e in good:
+        starts = {p for p in starts if p < s or p + size > e}
+    starts |= {p for s, e in good for p in (s - 1, e + 1 - size)}
+    return [p for p in starts if 0 <= p <= n - size]
+
+
+def verified(pairs: DataFrame, words: DataFrame, name: str, ask: int) -> DataFrame:
+    """(a, sa, ea, b, sb, eb): passages of a and b that match.
+
+    With ``ask``, a number of words, also (b, sb, gram) of runs of so many
+    words of members around places in larger groups and at edges of passages.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, at, gram, own = [], [], [], []
+            rows, own, place = [], [], []
             flat = lambda c: (batch.column(c).flatten(), np.concatenate([[0], np.cumsum(batch.column(c).value_lengths().to_numpy())]).tolist())
-            (wa, ia), (wb, ib), (seeds, is_) = flat("wa"), flat("wb"), flat("seeds")
+            (wa, ia), (wb, ib), (seeds, at) = flat("wa"), flat("wb"), flat("seeds")
             wa, wb = wa.to_numpy(), wb.to_numpy()
-            ca, cb = (seeds.field(c).to_pylist() for c in ("ca", "cb"))
+            ca, cb, large = (seeds.field(c).to_pylist() for c in ("ca", "cb", "large"))
             for i, (a, b) in enumerate(zip(batch.column("a").to_pylist(), batch.column("b").to_pylist())):
-                x, y, k = wa[ia[i] : ia[i + 1]], wb[ib[i] : ib[i + 1]], slice(is_[i], is_[i + 1])
-                good, failed = passages(x, y, list(zip(ca[k], cb[k])))
+                x, y, k = wa[ia[i] : ia[i + 1]], wb[ib[i] : ib[i + 1]], slice(at[i], at[i + 1])
+                good = passages(x, y, list(zip(ca[k], cb[k])))
                 rows += [(a, s, e, b, t, u) for s, e, t, u in good]
-                if ask:
-                    for k, (cls, text) in enumerate(((a, x), (b, y))):
-                        edges = [p for g in good for p in (g[2 * k] - 1, g[2 * k + 1] + 1 - WORDS)]
-                        s, g = grams(text, sorted({f[k] for f in failed}), edges)
-                        own.append(np.full(len(s), cls))
-                        at.append(s)
-                        gram.append(g)
-            if rows or own:
-                m, o = len(rows), sum(map(len, own))
-                cols = list(zip(*rows)) or [[]] * 6
+                more = [(c, l) for c, l in zip(cb[k], large[k]) if l]
+                if ask and more:
+                    starts = _asked(len(y), more, [g[2:] for g in good], ask)
+                    own += [(b, p) for p in starts]
+                    place += [ib[i] + p for p in starts]
+            m, o = len(rows), len(own)
+            if m + o:
+                cols = [[*r, *n] for r, n in zip(zip(*rows) if m else [()] * 6, ([None] * o, [None] * o, [None] * o, [b for b, _ in own], [p for _, p in own], [None] * o))]
+                gram = Grams(wb).at(np.array(place, np.int64), ask) if o else []
                 kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-                more = [np.concatenate(own), np.concatenate(at).astype(np.int32), None, None, None, None] if own else [None] * 6
-                out = [pa.concat_arrays([pa.array(c, t), pa.nulls(o, t) if n is None else pa.array(n, t)]) for c, t, n in zip(cols, kinds, more)]
-                out.append(pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(np.concatenate(gram) if own else [], pa.int64())]))
-                yield pa.RecordBatch.from_arrays(out, ["a", "sa", "ea", "b", "sb", "eb", "gram"])
+                out = [pa.array(c, t) for c, t in zip(cols, kinds)]
+                yield pa.RecordBatch.from_arrays([*out, pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(gram, pa.int64())])], ["a", "sa", "ea", "b", "sb", "eb", "gram"])
 
     one, two = (words.select(F.col("cls").alias(k), F.col("words").alias(f"w{k}")) for k in ("a", "b"))
     both = common.spread_join(pairs, one, "a", "b").join(two, "b").select("a", "b", "seeds", "wa", "wb")
@@ -344,18 +363,21 @@ def words_of(docs: DataFrame, wanted: object) -> DataFrame:
 def matches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(a, sa, ea, b, sb, eb): enough verified passages of pairs of texts to connect all that match."""
     sc = docs.sparkSession.sparkContext
-    warm = sc.broadcast(heat(counts))
-    members = signatures(shared_windows(windows(docs, warm)), warm)
-    pairs = common.table(meetings(members), "pairs")
+    warm = heat(counts)
+    members = signatures(shared_windows(windows(docs, sc.broadcast(warm))))
+    pairs = common.table(meetings(members, bool(warm.any())), "pairs")
     wanted = sc.broadcast(common.bloom(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
     words = common.table(words_of(docs, wanted), "words")
-    first = verified(pairs, words, "passages", True)
-    # what fails at its leader's place can still repeat another member exactly
-    again = first.where("gram is not null").select(F.col("gram").alias("sig"), F.col("a").alias("cls"), F.col("sa").alias("c")).distinct()
-    share = F.pmod(F.shiftright("cls", 8), F.lit(64)).cast("int") + 1
-    exact = common.table(meetings(again.withColumn("share", share)), "exact")
-    second = verified(exact, words, "exact_passages", False)
-    return first.where("gram is null").union(second).drop("gram").distinct()
+    found = None
+    for name, ask in (("roots", GRAM), ("runs", WORDS), ("exact", 0)):
+        some = verified(pairs, words, name, ask)
+        good = some.where("gram is null").drop("gram")
+        found = good if found is None else found.union(good)
+        if ask:
+            again = some.where("gram is not null").select(F.col("gram").alias("sig"), F.col("b").alias("cls"), F.col("sb").alias("c")).distinct()
+            share = F.pmod(F.shiftright("cls", 8), F.lit(16)).cast("int") + 1 if warm.any() else F.lit(0)
+            pairs = common.table(meetings(again.withColumn("share", share), bool(warm.any())), "pairs")
+    return found.distinct()
 
 
 def merged(spans: str):
