@@ -195,7 +195,8 @@ def signatures(shared: DataFrame) -> DataFrame:
                     j = y[np.repeat(lo - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
                     if not len(i):
                         continue
-                    sig = kernels.mix(kernels.mix(key[i].view(np.uint64)) ^ key[j].view(np.uint64))
+                    one = kernels.mix(key[i].view(np.uint64))  # in the high half, so that groups of one root lie together
+                    sig = (one & ~np.uint64(0xFFFFFFFF)) | (kernels.mix(one ^ key[j].view(np.uint64)) >> np.uint64(32))
                     shares = np.minimum(warm[i], warm[j])
                     share = (cls[i] >> 8) & ((1 << shares) - 1)
                     cols = [kernels.signed(sig), cls[i], c[i].astype(np.int32), np.where(shares > 0, share + 1, 0).astype(np.int32)]
@@ -207,7 +208,7 @@ def signatures(shared: DataFrame) -> DataFrame:
 def stars(members: DataFrame, by: list[str]) -> DataFrame:
     """(a, b, ca, cb, sig): every member b of a group with the group's first text a; b null names leaders of shares.
 
-    ``members`` has (sig, cls, c, share), grouped by ``by``; a text that is
+    ``members`` has (sig, cls, c, share), dealt by the root of sig and ``by``; a text that is
     there several times comes with each of its places, the leader with its
     first.  ``sig`` is null where the group has only two texts.
     """
@@ -228,6 +229,10 @@ def stars(members: DataFrame, by: list[str]) -> DataFrame:
             large = (texts > 2)[group] | (group == group[-1]) | (share > 0)  # the last group may go on
             head = (sig[-1], share[-1], lead[-1], leadc[-1])
             ok = np.flatnonzero(cls != lead)
+            if len(ok):  # signatures of one root give the same places
+                order = ok[np.lexsort((~large[ok], c[ok], leadc[ok], cls[ok], lead[ok]))]
+                same = np.logical_and.reduce([v[order][1:] == v[order][:-1] for v in (c, leadc, cls, lead)])
+                ok = order[np.concatenate([[True], ~same])]
             own = np.flatnonzero(new & (share > 0))
             if len(ok) + len(own):
                 none = lambda k: pa.nulls(k, pa.int64())
@@ -235,16 +240,17 @@ def stars(members: DataFrame, by: list[str]) -> DataFrame:
                 cols = [np.concatenate([lead[ok], cls[own]]), pa.concat_arrays([pa.array(cls[ok]), none(len(own))]), *(np.concatenate([v[ok], c[own]]).astype(np.int32) for v in (leadc, c)), pa.concat_arrays([kept, pa.array(sig[own])])]
                 yield pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(v) for v in cols], ["a", "b", "ca", "cb", "sig"])
 
-    return members.repartition(*by).sortWithinPartitions("sig", "share", "cls", "c").mapInArrow(run, "a long, b long, ca int, cb int, sig long")
+    where = [F.shiftright("sig", 32).alias("root"), *by]
+    return members.repartition(*where).sortWithinPartitions("share", "sig", "cls", "c").mapInArrow(run, "a long, b long, ca int, cb int, sig long")
 
 
 def meetings(members: DataFrame, spread: bool) -> DataFrame:
     """(a, b, seeds): pairs of a leader and a member with the places (ca, cb, large: of a group of more texts) where they meet."""
-    pairs = stars(members, ["sig", "share"])
+    pairs = stars(members, ["share"])
     if spread:
         once = common.table(pairs, "meetings")
         leaders = once.where("b is null").select("sig", F.col("a").alias("cls"), F.col("ca").alias("c"), F.lit(0).alias("share"))
-        pairs = once.where("b is not null").union(stars(leaders, ["sig"]))
+        pairs = once.where("b is not null").union(stars(leaders, []))
     return pairs.groupBy("a", "b").agg(F.collect_set(F.struct("ca", "cb", F.col("sig").isNotNull().alias("large"))).alias("seeds"))
 
 
