@@ -34,7 +34,8 @@ def unit_starts(buf: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
     These are text starts, and single spaces or newlines between two
     characters that are not white space in any sense; a word never reaches
-    across such a place, so units between them can be encoded apart.
+    across such a place, so units between them can be encoded apart.  Names of
+    added tokens hold no white space and lie inside one unit.
     """
     n = int(offsets[-1])
     b = np.concatenate([np.zeros(3, np.uint8), buf[:n], np.zeros(3, np.uint8)])
@@ -59,7 +60,6 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.batch = getattr(self.tokenizer, "encode_batch_fast", self.tokenizer.encode_batch)
         # a byte-level vocabulary writes each byte as one character
         vocab = self.tokenizer.get_vocab()
@@ -252,7 +252,10 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, ids: bool =
 
     Null texts count as empty (their one piece is the end id).  Repeated rows
     and repeated or null doc_ids are packed each for itself.  An empty table
-    gives no rows.  Other columns are ignored.
+    gives no rows.  A text may have any length: it becomes pieces of
+    ``capacity`` tokens.  Names of added tokens in a text become their ids, as
+    the tokenizer does it.  Pieces equal in all take any of their slots.  Other
+    columns are ignored.
     """
     common.ready(docs.sparkSession)
     return place(common.table(pieces(docs, tokenizer, capacity, ids), "pieces"), capacity)

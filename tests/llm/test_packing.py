@@ -11,14 +11,12 @@ from shearwater.llm import packing
 def tok():
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(packing.tokenizer_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(packing.tokenizer_path())
 
 
 NASTY = [
     "", None, " ", "  two  spaces ", "a\nb\n\nc \n d", "tab\tx y z 　w", "déjà vu à la carte", "x" * 5000, "don't we'll 123 !!",
-    "café wide line \u0085 next", "<|endoftext|> text", "emoji 🐾 🐾🐾 z", "word " * 3000, "\x1c\x1d a \x1f b", "日本語 の テキスト\n\n行",
+    "café wide line \u0085 next", "<|endoftext|> text", "a<|endoftext|>b c", "x\n<|endoftext|>\ny <|endoftext|> z <|endoftext|", "two <|endoftext|><|endoftext|>q", "emoji 🐾 🐾🐾 z", "word " * 3000, "\x1c\x1d a \x1f b", "日本語 の テキスト\n\n行",
 ]
 
 
