@@ -366,6 +366,16 @@ def words_of(docs: DataFrame, wanted: object) -> DataFrame:
     return docs.mapInArrow(run, "cls long, words array<int>").groupBy("cls").agg(F.first("words").alias("words"))
 
 
+def only(words: DataFrame, wanted: object) -> DataFrame:
+    """The rows of ``words`` whose class is in a Bloom filter."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.filter(pa.array(common.in_bloom(wanted.value, batch.column("cls").to_numpy())))
+
+    return words.mapInArrow(run, words.schema)
+
+
 def matches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
     """(a, sa, ea, b, sb, eb): enough verified passages of pairs of texts to connect all that match."""
     sc = docs.sparkSession.sparkContext
@@ -383,6 +393,7 @@ def matches(docs: DataFrame, counts: np.ndarray) -> DataFrame:
             again = some.where("gram is not null").select(F.col("gram").alias("sig"), F.col("b").alias("cls"), F.col("sb").alias("c")).distinct()
             share = F.pmod(F.shiftright("cls", 8), F.lit(16)).cast("int") + 1 if warm.any() else F.lit(0)
             pairs = common.table(meetings(again.withColumn("share", share), bool(warm.any())), "pairs")
+            words = only(words, sc.broadcast(common.bloom(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls")))
     return found.distinct()
 
 
