@@ -10,11 +10,12 @@ line, which keeps large groups of near copies from becoming all pairs.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, kernels, setjoin
@@ -66,9 +67,35 @@ class Lines:
         count = self.count[lines]
         at = np.repeat(self.first[:-1][lines] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
         names, rank = np.unique(keys[at], return_inverse=True)
-        both = np.sort((np.repeat(np.arange(len(lines), dtype=np.int64), count) << 24) | rank)
+        both = np.sort(np.repeat(np.arange(len(lines), dtype=np.int64), count) * max(len(names), 1) + rank)
         both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        return names[both & 0xFFFFFF], np.bincount(both >> 24, minlength=len(lines))
+        line, rank = np.divmod(both, max(len(names), 1))
+        return names[rank], np.bincount(line, minlength=len(lines))
+
+
+def _place(doc: np.ndarray, th: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two longs whose order is that of lines: doc_id, then the upper half of the text's hash, then line number."""
+    return doc, (th >> 32 << 32) | line
+
+
+class Met:
+    """Classes met lately with the first place of each, in a fixed number of slots."""
+
+    def __init__(self, slots: int = 1 << 16):
+        self.mask = np.int64(slots - 1)
+        self.cls, self.doc, self.line = (np.zeros(slots, np.int64) for _ in range(3))
+
+    def news(self, cls: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+        """Rows with a class that isn't in a slot, or with an earlier place than that; one row a class."""
+        rows = np.flatnonzero(cls)
+        rows = rows[np.lexsort((line[rows], doc[rows], cls[rows]))]
+        rows = rows[np.concatenate([[True], cls[rows][1:] != cls[rows][:-1]])] if len(rows) else rows
+        at = cls[rows] & self.mask
+        later = (doc[rows] > self.doc[at]) | (doc[rows] == self.doc[at]) & (line[rows] >= self.line[at])
+        rows = rows[(self.cls[at] != cls[rows]) | ~later]
+        at = cls[rows] & self.mask
+        self.cls[at], self.doc[at], self.line[at] = cls[rows], doc[rows], line[rows]
+        return np.sort(rows)
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
@@ -91,25 +118,22 @@ def listed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
 
 
 def postings(docs: DataFrame, rarity: object, only: object | None = None) -> DataFrame:
-    """(key, cls, n, pos, sig, wide, doc, th, line): prefix tokens of every line that its task meets for the first time.
+    """(key, cls, sig, doc, line, size, wide): prefix tokens of every line that its task meets for the first time.
 
     Tokens in a bucket counted once can't match and aren't indexed.  ``sig``
     has a bit flipped by each token: two sets differ in at least as many
-    tokens as their signatures differ in bits; long lines also have a wide one.  ``only`` is a Bloom filter of keys.
+    tokens as their signatures differ in bits; long lines also have a wide
+    one.  ``doc`` and ``line`` are the place, ``size`` holds the number of
+    tokens and the token's position.  ``only`` is a Bloom filter of keys.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[int, tuple] = {}
+        met = Met()
         for batch in kernels.chunks(batches):
             x = Lines(batch)
-            cls, doc, th = x.classes(), batch.column("doc").to_numpy(), batch.column("th").to_numpy()
-            lines = []
-            for i in np.flatnonzero(x.count > 0).tolist():
-                c, at = int(cls[i]), (int(doc[x.doc[i]]), int(th[x.doc[i]]), int(x.number[i]))
-                if c not in seen or at < seen[c]:
-                    seen[c] = at
-                    lines.append(i)
-            lines = np.array(lines, np.int64)
+            cls = x.classes()
+            doc, line = _place(*(batch.column(c).to_numpy()[x.doc] for c in ("doc", "th")), x.number)
+            lines = met.news(cls, doc, line)
             if not len(lines):
                 continue
             keys, n = x.sets(kernels.order_keys(x.words, rarity.value), lines)
@@ -124,15 +148,12 @@ def postings(docs: DataFrame, rarity: object, only: object | None = None) -> Dat
             take = (pos < np.repeat(setjoin.prefix(n), n)) & (keys >> np.uint64(56) > 0)
             if only is not None:
                 take[take] = common.in_bloom(only.value, kernels.signed(keys[take]))
-            line = np.repeat(np.arange(len(lines)), n)[take]
-            of = lines[line]
-            cols = [
-                kernels.signed(keys[take]), cls[of], n[line].astype(np.int32), pos[take].astype(np.int32), kernels.signed(sig[line]),
-                wides.take(pa.array(line)), doc[x.doc[of]], th[x.doc[of]], x.number[of].astype(np.int32),
-            ]
-            yield pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c) for c in cols], ["key", "cls", "n", "pos", "sig", "wide", "doc", "th", "line"])
+            at = np.repeat(np.arange(len(lines)), n)[take]
+            of = lines[at]
+            cols = [kernels.signed(keys[take]), cls[of], kernels.signed(sig[at]), doc[of], line[of], n[at].astype(np.int64) << 32 | pos[take]]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), wides.take(pa.array(at))], ["key", "cls", "sig", "doc", "line", "size", "wide"])
 
-    return docs.mapInArrow(run, "key long, cls long, n int, pos int, sig long, wide binary, doc long, th long, line int")
+    return docs.mapInArrow(run, "key long, cls long, sig long, doc long, line long, size long, wide binary")
 
 
 def _bound(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -172,15 +193,20 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in common.sorted_groups(batches, "key"):
+            start, size = setjoin.group_bounds(g["key"])
+            alone = np.repeat(size < 2, size)
+            if alone.all():
+                continue
+            g = {c: v[~alone] for c, v in g.items()}
             # the same class from several tasks: its first place counts
+            order = np.lexsort((g["line"], g["doc"], g["cls"], g["key"]))
+            g = {c: v[order] for c, v in g.items()}
             again = np.concatenate([[False], (g["key"][1:] == g["key"][:-1]) & (g["cls"][1:] == g["cls"][:-1])])
             g = {c: v[~again] for c, v in g.items()}
-            g["n"], g["pos"], g["sig"] = g["n"].astype(np.int64), g["pos"].astype(np.int64), g["sig"].view(np.uint64)
+            g["n"], g["pos"], g["sig"] = g["size"] >> 32, g["size"] & 0xFFFFFFFF, g["sig"].view(np.uint64)
             start, size = setjoin.group_bounds(g["key"])
-            if (size < 2).all():
-                continue
             place = np.empty(len(g["key"]), np.int64)
-            place[np.lexsort((g["line"], g["th"], g["doc"]))] = np.arange(len(place))
+            place[np.lexsort((g["line"], g["doc"]))] = np.arange(len(place))
             wanted = None if every is None else common.in_bloom(every.value, g["cls"])
             small = np.repeat((size > 1) & (size <= SMALL), size)
             rows = np.flatnonzero(small)
@@ -202,14 +228,15 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
                     if len(ok):
                         put(i[ok], j[ok], part)
             for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                order = s + np.argsort(place[s : s + m], kind="stable")
+                order = s + np.argsort(g["n"][s : s + m], kind="stable")
+                least = np.searchsorted(g["n"][order], setjoin.at_least(g["n"][order]))  # shorter ones can't be similar
                 for k in range(1, m):
-                    x = order[k]
-                    if wanted is not None and not wanted[x]:
-                        continue
-                    y = order[:k]
-                    ok, part = _bound(g, np.full(k, x), y)
-                    put(np.full(len(ok), x), y[ok], part)
+                    x, y = order[k], order[least[k] : k]
+                    if wanted is not None:
+                        y = y[np.where(place[y] < place[x], wanted[x], wanted[y])]
+                    ok, part = _bound(g, np.full(len(y), x), y)
+                    if len(ok):
+                        put(np.full(len(ok), x), y[ok], part)
             a, b, part = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (later, earlier, odds))
             more = np.zeros(len(a), bool)
             if every is None and len(a):
@@ -222,21 +249,20 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g["cls"][a], g["cls"][b], more)], ["a", "b", "more"])
 
-    order = ["key", "cls", "doc", "th", "line"]
-    return posts.repartition("key").sortWithinPartitions(*order).mapInArrow(run, "a long, b long, more boolean")
+    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, more boolean")
 
 
 def sets_of(docs: DataFrame, wanted: object, rarity: object) -> DataFrame:
     """(cls, keys): token sets of the line classes in a Bloom filter."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
+        recent = common.Recent()
         for batch in kernels.chunks(batches):
             x = Lines(batch)
             cls = x.classes()
-            lines = [i for i in np.flatnonzero(common.in_bloom(wanted.value, cls) & (x.count > 0)).tolist() if int(cls[i]) not in seen and not seen.add(int(cls[i]))]
-            if lines:
-                keys, n = x.sets(kernels.order_keys(x.words, rarity.value), np.array(lines))
+            lines = np.flatnonzero(recent.fresh(np.where(common.in_bloom(wanted.value, cls), cls, 0)))
+            if len(lines):
+                keys, n = x.sets(kernels.order_keys(x.words, rarity.value), lines)
                 cuts = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(cls[lines]), pa.ListArray.from_arrays(pa.array(cuts), pa.array(kernels.signed(keys)))], ["cls", "keys"])
 
@@ -248,38 +274,41 @@ def similar(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
     sc = docs.sparkSession.sparkContext
     rare = sc.broadcast(rarity)
 
-    def check(pairs: DataFrame) -> DataFrame:
+    def sets(pairs: DataFrame, name: str) -> DataFrame:
         wanted = sc.broadcast(common.bloom(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
-        return setjoin.verified(pairs.select("a", "b"), sets_of(docs, wanted, rare)).where(setjoin.enough()).select(F.col("a").alias("cls")).distinct()
+        return common.table(sets_of(docs, wanted, rare), name)
+
+    def check(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        return setjoin.verified(pairs.select("a", "b"), known).where(setjoin.enough()).select(F.col("a").alias("cls")).distinct()
 
     pairs = common.table(candidates(postings(docs, rare)).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
-    found = common.table(check(pairs), "similar")
-    # lines whose one tried candidate failed try all the others
+    known = sets(pairs, "sets")
+    found = common.table(check(pairs, known), "similar")
+    # lines whose few tried candidates failed try all the others
     left = common.table(pairs.where("more").select(F.col("a").alias("cls")).distinct().join(found, "cls", "left_anti"), "unsettled")
-    if left.limit(1).count() == 0:
+    if left.isEmpty():
         return found
     every = sc.broadcast(common.bloom(left, "cls"))
-    asked = sets_of(docs, every, rare).join(left, "cls", "left_semi")
+    asked = known.join(left, "cls", "left_semi")
     keys = sc.broadcast(common.bloom(asked.select(F.explode(F.slice("keys", F.lit(1), setjoin.prefix(F.size("keys")))).alias("key")), "key"))
     rest = candidates(postings(docs, rare, keys), every).select("a", "b").distinct().join(left.withColumnRenamed("cls", "a"), "a", "left_semi")
-    return found.union(check(common.table(rest, "rest"))).distinct()
+    rest = common.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
+    missing = common.table(rest.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(known.select("cls"), "cls", "left_anti"), "missing")
+    if not missing.isEmpty():
+        known = known.union(common.table(sets_of(docs, sc.broadcast(common.bloom(missing, "cls")), rare).join(missing, "cls", "left_semi"), "sets"))
+    return found.union(check(rest, known)).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, gone array<int>): numbers (from 0) of the lines to remove in each text that loses any."""
     lines, rarity = listed(docs)
     late = similar(docs, rarity)
-    first = lines.groupBy("cls").agg(F.min(F.struct("doc", "th", "line")).alias("first")).join(late.withColumn("late", F.lit(True)), "cls", "left")
-    return (
-        lines.join(first, "cls")
-        .where(F.col("late").isNotNull() | (F.struct("doc", "th", "line") != F.col("first")))
-        .groupBy("doc", "th").agg(F.collect_set("line").alias("gone"))
-    )
-
-
-def without(text: Column, gone: Column) -> Column:
-    kept = F.filter(F.split(text, "\n", -1), lambda x, i: ~F.array_contains(gone, i))
-    return F.when(gone.isNull(), text).otherwise(F.array_join(kept, "\n"))
+    place = F.struct("doc", F.shiftright("th", 32).alias("half"), "line", "th")
+    # only classes that lose a line: late ones, and those that are there more than once
+    first = lines.groupBy("cls").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(late.withColumn("late", F.lit(True)), "cls", "left")
+    first = common.table(first.where("n > 1 or late").select("cls", "first", F.coalesce("late", F.lit(False)).alias("late")), "first")
+    gone = common.spread_join(lines, first, "cls", "doc").where(F.col("late") | (place != F.col("first")))
+    return gone.groupBy("doc", "th").agg(F.collect_set("line").alias("gone"))
 
 
 def dedup(docs: DataFrame) -> DataFrame:
@@ -290,18 +319,26 @@ def dedup(docs: DataFrame) -> DataFrame:
     document and are treated alike.  Lines without words always stay.  Null
     texts stay null with 0 lines; a text that loses every line becomes empty.
     All rows and all other columns stay; n_lines and n_removed replace columns
-    of those names.
+    of those names.  Texts and lines may have any length.  An empty table
+    gives no rows.
     """
     common.ready(docs.sparkSession)
-    gone = removed_lines(_prepared(docs)).select(F.col("doc").alias("_doc"), F.col("th").alias("_th"), F.col("gone").alias("_gone"))
-    keyed = docs.withColumn("_d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST))).withColumn("_h", F.xxhash64("text"))
-    size = lambda c: F.coalesce(F.size(c), F.lit(0)).cast("long")
-    return (
-        keyed.join(gone, (F.col("_d") == F.col("_doc")) & (F.col("_h") == F.col("_th")), "left")
-        .withColumn("n_lines", F.when(F.col("text").isNull(), 0).otherwise(F.size(F.split("text", "\n", -1))).cast("long"))
-        .withColumn("n_removed", F.when(F.col("_gone").isNull(), F.lit(0).cast("long")).otherwise(size("_gone")))
-        .withColumn("text", without(F.col("text"), F.col("_gone")))
-        .drop("_d", "_h", "_doc", "_th", "_gone")
+    gone = removed_lines(_prepared(docs))
+    own = {c: f"_{c}_{uuid.uuid4().hex[:8]}" for c in ("doc", "th", "gone", "lines", "none", "d", "h")}  # names no column of the caller has
+    gone = gone.select(*(F.col(c).alias(own[c]) for c in ("doc", "th", "gone")))
+    out = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    keyed = docs.select(
+        *(c for c in out if c != "text"), F.col("text").isNull().alias(own["none"]), F.split("text", "\n", -1).alias(own["lines"]),
+        F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias(own["d"]), F.xxhash64("text").alias(own["h"]),
+    )
+    joined = keyed.join(gone, (F.col(own["d"]) == F.col(own["doc"])) & (F.col(own["h"]) == F.col(own["th"])), "left")
+    lines, left = F.col(own["lines"]), F.coalesce(own["gone"], F.array().cast("array<int>"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), left)  # both hold a number once at most
+    text = F.when(F.size(left) == 0, F.array_join(lines, "\n")).otherwise(F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n"))
+    null = F.col(own["none"])
+    return joined.select(
+        *(F.when(~null, text).alias("text") if c == "text" else F.col(c) for c in out),
+        F.when(null, 0).otherwise(F.size(lines)).cast("long").alias("n_lines"), F.size(left).cast("long").alias("n_removed"),
     )
 
 
