@@ -66,16 +66,17 @@ class Lines:
         """(tokens, sizes): distinct tokens of the given lines in key order, end to end."""
         count = self.count[lines]
         at = np.repeat(self.first[:-1][lines] - (np.cumsum(count) - count), count) + np.arange(int(count.sum()))
-        names, rank = np.unique(keys[at], return_inverse=True)
-        both = np.sort(np.repeat(np.arange(len(lines), dtype=np.int64), count) * max(len(names), 1) + rank)
-        both = both[np.concatenate([[True], both[1:] != both[:-1]])] if len(both) else both
-        line, rank = np.divmod(both, max(len(names), 1))
-        return names[rank], np.bincount(line, minlength=len(lines))
-
-
-def _place(doc: np.ndarray, th: np.ndarray, line: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two longs whose order is that of lines: doc_id, then the upper half of the text's hash, then line number."""
-    return doc, (th >> 32 << 32) | line
+        line, keys = np.repeat(np.arange(len(lines), dtype=np.uint64), count), keys[at]
+        bits = np.uint64(max(1, int(len(lines) - 1).bit_length()))
+        short = line << (np.uint64(64) - bits) | keys >> bits
+        order = np.argsort(short, kind="stable")
+        short, sorted_ = short[order], keys[order]
+        if ((short[1:] == short[:-1]) & (sorted_[1:] != sorted_[:-1])).any():  # the bits left out of ``short`` matter
+            order = np.lexsort((keys, line))
+            sorted_ = keys[order]
+        line = line[order].astype(np.int64)
+        new = np.concatenate([[True], (sorted_[1:] != sorted_[:-1]) | (line[1:] != line[:-1])]) if len(line) else np.zeros(0, bool)
+        return sorted_[new], np.bincount(line[new], minlength=len(lines))
 
 
 class Met:
@@ -99,7 +100,7 @@ class Met:
 
 
 def _prepared(docs: DataFrame) -> DataFrame:
-    """Rows as the operator orders them: by doc_id (null first), then by a hash of the text."""
+    """Rows as the operator reads them: doc_id (null: lowest), a hash of the text, the text."""
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
 
 
@@ -132,7 +133,7 @@ def postings(docs: DataFrame, rarity: object, only: object | None = None) -> Dat
         for batch in kernels.chunks(batches):
             x = Lines(batch)
             cls = x.classes()
-            doc, line = _place(*(batch.column(c).to_numpy()[x.doc] for c in ("doc", "th")), x.number)
+            doc, line = batch.column("doc").to_numpy()[x.doc], x.number
             lines = met.news(cls, doc, line)
             if not len(lines):
                 continue
@@ -150,10 +151,10 @@ def postings(docs: DataFrame, rarity: object, only: object | None = None) -> Dat
                 take[take] = common.in_bloom(only.value, kernels.signed(keys[take]))
             at = np.repeat(np.arange(len(lines)), n)[take]
             of = lines[at]
-            cols = [kernels.signed(keys[take]), cls[of], kernels.signed(sig[at]), doc[of], line[of], n[at].astype(np.int64) << 32 | pos[take]]
+            cols = [kernels.signed(keys[take]), cls[of], kernels.signed(sig[at]), doc[of], line[of].astype(np.int32), n[at].astype(np.int64) << 32 | pos[take]]
             yield pa.RecordBatch.from_arrays([*map(pa.array, cols), wides.take(pa.array(at))], ["key", "cls", "sig", "doc", "line", "size", "wide"])
 
-    return docs.mapInArrow(run, "key long, cls long, sig long, doc long, line long, size long, wide binary")
+    return docs.mapInArrow(run, "key long, cls long, sig long, doc long, line int, size long, wide binary")
 
 
 def _bound(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -199,14 +200,15 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
                 continue
             g = {c: v[~alone] for c, v in g.items()}
             # the same class from several tasks: its first place counts
-            order = np.lexsort((g["line"], g["doc"], g["cls"], g["key"]))
+            order = np.lexsort((g["cls"], g["line"], g["doc"]))
+            order = order[np.lexsort((g["cls"][order], np.repeat(np.arange(len(size)), size)[~alone][order]))]
             g = {c: v[order] for c, v in g.items()}
             again = np.concatenate([[False], (g["key"][1:] == g["key"][:-1]) & (g["cls"][1:] == g["cls"][:-1])])
             g = {c: v[~again] for c, v in g.items()}
             g["n"], g["pos"], g["sig"] = g["size"] >> 32, g["size"] & 0xFFFFFFFF, g["sig"].view(np.uint64)
             start, size = setjoin.group_bounds(g["key"])
             place = np.empty(len(g["key"]), np.int64)
-            place[np.lexsort((g["line"], g["doc"]))] = np.arange(len(place))
+            place[np.lexsort((g["cls"], g["line"], g["doc"]))] = np.arange(len(place))
             wanted = None if every is None else common.in_bloom(every.value, g["cls"])
             small = np.repeat((size > 1) & (size <= SMALL), size)
             rows = np.flatnonzero(small)
@@ -303,7 +305,7 @@ def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, gone array<int>): numbers (from 0) of the lines to remove in each text that loses any."""
     lines, rarity = listed(docs)
     late = similar(docs, rarity)
-    place = F.struct("doc", F.shiftright("th", 32).alias("half"), "line", "th")
+    place = F.struct("doc", "line", "th")
     # only classes that lose a line: late ones, and those that are there more than once
     first = lines.groupBy("cls").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(late.withColumn("late", F.lit(True)), "cls", "left")
     first = common.table(first.where("n > 1 or late").select("cls", "first", F.coalesce("late", F.lit(False)).alias("late")), "first")
@@ -314,9 +316,10 @@ def removed_lines(docs: DataFrame) -> DataFrame:
 def dedup(docs: DataFrame) -> DataFrame:
     """``docs`` with later similar lines taken out of ``text``, and n_lines, n_removed.
 
-    Lines are ordered by doc_id (nulls first), then by a hash of the text where
-    doc_ids repeat, then by line number; rows equal in both count as one
-    document and are treated alike.  Lines without words always stay.  Null
+    Lines are ordered by doc_id (nulls first), then by line number, then, where
+    doc_ids repeat, by a hash of the line's words or, for equal lines, of the
+    text; rows equal in doc_id and text count as one document and are treated
+    alike.  Lines without words always stay.  Null
     texts stay null with 0 lines; a text that loses every line becomes empty.
     All rows and all other columns stay; n_lines and n_removed replace columns
     of those names.  Texts and lines may have any length.  An empty table
