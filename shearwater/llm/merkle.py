@@ -1,15 +1,17 @@
 """Document fingerprints: Merkle trees over sections, paragraphs and sentences.
 
-A section is a run of paragraphs between blank lines, a paragraph a line, and
-a leaf a sentence of a paragraph.  The fingerprint is the SHA-256 root, the
-section hashes and the leaf hashes, written as text; equal roots mean equal
-texts, differing branches say where an edit lies, and the share of common
-leaves is the likeness of two fingerprints.
+A section ends with a blank line, a paragraph is a line, and a leaf a sentence
+of it (a sentence without an end is cut every LONGEST code points).  Cuts drop
+nothing: the leaves in order are the text.  A leaf's hash is that of its text,
+a paragraph's that of its leaves' hashes, a section's that of its paragraphs'
+and the root (SHA-256) that of its sections'.  So equal roots mean equal
+texts, and an edit changes just the branches above it: walking down from
+differing sections to differing paragraphs locates it.
 
 Everything here is DataFrame expressions.  The next document in doc_id order
-is found without sorting all rows in one task: ids fall into buckets of
-BUCKET consecutive numbers, each bucket is a window of its own, and only the
-first row of each bucket is also sent to the bucket before it.
+is found without sorting all rows in one task: BUCKETS quantiles of the ids
+cut the order into ranges, each range is a window of its own, and only the
+first row of each is also sent to the range before it.
 """
 
 from __future__ import annotations
@@ -17,89 +19,135 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-BUCKET = 256
-#: Hex digits kept of a leaf's and of a section's hash.
-LEAF, SECTION = 8, 16
+#: Ranges of ids: at most SIDE * SIDE, each of about ROWS documents or more.
+SIDE, ROWS = 64, 256
 #: Code points of a sentence without an end after which a leaf ends.
 LONGEST = 80
+_LEAF = r"(?<=[.!?])(?=\s)|(?<=\G.{%d})" % LONGEST
+_LOWEST = -(1 << 63)
 
 
-def _fold(hashes: Column) -> Column:
-    """A parent's hash: SHA-256 of its children's hashes."""
-    return F.sha2(F.array_join(hashes, ","), 256)
+def _cut(text: Column, pattern: str) -> Column:
+    return F.filter(F.split(text, pattern, -1), lambda x: x != "")
 
 
-def paragraphs_of(text: Column) -> Column:
-    return F.split(text, "\n", -1)
+def tree(text: Column) -> Column:
+    """Sections as structs (hash, paragraphs), those as structs (hash, leaves); null counts as empty."""
 
+    def paragraph(p: Column) -> Column:
+        leaves = F.transform(_cut(p, _LEAF), lambda s: F.xxhash64(s))
+        return F.struct(F.xxhash64(leaves).alias("hash"), leaves.alias("leaves"))
 
-def leaves_of(text: Column) -> Column:
-    """Leaf hashes in order.  Sentences end after . ! or ?, or LONGEST characters on; line ends are leaves of their own."""
-    return F.transform(F.split(text, r"(?<=[.!?])(?=\s)|(?<=\n)|(?=\n)|(?<=\G.{%d})" % LONGEST, -1), lambda s: F.substring(F.hex(F.xxhash64(s)), 1, 16))
+    def section(s: Column) -> Column:
+        paragraphs = F.transform(_cut(s, r"(?<=\n)"), paragraph)
+        return F.struct(F.xxhash64(F.transform(paragraphs, lambda p: p["hash"])).alias("hash"), paragraphs.alias("paragraphs"))
+
+    return F.transform(_cut(F.coalesce(text, F.lit("")), r"(?<=\n\n)|(?<=\n[ \t]\n)"), section)
+
+
+def _hex(x: Column) -> Column:
+    return F.lower(F.lpad(F.hex(x), 16, "0"))
+
+
+def root(t: Column) -> Column:
+    return F.sha2(F.array_join(F.transform(t, lambda s: _hex(s["hash"])), ","), 256)
+
+
+def written(t: Column) -> Column:
+    """A tree as text: ``root:section=paragraph+leaf.leaf,paragraph+leaf/section=...``, hashes in hex."""
+    paragraph = lambda p: F.concat(_hex(p["hash"]), F.lit("+"), F.array_join(F.transform(p["leaves"], _hex), "."))
+    section = lambda s: F.concat(_hex(s["hash"]), F.lit("="), F.array_join(F.transform(s["paragraphs"], paragraph), ","))
+    return F.concat(root(t), F.lit(":"), F.array_join(F.transform(t, section), "/"))
 
 
 def fingerprint(text: Column) -> Column:
-    """``root:section.section...:leaf.leaf...`` of a text (null counts as empty)."""
-    text = F.coalesce(text, F.lit(""))
-    sections = F.transform(F.split(text, "\n[ \\t]*\n", -1), lambda s: F.substring(_fold(F.transform(paragraphs_of(s), lambda p: F.hex(F.xxhash64(p)))), 1, SECTION))
-    leaves = F.transform(leaves_of(text), lambda h: F.lower(F.right(h, F.lit(LEAF))))
-    return F.concat_ws(":", F.sha2(text, 256), F.array_join(sections, "."), F.array_join(leaves, "."))
+    return written(tree(text))
 
 
-def leaf_set(print_: Column) -> Column:
-    return F.array_distinct(F.split(F.element_at(F.split(print_, ":"), 3), r"\."))
+def leaves(t: Column) -> Column:
+    return F.array_distinct(F.flatten(F.flatten(F.transform(t, lambda s: F.transform(s["paragraphs"], lambda p: p["leaves"])))))
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """0 to 1: 1 if the roots agree, else common distinct leaves over all distinct leaves of both."""
-    x, y = leaf_set(a), leaf_set(b)
-    both = F.size(F.array_intersect(x, y))
-    return F.when(F.substring_index(a, ":", 1) == F.substring_index(b, ":", 1), F.lit(1.0)).otherwise(
-        both.cast("double") / (F.size(x) + F.size(y) - both)
-    )
+    """0 to 1: 1 if the roots of two trees agree, else their common distinct leaves over all distinct leaves.
 
-
-def edits(a: Column, b: Column) -> Column:
-    """Numbers (from 0) of the sections whose hashes differ between two fingerprints."""
-    x, y = (F.split(F.element_at(F.split(p, ":"), 2), r"\.") for p in (a, b))
-    both = F.arrays_zip(x.alias("x"), y.alias("y"))
-    return F.filter(F.transform(both, lambda s, i: F.when(~s["x"].eqNullSafe(s["y"]), i)), lambda i: i.isNotNull())
+    Branches with equal hashes have equal leaves, so this is what a walk down
+    the differing branches leaves over; done on the leaves it is linear.
+    """
+    x, y = leaves(a), leaves(b)
+    both = F.size(F.array_intersect(x, y))
+    same = F.transform(a, lambda s: s["hash"]) == F.transform(b, lambda s: s["hash"])
+    return F.when(same, F.lit(1.0)).otherwise(both.cast("double") / (F.size(x) + F.size(y) - both))
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """(bucket, target): for each bucket of ids the bucket before it, in a ring.
+def edits(pairs: DataFrame) -> DataFrame:
+    """Paragraphs that one text has and the other not: (id, side, section, paragraph), numbers from 0.
 
-    Buckets are ranked inside groups of BUCKET buckets, and groups among
-    themselves, so no window holds more than a small share of the ids.
+    ``pairs`` has (id, old, new), unique by id.  The walk goes down only under
+    sections whose hash the other tree doesn't have; a paragraph is reported
+    where the other text has none with its hash, however far an insertion
+    moved it.  ``side`` is ``old`` for what went and ``new`` for what came.
+    Null texts count as empty; equal texts, and texts that only order the same
+    paragraphs differently, give no rows.
     """
-    buckets = ids.select("bucket").distinct().withColumn("outer", F.floor(F.col("bucket") / BUCKET))
-    inner = Window.partitionBy("outer").orderBy("bucket")
-    ranked = buckets.withColumn("before", F.lag("bucket").over(inner))
-    groups = buckets.groupBy("outer").agg(F.max("bucket").alias("last"))
-    ring = groups.withColumn("prior", F.coalesce(F.lag("last").over(Window.orderBy("outer")), F.max("last").over(Window.partitionBy())))
-    return ranked.join(ring.select("outer", "prior"), "outer").select("bucket", F.coalesce("before", "prior").alias("target"))
+    both = pairs.select("id", F.explode(F.array(F.struct(F.lit("old").alias("side"), tree(F.col("old")).alias("t")), F.struct(F.lit("new").alias("side"), tree(F.col("new")).alias("t")))).alias("x"))
+    sections = both.select("id", "x.side", F.posexplode("x.t").alias("section", "s"))
+    sides = lambda rows, key: rows.groupBy("id", F.col(key).alias("hash")).agg(F.count_distinct("side").alias("sides")).where("sides = 2")
+    branch = sections.select("id", "side", "section", F.col("s.hash").alias("hash"), "s.paragraphs")
+    open_ = branch.join(sides(branch, "hash"), ["id", "hash"], "left_anti")
+    paragraphs = open_.select("id", "side", "section", F.posexplode("paragraphs").alias("paragraph", "p")).select("id", "side", "section", "paragraph", F.col("p.hash").alias("hash"))
+    # the other text may hold a paragraph in a section that both have
+    every = branch.select("id", "side", F.explode("paragraphs.hash").alias("hash"))
+    return paragraphs.join(sides(every, "hash"), ["id", "hash"], "left_anti").select("id", "side", "section", "paragraph")
+
+
+def ranges(rows: DataFrame) -> list[int]:
+    """Quantiles of ``k``: at most SIDE * SIDE - 1 numbers, equal ones where a number is that frequent."""
+    n = min(SIDE * SIDE, max(1, rows.count() // ROWS))
+    if n == 1:
+        return []
+    at = rows.select(F.percentile_approx("k", [i / n for i in range(1, n)], 100 * n)).first()[0]
+    return [] if at is None else list(at)
+
+
+def bucket(bounds: list[int], k: Column, h: Column) -> Column:
+    """Number of the range of (k, h): ids equal to several bounds are dealt by h, in order."""
+    if not bounds:
+        return F.lit(0)
+    parts = [bounds[i : i + SIDE] for i in range(0, len(bounds), SIDE)]
+    table = F.array(*(F.array(*map(F.lit, p)) for p in parts))
+
+    def upto(test) -> Column:
+        whole = F.size(F.filter(F.array(*(F.lit(p[-1]) for p in parts)), test))  # parts that end below
+        rest = F.coalesce(F.size(F.filter(F.get(table, whole), test)), F.lit(0))
+        return whole * SIDE + F.when(whole < len(parts), F.greatest(rest, F.lit(0))).otherwise(len(parts[-1]) - SIDE)
+
+    low, high = upto(lambda b: b < k), upto(lambda b: b <= k)
+    share = F.least(F.floor((h.cast("double") / 2.0**64 + 0.5) * (high - low)), high - low - 1)
+    return F.when(high - low > 1, low + 1 + share).otherwise(high).cast("int")
 
 
 def chained(docs: DataFrame) -> DataFrame:
-    """(doc_id, text, print, next_text, next_print): each document beside the next one in order.
+    """(doc_id, text, tree, next_text, next_tree): each document beside the next one in order.
 
     Order: doc_id (null first), then a hash of the text; rows equal in both
     are one after the other.  After the last comes the first.
     """
-    lowest = -(1 << 62)
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(lowest)))
-    rows = rows.withColumn("bucket", F.floor(F.col("k") / BUCKET)).withColumn("h", F.xxhash64("text"))
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("k", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    rows = rows.withColumn("bucket", bucket(ranges(rows), F.col("k"), F.col("h")))
     first = rows.groupBy("bucket").agg(F.min(F.struct("k", "h", "text")).alias("f"))
-    place = successors(rows)
-    guest = first.join(place, "bucket").select(
+    filled = rows.select("bucket").distinct()  # at most SIDE * SIDE rows
+    before = filled.select("bucket", F.coalesce(F.lag("bucket").over(Window.orderBy("bucket")), F.max("bucket").over(Window.partitionBy())).alias("target"))
+    guest = first.join(before, "bucket").select(
         F.lit(None).cast("long").alias("doc_id"), F.col("f.text").alias("text"), F.col("f.k").alias("k"), F.col("target").alias("bucket"), F.col("f.h").alias("h"), F.lit(True).alias("guest"),
     )
     every = rows.select("doc_id", "text", "k", "bucket", "h", F.lit(False).alias("guest")).unionByName(guest)
-    every = every.withColumn("print", fingerprint(F.col("text")))
+    every = every.withColumn("tree", tree(F.col("text")))
     order = Window.partitionBy("bucket").orderBy("guest", "k", "h")
     return (
-        every.withColumn("next_text", F.lead("text").over(order)).withColumn("next_print", F.lead("print").over(order))
-        .where("not guest").select("doc_id", "text", "print", "next_text", "next_print")
+        every.withColumn("next_text", F.lead("text").over(order)).withColumn("next_tree", F.lead("tree").over(order))
+        .where("not guest").select("doc_id", "text", "tree", "next_text", "next_tree")
     )
 
 
@@ -108,17 +156,19 @@ def fingerprints(docs: DataFrame) -> DataFrame:
 
     The edited text has its last floor(n/2) code points replaced by as many
     first ones (or all) of the next document.  Null texts count as empty.  One
-    row per input row; a table of one document is its own next; an empty table
-    gives no rows; other columns are ignored.
+    row per input row, repeated rows too; a table of one document is its own
+    next; an empty table gives no rows; a null doc_id comes first.  Texts may
+    have any length.  Other columns are ignored.
     """
     rows = chained(docs)
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     rows = rows.withColumn("edited", F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half)))
-    rows = rows.withColumn("edited_fingerprint", fingerprint(F.col("edited")))
+    rows = rows.withColumn("edited_tree", tree(F.col("edited")))
     return rows.select(
-        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), F.col("print").alias("fingerprint"), "edited_fingerprint",
-        likeness(F.col("print"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("print"), F.col("next_print")).alias("near_next"),
+        "doc_id", n.cast("long").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"),
+        written(F.col("tree")).alias("fingerprint"), written(F.col("edited_tree")).alias("edited_fingerprint"),
+        likeness(F.col("tree"), F.col("edited_tree")).alias("near_edited"), likeness(F.col("tree"), F.col("next_tree")).alias("near_next"),
     )
 
 

@@ -53,3 +53,44 @@ def test_long_literals_names_and_blanks_are_whole():
         assert [text[a:b] for a, b, _, _ in secrets.lexed(text)] == [long], sign[:20]
         assert long[-40:] not in secrets.redacted(text) and secrets.redacted(text).endswith("rest")
     assert not secrets.lexed("key=" + "a1" * 200_000 + " " * 100_000 + "x=" * 50_000)
+
+
+S = "q8Zr3Tn5Lw9XbV2m"
+SYNTAXES = {
+    'db_pass = "q8Zr3Tn5" + "Lw9XbV2m"': 'q8Zr3Tn5" + "Lw9XbV2m',
+    f'passphrase = """{S}"""': S,
+    f"<cfg>\n <password>{S}</password>\n</cfg>": S,
+    'secret_key = "ab\\"cd9XkLm2Qz"': 'ab\\"cd9XkLm2Qz',
+    f"app:\n  secret: >\n    {S[:8]}\n    {S[8:]}\n  other: x": f"{S[:8]}\n    {S[8:]}",
+    f"api_access = '{S}'": S,
+    f'config["auth_key"] = "{S}"': S,
+    f'{{"a": 1, "signing_key": "{S}", "b": [1, 2]}}': S,
+    f"export PRIVATE_KEY={S}\nx=1": S,
+    f"[db]\nauth_key = {S}\n": S,
+    f"const k = `{S}`;\nlet apiAccess = k;": S,
+    f'part = "{S[:8]}"\nclient_secret_v = part + "{S[8:]}"': f'{S[:8]}"\nclient_secret_v = part + "{S[8:]}',
+    f'conn(private_key => "{S}")': S,
+    f"<add auth_key=\"{S}\" id='1'/>": S,
+}
+
+
+def test_lexer_reads_syntaxes():
+    for text, want in SYNTAXES.items():
+        spans = secrets.spans(text)[1]
+        assert any(text[a:b] == want for _, a, b in spans), text
+        assert not any(x in secrets.redacted(text) for x in (S, "q8Zr3Tn5", "cd9XkLm2Qz")), text
+
+
+def test_lexer_leaves_comments_scopes_and_prose():
+    assert not secrets.lexed(f"# private_key = {S}\n// auth_key = '{S}'\n/* signing_key: {S} */")
+    f = f'def f():\n    k = "{S}"\n    return k\n\ndef g():\n    auth_key = k\n'
+    assert not secrets.lexed(f)
+    g = f.replace("return k", "auth_key = k")
+    assert [g[a:b] for a, b, _, _ in secrets.lexed(g)] == [S]
+    assert not secrets.lexed("{ let k = '%s'; } auth_key = k" % S) and secrets.lexed("{ let k = '%s'; auth_key = k }" % S)
+    assert not secrets.lexed("It's the key: don't pass it. The author's token is a word: hello, that's all. access = granted")
+
+
+def test_lexer_stays_linear():
+    for nasty in ('"' * 100_001, "'''" * 50_000, "key=[" * 50_000, "<key " * 50_000, "key: >\n" * 20_000, "/*" * 50_000, "key=a+" * 50_000, "key" * 50_000 + "é" * 50_000, "<key>a" * 30_000):
+        secrets.spans(nasty + "key=")
