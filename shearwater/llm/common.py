@@ -56,12 +56,15 @@ def shared_dir(spark: SparkSession) -> str:
 _SCOPES: list[list[str]] = []
 
 
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors."""
+def table(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write ``df`` to the shared folder and read it again: cuts lineage and survives lost executors.
+
+    With ``keep`` the table outlives the scopes it was written in.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/shearwater/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    for made in _SCOPES:
+    for made in [] if keep else _SCOPES:
         made.append(path)
     return spark.read.schema(df.schema).parquet(path)
 

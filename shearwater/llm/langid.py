@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 
 from . import common, kernels
 
-#: Training sample: at most so many documents of each language (those with the smallest hash of doc_id).
-DOCS_PER_LANGUAGE = 200
+#: Training sample: at most so many documents of each language (those with the smallest hash), so many letter runs of
+#: each of them, and so many languages (the most frequent).  It has at most 256 * 200 * 1000 runs of 32 bytes.
+DOCS_PER_LANGUAGE, RUNS_PER_DOCUMENT, LANGUAGES = 200, 1000, 256
 #: Training runs over this many word occurrences drawn from the sample.
 TRAINING_WORDS = 60_000
 HIDDEN, STEPS, BATCH, SEED = 16, 320, 512, 7
@@ -227,28 +228,49 @@ def labeller(model: bytes) -> Labeller:
     return Labeller(pickle.loads(model))
 
 
-def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> list[tuple[str, str]]:
-    """(text, lang) of at most ``per_language`` labelled documents of each language, by smallest hash of doc_id."""
+def runs_of(text: str) -> list[bytes]:
+    """At most RUNS_PER_DOCUMENT letter runs of a text, spread evenly over it."""
+    buf, offsets = kernels.text_buffer(pa.array([text]))
+    low = kernels.LOWER[buf]
+    starts, ends, _ = letter_runs(low, offsets)
+    pick = np.unique(np.linspace(0, len(starts) - 1, RUNS_PER_DOCUMENT).astype(np.int64)) if len(starts) else []
+    raw = low.tobytes()
+    return [raw[starts[i] : ends[i]] for i in pick]
+
+
+def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
+    """(lang, h, runs): letter runs of at most ``per_language`` labelled rows of each learned language.
+
+    Rows are chosen by the smallest hash of doc_id and text, so neither a
+    frequent doc_id nor a long text brings more than its share, and each task
+    keeps no more than the sample.
+    """
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, list] = {}
         for batch in batches:
-            for lang, doc, h in zip(*(batch.column(c).to_pylist() for c in ("lang", "doc_id", "h"))):
-                (heapq.heappush if len(q := best.setdefault(lang, [])) < per_language else heapq.heappushpop)(q, (-h, doc))
-        rows = [(lang, doc, -h) for lang, q in best.items() for h, doc in q]
+            last = batch.column(2).to_pylist()
+            for k, (lang, h) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist())):
+                q = best.setdefault(lang, [])
+                if len(q) < per_language or -h > q[0][0]:
+                    runs = last[k] if isinstance(last[k], list) else runs_of(last[k])
+                    (heapq.heappush if len(q) < per_language else heapq.heappushpop)(q, (-h, runs))
+        rows = [(lang, -h, runs) for lang, q in best.items() for h, runs in q]
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64()))], ["lang", "doc_id", "h"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.binary())))], ["lang", "h", "runs"])
 
     def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return least(batches)
 
-    shape = "lang string, doc_id long, h long"
+    shape = "lang string, h long, runs array<binary>"
     learn = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    ids = learn.select("lang", "doc_id", F.shiftright(F.xxhash64("doc_id"), 1).alias("h")).mapInArrow(least, shape)
-    ids = ids.groupBy("lang").applyInArrow(merged, shape).select("doc_id").distinct()
-    # per_language rows for each language at most
-    rows = learn.join(F.broadcast(ids), "doc_id", "left_semi").select("doc_id", "text", "lang").collect()
-    return [(r.text, r.lang) for r in sorted(rows, key=lambda r: (r.doc_id, r.lang, r.text))]
+    learn = learn.select("lang", F.shiftright(F.xxhash64("doc_id", "text"), 1).alias("h"), "text")
+    # the share of rows that surely holds the smallest hashes: few rows leave each task, at any size
+    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
+    share = F.least(F.lit(1.0), F.lit(8.0 * per_language) / F.col("count"))
+    bound = F.broadcast(counts.select("lang", (share * 2.0**63 - 2.0**62).alias("upto")))  # at most LANGUAGES rows
+    some = learn.join(bound, "lang").where(F.col("h") <= F.col("upto")).select("lang", "h", "text")
+    return some.mapInArrow(least, shape).groupBy("lang").applyInArrow(merged, shape)
 
 
 def held_out() -> F.Column:
@@ -256,20 +278,16 @@ def held_out() -> F.Column:
     return F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(4)) == 2, F.lit(False))
 
 
-def fit(rows: list[tuple[str, str]]) -> Network | None:
-    languages = sorted({lang for _, lang in rows})
+def fit(rows: list[tuple[str, list[bytes]]]) -> Network | None:
+    """Train on (language, letter runs) rows."""
+    languages = sorted({lang for lang, runs in rows if runs})
     rng = np.random.default_rng(SEED)
     words, label = [], []
     for k, lang in enumerate(languages):
-        column = pa.array([t for t, x in rows if x == lang])
-        buf, offsets = kernels.text_buffer(column)
-        low = kernels.LOWER[buf]
-        starts, ends, _ = letter_runs(low, offsets)
-        if len(starts):
-            pick = np.sort(rng.choice(len(starts), TRAINING_WORDS // len(languages)))
-            raw = low.tobytes()
-            words += [raw[a:b] for a, b in zip(starts[pick].tolist(), ends[pick].tolist())]
-            label += [k] * len(pick)
+        mine = [w for x, runs in rows if x == lang for w in runs]
+        pick = np.sort(rng.choice(len(mine), TRAINING_WORDS // len(languages)))
+        words += [mine[i] for i in pick]
+        label += [k] * len(pick)
     if not words:
         return None
     network = Network(languages)
@@ -282,15 +300,15 @@ def trained(docs: DataFrame) -> bytes:
 
     The bounded sample goes to one task, whose linear algebra runs on one thread.
     """
-    spark = common.ready(docs.sparkSession)
-    rows = spark.sparkContext.broadcast(sample(docs.select("doc_id", "text", "lang")))
+    common.ready(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _ in batches:
-            network = fit(rows.value)
-            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network) if network else b""], pa.binary())], ["model"])
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = sorted((r["lang"], r["h"], r["runs"]) for b in batches for r in b.to_pylist())
+        network = fit([(lang, runs) for lang, _, runs in rows])
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(network) if network else b""], pa.binary())], ["model"])
 
-    return bytes(spark.range(0, 1, 1, 1).mapInArrow(run, "model binary").collect()[0].model)
+    made = sample(docs.select("doc_id", "text", "lang")).withColumn("one", F.lit(1)).groupBy("one").applyInArrow(run, "model binary").collect()
+    return bytes(made[0].model) if made else b""
 
 
 def has_letter(text: str | None) -> bool:
@@ -301,7 +319,9 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
     """``docs`` with lang_pred and score appended (replacing columns of those names).
 
     Null texts and texts without a letter, and all texts if nothing could be
-    learned, get ``und`` with score 0.  All rows and other columns stay.
+    learned, get ``und`` with score 0.  All rows, repeated ones too, and other
+    columns stay; texts may have any length; of equal probabilities the first
+    language by name counts.  An empty table gives no rows.
     """
     spark = common.ready(docs.sparkSession)
     docs = docs.drop("lang_pred", "score")
