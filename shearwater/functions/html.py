@@ -9,7 +9,7 @@ from html.parser import HTMLParser
 from urllib.parse import urljoin
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
-#: Elements that say nothing about a record.
+# fixed values: elements that say nothing about a record
 BOILERPLATE = {"script", "style", "nav", "footer", "header", "iframe", "noscript", "svg", "meta", "link"}
 CLOSES = {"p": {"p"}, "li": {"li"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
@@ -41,6 +41,17 @@ class Node:
         return re.sub(r"\s+", " ", "".join(out)).strip()
 
 
+def pruned(root: Node, drop) -> list[Node]:
+    """All elements below ``root`` in document order, without those that ``drop`` takes and what they hold."""
+    out, stack = [], [k for k in reversed(root.kids) if isinstance(k, Node)]
+    while stack:
+        n = stack.pop()
+        if not drop(n):
+            out.append(n)
+            stack += [k for k in reversed(n.kids) if isinstance(k, Node)]
+    return out
+
+
 class _Builder(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)

@@ -20,12 +20,12 @@ JUNK_NAMES = (
 
 def phone(c: Column) -> Column:
     """Hyphenated Japanese number of 10 or 11 digits, else empty."""
-    s = F.translate(fold_digits(c), "－‐ー―（）　()", "----")
-    s = F.trim(F.regexp_replace(s, r"(?i)(?:内線|ext|代表|/).*$", ""))
+    s = F.translate(fold_digits(F.trim(c)), "－‐ー―−–—（）　()", "-------")
+    s = F.trim(F.regexp_replace(s, r"(?is)(?<=.)(?:内線|ext|代表|／|/).*$", ""))
     digits = F.regexp_replace(s, "[^0-9]", "")
     n = F.length(digits)
     part = lambda a, k: F.substring(digits, a, k)
-    kept = s.rlike("^[0-9]{2,5}-[0-9]{1,4}-[0-9]{3,4}$") & n.isin(10, 11)
+    kept = s.rlike("^0[0-9]*-[0-9]+-[0-9]+$") & n.isin(10, 11)
     return (
         F.when(~n.isin(10, 11) | c.isNull(), "").when(kept, s).when(n == 11, F.concat_ws("-", part(1, 3), part(4, 4), part(8, 4)))
         .when(digits.startswith("03") | digits.startswith("06"), F.concat_ws("-", part(1, 2), part(3, 4), part(7, 4)))

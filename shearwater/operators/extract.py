@@ -83,14 +83,78 @@ def texts(pages: DataFrame, limit: int | None = None) -> DataFrame:
     return _table(pages, row, "page_id long, title string, text string", [pa.int64(), pa.string(), pa.string()])
 
 
-def signals(pages: DataFrame) -> DataFrame:
-    """(page_id, n_links, n_items, n_images, n_rows, has_article)."""
-    def row(i, u, r, _):
-        count = lambda s: len(H.select(r, s))
-        return [(i, count("a[href]"), count("nav li"), count("img"), count("tr"), bool(H.select(r, "article h1")))]
+# fixed values: phrases that say a list is empty, and what hints at entries of one
+EMPTY_LIST = (
+    r"現在[^。]{0,20}(収容|登録|保護)[^。]{0,20}(無|なし|いません|ありません|0\s*[頭匹件])",
+    r"該当[^。]{0,15}(無|なし|ありません|データはありません)",
+    r"(犬|猫|動物|該当する|お知らせするもの)[^。]{0,15}(はいません|はありません|ございません)",
+    r"(保護|収容|譲渡|登録)[^。]{0,20}(犬|猫|動物)?[^。]{0,10}(0\s*[頭匹件]|無し|なし)",
+    r"現在[^。]{0,15}(掲載|公開)[^。]{0,15}(無|なし|ありません)",
+    r"情報は[^。]{0,10}ありません",
+    r"見つかりませんでした",
+)
+EMPTY_MESSAGE = (
+    r"(現在|只今|ただいま)[、,]?.{0,25}(ありません|いません)",
+    r"該当する.{0,15}(情報|動物)?.{0,3}ありません",
+    r"対象.{0,10}(動物|犬|猫).{0,5}いません",
+    r"収容.{0,15}(動物|情報|犬|猫)?.{0,5}(ありません|いません)",
+)
+ENTRY_IMAGE = r"(犬|猫|オス|メス|♂|♀|保護犬|保護猫|収容|譲渡|迷子)"
+ENTRY_LINK = r"(detail|/animal/|/animals/|/inu/|/neko/|/dog/|/cat/|/stray/|/hogo/|/jyoto/|/jouto/|/info\d|infoid=)"
+EMPTY_ROW = r"(該当.{0,10}(なし|ありません)|現在.{0,10}(いません|ありません)|お知らせ)"
+#: Elements whose text nobody reads.
+NOISE_TEXT = frozenset({"script", "style"})
+NOISE_TAGS = {"header", "footer", "nav", "aside", "script", "style", "noscript"}
+NOISE_ROLES = {"navigation", "banner", "contentinfo"}
+NOISE_CLASSES = {"header", "footer", "nav", "menu", "sidebar", "breadcrumb", "gnav", "global-nav", "side-menu", "pankuzu"}
+NOISE_IDS = {"header", "footer", "nav", "sidebar", "menu", "breadcrumb"}
+MANY_IMAGES, MANY_LINKS, MANY_ROWS, MANY_FILES = 3, 5, 8, 2
+
+
+def is_noise(node) -> bool:
+    """Whether an element belongs to the page's frame, not to its list."""
+    a = node.attrs
+    return node.tag in NOISE_TAGS or a.get("role") in NOISE_ROLES or a.get("id") in NOISE_IDS or not NOISE_CLASSES.isdisjoint(a.get("class", "").split())
+
 
-    kinds = [pa.int64(), *[pa.int32()] * 4, pa.bool_()]
-    return _table(pages, row, "page_id long, n_links int, n_items int, n_images int, n_rows int, has_article boolean", kinds)
+def signals(pages: DataFrame) -> DataFrame:
+    """What an empty listing page shows, and what that means, in one pass over each page.
+
+    Frame elements (with all they hold) count for the zero phrases only.
+    Entry links are those of the page's own host below its own path.
+    ``zero_class``: many images of animals come before a zero phrase, then
+    links, filled rows and PDF files; null pages are ``unreachable``.
+    """
+    import re
+    from urllib.parse import urljoin, urlparse
+
+    empty, image, link, blank = (re.compile(p) for p in ("|".join(EMPTY_LIST), ENTRY_IMAGE, "(?i)" + ENTRY_LINK, EMPTY_ROW))
+    message = [re.compile(p) for p in EMPTY_MESSAGE]
+
+    def entry(href: str, url: str) -> bool:
+        at, own = urlparse(urljoin(url, href)), urlparse(url)
+        inside = at.path.startswith(own.path.rsplit("/", 1)[0] or "/") if at.path else True
+        return bool(link.search(href)) and at.netloc in ("", own.netloc) and inside
+
+    def row(i, u, r, text):
+        whole = r.text(NOISE_TEXT)
+        body = H.pruned(r, is_noise)
+        images = [n for n in body if n.tag == "img"]
+        found = [
+            len(images), sum(bool(image.search(n.attrs.get("alt") or n.attrs.get("title") or "")) for n in images),
+            sum(entry(n.attrs["href"], u) for n in body if n.tag == "a" and "href" in n.attrs),
+            sum(not blank.search(n.text()) for n in body if n.tag == "tr"), sum(n.tag == "a" and n.attrs.get("href", "").endswith(".pdf") for n in body),
+        ]
+        said = bool(empty.search(whole))
+        kind = (
+            "unreachable" if not text else "suspicious" if found[1] >= MANY_IMAGES else "true_zero" if said
+            else "suspicious" if found[2] >= MANY_LINKS or found[3] >= MANY_ROWS or found[4] >= MANY_FILES else "maybe_zero"
+        )
+        return [(i, *found, said, any(p.search(whole) for p in message), bool(H.select(r, "article h1")), kind)]
+
+    kinds = [pa.int64(), *[pa.int32()] * 5, *[pa.bool_()] * 3, pa.string()]
+    shape = "page_id long, n_images int, entry_images int, entry_links int, filled_rows int, pdf_links int, says_empty boolean, empty_message boolean, has_article boolean, zero_class string"
+    return _table(pages, row, shape, kinds)
 
 
 def records(pages: DataFrame, spec: Spec) -> DataFrame:
@@ -106,12 +170,6 @@ def row_number(key):
     return F.regexp_extract(key, r"#row=(\d+)$", 1).try_cast("int")
 
 
-def zero_class(html, links_: object, items: object):
-    """What an empty listing page is, from its canaries and signals."""
-    said = html.rlike("現在.{0,12}(?:いません|おりません|ありません)|該当.{0,8}(?:なし|ありません)|0件|no (?:animals|items|results)")
-    return F.when(said, "true_zero").when(items >= 5, "suspicious").when(links_ >= 3, "maybe").when(F.length(html) < 500, "unreachable").otherwise("script_page")
-
-
 def robots(pages: DataFrame, rules: str, agent: str = "*") -> DataFrame:
     """(page_id, allowed) under one robots text; an empty text allows all, a URL without a host is denied."""
     from urllib.parse import urlparse

@@ -260,10 +260,10 @@ def post_moderation(spark, sf_dir):
     return r.select("id", F.array_join("r", ",").alias("reasons"), feeds.decision(True, F.lit(True), F.col("r"), True).alias("decision"))
 
 
-@query(f"""{_N} select id, concat('新しい保護動物の情報です', chr(10), '種別: ', species, chr(10), '場所: ', location, chr(10), source_url) as message, to_json({{'id': id, 'species': species}}) as payload from n where id % 3 <> 1""")
+@query(f"""{_N} select id, concat('新しい保護動物の情報です', chr(10), '種別: ', species, chr(10), '場所: ', regexp_replace(location, '付近.*$', ''), chr(10), source_url) as message, to_json({{'id': id, 'species': species}}) as payload from n""")
 def notification_text(spark, sf_dir):
     """G10 G11."""
-    r = norm(spark, sf_dir).where("id % 3 <> 1")
+    r = norm(spark, sf_dir)
     body = F.regexp_replace(feeds.notification(r), "年齢: [^\n]*\n", "")
     return r.select("id", body.alias("message"), F.to_json(F.struct("id", "species")).alias("payload"))
 

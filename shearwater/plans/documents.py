@@ -54,13 +54,27 @@ def compressed_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.length(F.trim(F.regexp_replace(c, "[ \\t\\n\\r]+", " "))).cast("long").alias("compressed"))
 
 
-@query("""select page_id, cast(len(regexp_extract_all(html, '<a href=')) as int) as n_links, cast(len(regexp_extract_all(html, '<li>')) as int) as n_items, cast(len(regexp_extract_all(html, '<img ')) as int) as n_images, cast(len(regexp_extract_all(html, '<tr')) as int) as n_rows, contains(html, '<article><h1>') as has_article,
-case when len(regexp_extract_all(html, '<li>')) >= 5 then 'suspicious' when len(regexp_extract_all(html, '<a href=')) >= 3 then 'maybe' when length(html) < 500 then 'unreachable' else 'script_page' end as zero_class from pages""")
+# what a list page may hold, by page: nothing but a phrase, entries as links, as rows, as images, as files
+_LISTED = """case page_id % 6 when 0 then '<p>現在、収容している犬はいません。</p>' when 1 then concat(repeat(concat('<a href="', url, '/detail/1">x</a>'), 4), '<a href="/animals/7">y</a><a href="http://other.example.org/dog/1">z</a>', repeat(concat('<a href="', url, '/dog/2">w</a>'), cast(page_id % 2 as int)))
+when 2 then concat('<table>', repeat('<tr><td>3</td></tr>', cast(6 + page_id % 4 as int)), '<tr><td>該当なし</td></tr></table>') when 3 then concat(repeat('<img src="a.jpg" alt="保護犬">', cast(1 + page_id % 5 as int)), '<p>該当するデータはありません</p>')
+when 4 then repeat('<a href="/list.pdf">pdf</a>', cast(page_id % 3 as int)) else '<nav><table><tr><td>1</td></tr></table><a href="/x.pdf">p</a></nav>' end"""
+_AUDIT = rf"""with p as (select page_id, url, concat(regexp_replace(html, '</body>.*$', '', 's'), {_LISTED}, '</body></html>') as html from pages),
+c as (select page_id, url, regexp_replace(regexp_replace(html, '<script.*?</script>|<style.*?</style>', ' ', 'gs'), '<[^>]*>', ' ', 'gs') as said, html as whole, regexp_replace(html, '<(?:nav|footer)>.*?</(?:nav|footer)>|<script.*?</script>|<style.*?</style>', '', 'gs') as body from p),
+d as (select page_id, said, whole, regexp_extract_all(body, '<a href="([^"]*)"', 1) as hrefs, regexp_extract(url, '^(https?://[^/]+)', 1) as root, regexp_replace(regexp_extract(url, '^https?://[^/]+([^?#]*)', 1), '/[^/]*$', '') as base, len(regexp_extract_all(body, '<img ')) as n_images, len(regexp_extract_all(body, '<img [^>]*alt="[^"]*(?:犬|猫|収容|譲渡|迷子)')) as entry_images,
+len(list_filter(regexp_extract_all(body, '<tr.*?</tr>', 0, 's'), lambda x: not regexp_matches(x, '該当.{{0,10}}(なし|ありません)|お知らせ'))) as filled_rows from c),
+s as (select *, len(list_filter(hrefs, lambda h: regexp_matches(h, 'detail|/animals?/|/inu/|/neko/|/dog/|/cat/|/stray/|/hogo/|/jyoto/|/jouto/|/info[0-9]|infoid=', 'i') and starts_with(case when starts_with(h, 'http') then h else root || h end, root || '/') and starts_with(case when starts_with(h, 'http') then h else root || h end, root || case when base = '' then '/' else base end))) as entry_links, len(list_filter(hrefs, lambda h: ends_with(h, '.pdf'))) as pdf_links,
+regexp_matches(said, '現在[^。]{{0,20}}(収容|登録|保護)[^。]{{0,20}}(なし|いません|ありません)|該当[^。]{{0,15}}(なし|ありません)') as says_empty from d)
+select page_id, cast(n_images as int) as n_images, cast(entry_images as int) as entry_images, cast(entry_links as int) as entry_links, cast(filled_rows as int) as filled_rows, cast(pdf_links as int) as pdf_links, says_empty,
+regexp_matches(said, '(現在|只今|ただいま)[、,]?.{{0,25}}(ありません|いません)|該当する.{{0,18}}ありません|収容.{{0,20}}(ありません|いません)') as empty_message, contains(whole, '<article><h1>') as has_article,
+case when entry_images >= 3 then 'suspicious' when says_empty then 'true_zero' when entry_links >= 5 or filled_rows >= 8 or pdf_links >= 2 then 'suspicious' else 'maybe_zero' end as zero_class from s"""
+
+
+@query(_AUDIT)
 def page_signals(spark, sf_dir):
-    """X29 X30 X31 X32 X36."""
+    """Pages with a list part of each kind put in, audited in one pass."""
     p = table(spark, sf_dir, "pages")
-    s = extract.signals(p)
-    return s.join(p.select("page_id", "html"), "page_id").select(*s.columns, extract.zero_class(F.col("html"), F.col("n_links"), F.col("n_items")).alias("zero_class"))
+    html = F.concat(F.regexp_replace("html", "(?s)</body>.*$", ""), F.expr(_LISTED), F.lit("</body></html>"))
+    return extract.signals(p.select("page_id", "url", html.alias("html")))
 
 
 ITEMS = extract.Spec("nav li", {"label": "a", "href": "a"}, attrs={"href": "href"})

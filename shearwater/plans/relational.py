@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text, web
 from ..operators import listing, normalize, reconcile
 from .bridge import AS_OF, RECORDS_CTE, records, table
-from .registry import query
+from .registry import ORACLES, query
 from .scalars import _PREF, _SEX, _SPECIES, W
 
 _BOARD = """select o_orderkey as id, o_orderpriority as species, case when o_orderstatus = 'F' then 'adopted' when o_orderstatus = 'P' then 'deceased' else 'sheltered' end as status,
@@ -159,14 +159,14 @@ def prefix_attribution(spark, sf_dir):
     return reconcile.prefix_attribution(pages.select("page_id", "url"), lists, "url", "list_url", "rank").select("page_id", "list_url")
 
 
-_SITES = "select s.s_suppkey, n.n_name, count(l.l_orderkey) as n, max(cast(l.l_shipdate as date)) as last from supplier s left join nation n on s.s_nationkey = n.n_nationkey left join (select * from lineitem where l_quantity > 40) l on l.l_suppkey = s.s_suppkey group by 1, 2"
+_SITES = "select s.s_suppkey, n.n_name, count(l.l_orderkey) as n, max(cast(l.l_shipdate as date)) as last from supplier s left join nation n on s.s_nationkey = n.n_nationkey left join lineitem l on l.l_suppkey = s.s_suppkey group by 1, 2"
 
 
 @query(f"with s as ({_SITES}) select s_suppkey, n_name, n, last, case when s_suppkey % 6 = 0 then 'failing' when s_suppkey % 4 = 0 then 'warning' else 'ok' end as health from s")
 def site_overview(spark, sf_dir):
     """Sites left-joined with counts of their rows."""
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
-    stats = table(spark, sf_dir, "lineitem").where("l_quantity > 40").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max(F.col("l_shipdate").cast("date")).alias("last"))
+    stats = table(spark, sf_dir, "lineitem").groupBy("l_suppkey").agg(F.count("*").alias("n"), F.max(F.col("l_shipdate").cast("date")).alias("last"))
     n = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")  # 25 rows
     failures = F.when(F.col("s_suppkey") % 6 == 0, 3).when(F.col("s_suppkey") % 4 == 0, 1).otherwise(0)
     health = F.when(failures >= 3, "failing").when(failures > 0, "warning").otherwise("ok")
@@ -177,7 +177,7 @@ def site_overview(spark, sf_dir):
 def site_coverage(spark, sf_dir):
     """J10 A12."""
     s = table(spark, sf_dir, "supplier")
-    have = table(spark, sf_dir, "lineitem").where("l_quantity > 40").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("has", F.lit("with"))
+    have = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("s_suppkey")).distinct().withColumn("has", F.lit("with"))
     return s.join(have, "s_suppkey", "left").groupBy(F.coalesce("has", F.lit("without")).alias("side")).agg(F.count("*").alias("sites"))
 
 
@@ -233,17 +233,16 @@ def candidate_difference(spark, sf_dir):
 
 _PREFS = """select c_custkey as user_id, case c_custkey % 4 when 0 then '犬' when 1 then '猫' end as p_species, case c_custkey % 3 when 0 then '高知市|大村市' when 1 then '吾妻町' end as places,
 case when c_custkey % 5 = 0 then 12 end as age_min, case when c_custkey % 7 = 0 then 100 end as age_max, case when c_custkey % 6 = 0 then '大型' end as p_size, case when c_custkey % 2 = 0 then '男の子' end as p_sex,
-c_acctbal > 0 as active, c_custkey % 10 <> 3 as enabled from {customer} where c_custkey % 25 = 1"""
-_AGE = """case when regexp_matches(age, '歳[0-9]+ヶ月') then cast(regexp_extract(age, '^([0-9]+)歳', 1) as integer) * 12 + cast(regexp_extract(age, '歳([0-9]+)ヶ月', 1) as integer) when regexp_matches(age, '^[0-9]+歳$') then case when cast(regexp_extract(age, '^([0-9]+)歳', 1) as integer) <= 30 then cast(regexp_extract(age, '^([0-9]+)歳', 1) as integer) * 12 end when regexp_matches(age, 'か月') then cast(regexp_extract(age, '^([0-9]+)', 1) as integer) end"""
+c_acctbal > 0 as active, c_custkey % 10 <> 3 as enabled from {customer}"""
 _SIZE = "case id % 9 when 0 then '小型' when 1 then '中型' when 2 then '大型' when 4 then 'Sサイズ' when 6 then '小型' when 8 then '大型' end"
-_MATCH = f"""{W}, n as (select id, {_SPECIES} as species, {_SEX} as sex, {_AGE} as age_months, {_SIZE} as size, location, source_url from records where id % 10 = 0 and (regexp_matches(age, '歳|か月') and not regexp_matches(age, '才|生'))),
+_MATCH = f"""{W}, n as (select id, {_SPECIES} as species, {_SEX} as sex, age_months, {_SIZE} as size, location, source_url from records join ({ORACLES['normalize_age']}) using (id)),
 p as ({_PREFS.replace('{customer}', 'customer')}), m as (select user_id, id, source_url from n join p on active and enabled and (p_species is null or p_species = species) and (places is null or list_bool_or(list_transform(string_split(places, '|'), lambda x: contains(location, x))))
 and (age_min is null or age_months >= age_min) and (age_max is null or age_months <= age_max) and (p_size is null or p_size = size) and (p_sex is null or p_sex = sex))"""
 
 
 def _matches(spark, sf_dir):
     prefs = spark.sql(_PREFS, customer=table(spark, sf_dir, "customer")).where("active and enabled").withColumn("prefectures", F.split("places", "[|]"))
-    raw = records(spark, sf_dir).where("id % 10 = 0").where(F.col("age").rlike("歳|か月") & ~F.col("age").rlike("才|生"))
+    raw = records(spark, sf_dir)
     r = normalize.normalized(raw, AS_OF).withColumn("location", F.element_at(F.array("location"), 1))
     r = r.drop("location").join(raw.select("id", "location"), "id")
     return reconcile.first_matches(r, prefs).select("user_id", "id", "source_url")

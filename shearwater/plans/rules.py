@@ -55,30 +55,30 @@ def site_rules_cells(spark, sf_dir):
     )
 
 
-@query("""with c as (select p_partkey, unnest([['種類', p_type], ['大きさ', cast(p_size as varchar)], ['備考', p_brand]]) as kv from part where p_partkey % 2 = 0) select p_partkey, max(case when kv[1] = '種類' then kv[2] end) as species, max(case when kv[1] = '大きさ' then kv[2] end) as size from c group by 1""")
+@query("""with c as (select p_partkey, unnest([['種類', p_type], ['大きさ', cast(p_size as varchar)], ['備考', p_brand]]) as kv from part) select p_partkey, max(case when kv[1] = '種類' then kv[2] end) as species, max(case when kv[1] = '大きさ' then kv[2] end) as size from c group by 1""")
 def site_rules_columns(spark, sf_dir):
     """Header labels choose the fields; blank rows go."""
-    p = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").withColumn("cells", F.array("p_type", F.col("p_size").cast("string"), "p_brand"))
+    p = table(spark, sf_dir, "part").withColumn("cells", F.array("p_type", F.col("p_size").cast("string"), "p_brand"))
     p = p.where(F.exists("cells", lambda c: F.trim(c) != "")).select("p_partkey", F.posexplode("cells").alias("i", "value"))
     heads = F.array(F.lit("種類"), F.lit("大きさ"), F.lit("備考"))
     field = F.when(F.get(heads, F.col("i")).contains("種類"), "species").when(F.get(heads, F.col("i")).contains("大きさ"), "size")
     return p.withColumn("field", field).groupBy("p_partkey").pivot("field", ["species", "size"]).agg(F.max("value"))
 
 
-@query("""select l_orderkey, l_linenumber, p_brand as photo from lineitem left join (select p_partkey, p_brand from part where p_partkey % 3 = 0) on l_partkey = p_partkey where l_quantity > 45""")
+@query("""select l_orderkey, l_linenumber, p_brand as photo from lineitem left join (select p_partkey, p_brand from part where p_partkey % 3 = 0) on l_partkey = p_partkey""")
 def photo_join(spark, sf_dir):
     """A photo table joined to records by number; records without a photo stay."""
     photos = table(spark, sf_dir, "part").where("p_partkey % 3 = 0").select("p_partkey", F.col("p_brand").alias("photo"))
-    line = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    line = table(spark, sf_dir, "lineitem")
     return line.join(photos, line.l_partkey == photos.p_partkey, "left").select("l_orderkey", "l_linenumber", "photo")
 
 
-@query("""with b as (select s_suppkey, s_nationkey, case when contains(s_name, '1') then '088-1' when contains(s_name, '2') then '088-2' else '088-0' end as phone from supplier), r as (select *, row_number() over (partition by s_nationkey order by s_suppkey) as pos from b) select s_suppkey, phone, pos from r where pos <= 2""")
+@query("""with b as (select s_suppkey, s_nationkey, case when contains(s_name, '1') then '088-1' when contains(s_name, '2') then '088-2' else '088-0' end as phone from supplier), r as (select *, row_number() over (partition by s_nationkey order by s_suppkey) as pos from b) select s_suppkey, phone, pos from r""")
 def facility_phones(spark, sf_dir):
-    """The first keyword in order decides; two sources a place."""
+    """The first keyword in order decides; sources of a place in order."""
     phone = F.when(F.col("s_name").contains("1"), "088-1").when(F.col("s_name").contains("2"), "088-2").otherwise("088-0")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", phone.alias("phone"))
-    return s.withColumn("pos", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).where("pos <= 2").select("s_suppkey", "phone", "pos")
+    return s.withColumn("pos", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).select("s_suppkey", "phone", "pos")
 
 
 @query(f"""{W} select id, case when contains(source_url, '/dog/') then '犬' when contains(source_url, '/neko/') then '猫' else '' end as by_path, shelter_date <> '' and (species <> '' or sex <> '') as valid,
@@ -115,10 +115,12 @@ def archive_report(spark, sf_dir):
     return old.agg(F.count("*").alias("archivable"), F.min(day).alias("oldest"), F.count_if(day <= F.lit("1996-01-01").cast("date")).alias("overdue"))
 
 
-@query("with s as (select s_suppkey, s_name, case when s_suppkey % 6 = 0 then 0 when s_suppkey % 4 = 0 then 1 else 2 end as severity from supplier) select s_suppkey, s_name, severity, row_number() over (order by severity, s_name, s_suppkey) as place from s order by severity, s_name, s_suppkey limit 40")
+@query("with s as (select s_suppkey, s_name, case when s_suppkey % 6 = 0 then 0 when s_suppkey % 4 = 0 then 1 else 2 end as severity from supplier) select s_suppkey, s_name, severity, row_number() over (order by severity, s_name, s_suppkey) as place from s order by severity, s_name, s_suppkey")
 def sites_by_health(spark, sf_dir):
     """By severity, then name in the site's collation."""
     k = F.col("s_suppkey")
     s = table(spark, sf_dir, "supplier").select(k, "s_name", F.when(k % 6 == 0, 0).when(k % 4 == 0, 1).otherwise(2).alias("severity"))
-    top = s.orderBy("severity", F.collate("s_name", "ja"), "s_suppkey").limit(40)  # the page
-    return top.withColumn("place", F.row_number().over(Window.orderBy("severity", F.collate("s_name", "ja"), "s_suppkey")))
+    name = F.collate("s_name", "ja")
+    own = s.withColumn("at", F.row_number().over(Window.partitionBy("severity").orderBy(name, "s_suppkey")))
+    before = s.groupBy("severity").agg(F.count("*").alias("n")).withColumn("ahead", F.sum("n").over(Window.orderBy("severity")) - F.col("n"))  # three rows
+    return own.join(F.broadcast(before.select("severity", "ahead")), "severity").select("s_suppkey", "s_name", "severity", (F.col("at") + F.col("ahead")).alias("place"))
