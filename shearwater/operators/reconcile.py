@@ -129,20 +129,20 @@ def ordered_distinct(parts: Sequence[DataFrame], keys: Sequence[str], position:
     return every.groupBy(*keys).agg(F.min("at").alias("at")).select(*keys, F.col("at.part").alias("part"), F.col("at.pos").alias("pos"))
 
 
-def first_matches(records: DataFrame, preferences: DataFrame, shares: int = 16) -> DataFrame:
+def first_matches(records: DataFrame, preferences: DataFrame, shares: int = 16, by: str = "id") -> DataFrame:
     """Records x preferences where null means any.
 
     Species is spread to an equality key (a preference without one stands for
     all three), so this is a hash join with a residual, not a nested loop.
     Three species are few keys: records are dealt over ``shares`` parts of each
-    by their URL, and preferences are repeated for each part.
+    by a hash of ``by``, and preferences are repeated for each part.
     """
     kinds = F.when(F.col("p_species").isNull(), F.array(F.lit("犬"), F.lit("猫"), F.lit("その他"))).otherwise(F.array("p_species"))
     p = preferences.withColumn("_kind", F.explode(kinds)).withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
     age = F.col("age_months")
     any_of = F.col("prefectures").isNull() | (F.size("prefectures") == 0) | F.exists("prefectures", lambda x: F.col("location").contains(x))
     fits = (
-        (F.col("species") == F.col("_kind")) & (F.pmod(F.xxhash64("source_url"), F.lit(shares)) == F.col("_share")) & any_of & (F.col("age_min").isNull() | (age >= F.col("age_min"))) & (F.col("age_max").isNull() | (age <= F.col("age_max")))
+        (F.col("species") == F.col("_kind")) & (F.pmod(F.xxhash64(records[by]), F.lit(shares)) == F.col("_share")) & any_of & (F.col("age_min").isNull() | (age >= F.col("age_min"))) & (F.col("age_max").isNull() | (age <= F.col("age_max")))
         & (F.col("p_size").isNull() | (F.col("size") == F.col("p_size"))) & (F.col("p_sex").isNull() | (F.col("sex") == F.col("p_sex")))
     )
     return records.join(p, fits)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text, web
 from ..operators import feeds, normalize, stats, tracking
 from .bridge import AS_OF, EVENTS_AS_OF, RECORDS_CTE, events, records, table
-from .registry import query
+from .registry import ORACLES, query
 from .scalars import _PREF, _SEX, _SPECIES, W
 
 _N = f"{W}, n as (select id, {_SPECIES} as species, {_SEX} as sex, {_PREF} as prefecture, category, coalesce(status, 'sheltered') as status, nullif(breed, '') as breed, nullif(name, '') as name, phone, imgs, color, source_url, location, source_site, price from records)"
@@ -260,7 +260,7 @@ def post_moderation(spark, sf_dir):
     return r.select("id", F.array_join("r", ",").alias("reasons"), feeds.decision(True, F.lit(True), F.col("r"), True).alias("decision"))
 
 
-@query(f"""{_N} select id, concat('新しい保護動物の情報です', chr(10), '種別: ', species, chr(10), '場所: ', regexp_replace(location, '付近.*$', ''), chr(10), source_url) as message, to_json({{'id': id, 'species': species}}) as payload from n""")
+@query(f"""{_N} select id, concat('新しい保護動物の情報です', chr(10), '種別: ', species, chr(10), '場所: ', c.location, chr(10), source_url) as message, to_json({{'id': id, 'species': species}}) as payload from n join ({ORACLES['coarsen_location']}) c using (id)""")
 def notification_text(spark, sf_dir):
     """G10 G11."""
     r = norm(spark, sf_dir)
