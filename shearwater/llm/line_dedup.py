@@ -118,6 +118,21 @@ def listed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
     return lines, common.rarity_classes(counts)
 
 
+def _wide_signatures(keys: np.ndarray, n: np.ndarray) -> pa.Array:
+    """256 bits for each set of more than WIDE tokens, null for the others; each token flips one."""
+    wide: list[bytes | None] = [None] * len(n)
+    start, long_ = np.cumsum(n) - n, np.flatnonzero(n > WIDE)
+    for k in range(0, len(long_), 2048):
+        part = long_[k : k + 2048]
+        size = n[part]
+        at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
+        bit = np.repeat(np.arange(len(part)) * 256, size) + ((keys[at] >> np.uint64(6)).astype(np.int64) & 255)
+        bits = np.packbits(np.bincount(bit, minlength=256 * len(part)).astype(np.uint8).reshape(-1, 256) & 1, axis=1)
+        for i, row in zip(part.tolist(), bits):
+            wide[i] = row.tobytes()
+    return pa.array(wide, pa.binary())
+
+
 def postings(docs: DataFrame, rarity: object, only: object | None = None) -> DataFrame:
     """(key, cls, sig, doc, line, size, wide): prefix tokens of every line that its task meets for the first time.
 
@@ -135,17 +150,17 @@ def postings(docs: DataFrame, rarity: object, only: object | None = None) -> Dat
             cls = x.classes()
             doc, line = batch.column("doc").to_numpy()[x.doc], x.number
             lines = met.news(cls, doc, line)
+            words = kernels.order_keys(x.words, rarity.value)
+            if only is not None and len(lines):  # lines without a wanted token end here
+                hits = np.concatenate([[0], np.cumsum(common.in_bloom(only.value, kernels.signed(words)))])
+                lines = lines[hits[x.first[lines + 1]] > hits[x.first[lines]]]
             if not len(lines):
                 continue
-            keys, n = x.sets(kernels.order_keys(x.words, rarity.value), lines)
+            keys, n = x.sets(words, lines)
             start = np.cumsum(n) - n
             sig = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
             pos = np.arange(len(keys)) - np.repeat(start, n)
-            wide: list[bytes | None] = [None] * len(lines)
-            for k in np.flatnonzero(n > WIDE).tolist():
-                bit = (keys[start[k] : start[k] + n[k]] >> np.uint64(6)).astype(np.int64) & 255
-                wide[k] = np.packbits(np.bincount(bit, minlength=256).astype(np.uint8) & 1).tobytes()
-            wides = pa.array(wide, pa.binary())
+            wides = _wide_signatures(keys, n)
             take = (pos < np.repeat(setjoin.prefix(n), n)) & (keys >> np.uint64(56) > 0)
             if only is not None:
                 take[take] = common.in_bloom(only.value, kernels.signed(keys[take]))
@@ -200,8 +215,7 @@ def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
                 continue
             g = {c: v[~alone] for c, v in g.items()}
             # the same class from several tasks: its first place counts
-            order = np.lexsort((g["cls"], g["line"], g["doc"]))
-            order = order[np.lexsort((g["cls"][order], np.repeat(np.arange(len(size)), size)[~alone][order]))]
+            order = np.lexsort((g["line"], g["doc"], g["cls"], g["key"]))
             g = {c: v[order] for c, v in g.items()}
             again = np.concatenate([[False], (g["key"][1:] == g["key"][:-1]) & (g["cls"][1:] == g["cls"][:-1])])
             g = {c: v[~again] for c, v in g.items()}
