@@ -61,9 +61,14 @@ def not_ahead(c: Column, as_of: Column) -> Column:
     )
 
 
+# fixed values: words that name a species in a breed, and in a page
+DOG_WORDS, CAT_WORDS = "犬|いぬ|イヌ", "猫|ねこ|ネコ"
+DOG_PHRASES, CAT_PHRASES = "保護犬|譲渡犬|迷い犬", "保護猫|譲渡猫|迷い猫|負傷猫"
+
+
 def species_by_content(breed: Column, page: Column) -> Column:
-    """Breed words first, then words of the page."""
-    return F.when(breed.rlike("犬|柴|プードル|チワワ"), "犬").when(breed.rlike("猫|三毛|キジ"), "猫").when(page.contains("犬"), "犬").when(page.contains("猫"), "猫").otherwise("")
+    """A breed that names a species stays, else phrases of the page decide, dogs first; else the breed."""
+    return F.when(breed.rlike(f"{DOG_WORDS}|{CAT_WORDS}"), breed).when(page.rlike(DOG_PHRASES), "犬").when(page.rlike(CAT_PHRASES), "猫").otherwise(breed)
 
 
 def date_and_place(c: Column) -> tuple[Column, Column]:

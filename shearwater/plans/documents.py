@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import dialogue, extract
+from ..functions import rules
+from ..operators import details, dialogue, extract
 from .bridge import records, table
 from .registry import query
 from .scalars import W
@@ -42,7 +42,7 @@ def page_titles(spark, sf_dir):
 
 @query()
 def page_text(spark, sf_dir):
-    """Main text without boilerplate."""
+    """Main text without boilerplate."""
     return extract.texts(table(spark, sf_dir, "pages"), 8000).select("page_id", "text")
 
 
@@ -89,13 +89,54 @@ def page_records(spark, sf_dir):
     return wide.where(extract.row_number(F.col("key")) == F.col("pos"))
 
 
-@query("with p as (select page_id, unnest(['h1', 'p', 'p']) as tag, generate_subscripts(['h1', 'p', 'p'], 1) as pos from pages) select page_id, cast(pos as int) as pos, tag, 'h1' as heading from p where pos > 1")
+# a part put before the end of each body: a list under headings, a table of its links, a field in one of three forms
+_FIRST = "regexp_extract(html, '<a href=\"([^\"]*)\">', 1)"
+_PART = f"""concat('<h2>', case page_id % 3 when 0 then '収容犬' when 1 then '収容猫' else 'お知らせ' end, '</h2><section>', url, '</section><h4>', case when page_id % 5 = 0 then '猫' else '一覧' end, '</h4><section>', {_FIRST}, '</section>',
+'<table><tr><th>番号</th><th>写真</th></tr><tr><td>', cast(page_id as string), '</td><td><img src="', {_FIRST}, '.jpg"></td></tr>', case page_id % 4 when 0 then '<tr><td> </td><td></td></tr>' when 1 then '<tr><td>月　日</td><td>&nbsp;</td></tr>' when 2 then '<tr><td>該当なし</td></tr>' else '' end, '</table>',
+case page_id % 4 when 0 then concat('<dl><dt>動物の種類</dt><dd>', {_FIRST}, '</dd></dl>') when 1 then concat('<table><tr><td>種類</td><td>', {_FIRST}, '</td></tr></table>') when 2 then concat('<div>種類：（', {_FIRST}, '）</div>') else '<p>保護猫です</p>' end, '</body></html>')"""
+_BODIES = rf"with p as (select page_id, url, concat(regexp_replace(html, '</body>.*$', '', 's'), {_PART}) as html from pages)"
+
+
+def _bodies(spark, sf_dir):
+    p = table(spark, sf_dir, "pages")
+    return p.select("page_id", "url", F.concat(F.regexp_replace("html", "(?s)</body>.*$", ""), F.expr(_PART)).alias("html"))
+
+
+@query(rf"""{_BODIES}, f as (select page_id, html, coalesce(nullif(regexp_extract(html, '<dt>[^<]*種類[^<]*</dt><dd>([^<]*)</dd>', 1), ''), nullif(regexp_extract(html, '<td>[^<]*種類[^<]*</td><td>([^<]*)</td>', 1), ''), nullif(regexp_extract(html, '種類[\s：:]*（([^<]+)）', 1), ''), '') as breed from p)
+select page_id, breed, case when regexp_matches(breed, '犬|猫') then breed when regexp_matches(html, '保護犬|譲渡犬|迷い犬') then '犬' when regexp_matches(html, '保護猫|譲渡猫|迷い猫|負傷猫') then '猫' else breed end as species from f""")
+def label_ladder(spark, sf_dir):
+    """A field by its label through definition lists, tables and text; species by breed, then by page."""
+    f = details.fields(_bodies(spark, sf_dir), {"breed": ("種類", "品種")})
+    return f.select("page_id", "breed", rules.species_by_content(F.col("breed"), F.col("text")).alias("species"))
+
+
+@query(rf"""{_BODIES}, b as (select page_id, unnest(regexp_extract_all(html, '<section>([^<]*)</section>', 1)) as text, generate_subscripts(regexp_extract_all(html, '<section>([^<]*)</section>', 1), 1) - 1 as pos, regexp_extract(html, '<h2>([^<]*)</h2>', 1) as h2, regexp_extract(html, '<h4>([^<]*)</h4>', 1) as h4 from p)
+select page_id, cast(pos as int) as pos, text, case when pos = 0 then h2 else h4 end as heading, case when pos = 1 and contains(h4, '猫') then '猫' when contains(h2, '犬') then '犬' when contains(h2, '猫') then '猫' else '' end as species from b""")
 def site_rules_tables(spark, sf_dir):
-    """The nearest heading before each block, by a forward fill."""
-    blocks = F.posexplode(F.array(F.lit("h1"), F.lit("p"), F.lit("p"))).alias("i", "tag")
-    b = table(spark, sf_dir, "pages").select("page_id", blocks).withColumn("pos", (F.col("i") + 1).cast("int"))
-    w = Window.partitionBy("page_id").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    return b.withColumn("heading", F.last(F.when(F.col("tag") == "h1", F.col("tag")), ignorenulls=True).over(w)).where("pos > 1").select("page_id", "pos", "tag", "heading")
+    """Blocks of a page under their headings, species from the nearest that names one."""
+    return details.blocks(_bodies(spark, sf_dir), "section")
+
+
+@query(rf"""{_BODIES}, r as (select page_id, unnest(regexp_extract_all(html, '<tr>.*?</tr>')) as tr, generate_subscripts(regexp_extract_all(html, '<tr>.*?</tr>'), 1) - 1 as pos from p),
+c as (select page_id, pos, tr, len(regexp_extract_all(tr, '<t[dh]>')) as n, regexp_replace(regexp_replace(replace(tr, '&nbsp;', ''), '<[^>]*>', '', 'g'), '[ 　]', '', 'g') as said from r)
+select page_id, cast(pos as int) as pos, case when said = '' then 'blank' when regexp_full_match(said, '[月日時分]+') then 'template' when not contains(tr, '<td>') then 'header' when n = 1 and regexp_matches(said, '該当.{{0,10}}(なし|ありません)') then 'message' else 'data' end as kind, cast(n as int) as n_cells from c""")
+def table_row_kinds(spark, sf_dir):
+    """Which rows of a table are entries."""
+    return details.row_kinds(_bodies(spark, sf_dir))
+
+
+@query(rf"""{_BODIES} select page_id, cast(1 as int) as row, cast(1 as int) as cell, regexp_extract(url, '^(https?://[^/?#]+)', 1) || regexp_extract(html, '<td><img src="([^"]*)"></td>', 1) as src from p""")
+def cell_images(spark, sf_dir):
+    """Images by row and cell."""
+    return details.cell_images(_bodies(spark, sf_dir))
+
+
+@query(rf"""{_BODIES} select page_id, cast(len(regexp_extract_all(html, '<a href="')) as int) as n_links, length(regexp_extract(html, '<title>', 0)) - 7 as n_heads, '<h2>' || regexp_extract(html, '<h2>([^<]*)</h2>', 1) as sample from p""")
+def tidy_pages(spark, sf_dir):
+    """A window of the tidied body around an anchor."""
+    t = details.tidied(_bodies(spark, sf_dir).withColumn("html", F.regexp_replace("html", "<h2>", '<h2 onclick="x()" style="y">')), "<h2>", 400)
+    h2 = F.regexp_extract("sample", "(<h2>[^<]*)", 1)
+    return t.select("page_id", F.regexp_count("html", F.lit('<a href="')).alias("n_links"), F.regexp_count("html", F.lit("<head|<title|<script|<style|onclick")).cast("long").alias("n_heads"), h2.alias("sample"))
 
 
 ROBOTS = "User-agent: *\nDisallow: /fr/\nDisallow: /de/"

@@ -2,7 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
-from shearwater.operators import dialogue, extract, feeds, listing, normalize, reconcile, stats, tracking
+from shearwater.functions import rules
+from shearwater.operators import details, dialogue, extract, feeds, listing, normalize, reconcile, stats, tracking
 from shearwater.plans import registry
 from shearwater.sources import tables
 
@@ -80,6 +81,27 @@ def test_posts_and_feeds(spark):
     assert rows(df.select(feeds.moderation(F.lit("adopted"), F.lit("090-1234-5678 a@b.cc")).alias("r")), "r") == [(["status", "phone", "email"],)]
 
 
+def test_detail_parts(spark):
+    shape = "page_id long, url string, html string"
+    ladder = spark.createDataFrame([
+        (1, "u", "<dl><dt>動物の品種<dd> 柴 犬 </dl><table><tr><td>種類<td>三毛</table>"),
+        (2, "u", "<dl><dt>種類<dd></dl><table><tr><th>種類<td>三毛<td>x</table>"),  # an empty value leads on
+        (3, "u", "<table><tr><td>種類<td></table><p>種類：【ミックス】<p>迷い犬"),
+        (4, "u", "<dl><dt>種類</dt></dl><p>保護猫です"), (5, None, None), (6, "u", ""),
+    ], shape)
+    got = details.fields(ladder, {"breed": ("種類", "品種")}).select("page_id", "breed", rules.species_by_content(F.col("breed"), F.col("text")).alias("species"))
+    assert rows(got, *got.columns) == [(1, "柴 犬", "柴 犬"), (2, "三毛", "三毛"), (3, "ミックス", "犬"), (4, "", "猫"), (5, "", ""), (6, "", "")]
+    cards = spark.createDataFrame([(1, "u", "<i>a</i><h2>収容犬</h2><h3>一覧</h3><i>b</i><h4>猫の部</h4><i>c</i><h2>お知らせ</h2><i>d</i>")], shape)
+    assert rows(details.blocks(cards, "i"), "text", "heading", "species") == [("a", "", ""), ("b", "一覧", "犬"), ("c", "猫の部", "猫"), ("d", "お知らせ", "")]
+    table = spark.createDataFrame([(1, "https://h/d/", "<table><tr><th>a<th>b<tr><td>\u3000<td>&nbsp;<tr><td>月\u3000日<td><tr><td>該当なし<tr><td><img src=x.jpg><td>1<img src='/y.png'></table>")], shape)
+    assert [k for _, k in rows(details.row_kinds(table), "pos", "kind")] == ["header", "blank", "template", "message", "data"]
+    assert rows(details.cell_images(table), "row", "cell", "src") == [(4, 0, "https://h/d/x.jpg"), (4, 1, "https://h/y.png")]
+    page = spark.createDataFrame([(1, "u", "<head><title>t</title></head><body><script>x</script><p style=a class=b>1 &lt; 2<br>\n \n<a href='?a=1&amp;b' rel=c>z</a></body>"), (2, "u", "<p>no body")], shape)
+    tidy = '<body><p class="b">1 &lt; 2<br>\n<a href="?a=1&amp;b">z</a></p></body>'
+    assert rows(details.tidied(page, "<a ", 8), "html", "sample") == [(tidy, tidy[tidy.index("<a ") - 4 :][:8]), ("<p>no body</p>", "<p>no bo")]
+    assert details.fields(ladder.limit(0), {"breed": ("種類",)}).count() == 0
+
+
 def test_extract_and_registry(spark):
     pages = spark.createDataFrame([(1, "https://h/l#top", "<table><tr><th>n<th>p<tr><td>ポチ<td>x<tr><td>タマ</table>"), (2, None, None)], "page_id long, url string, html string")
     spec = extract.Spec("tr", {"name": 0, "place": 1}, skip_first=True)
