@@ -9,8 +9,10 @@ from urllib.parse import urljoin
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import html as H
+from ..session import cut
 from .extract import EMPTY_ROW, _table
 
 HEADINGS = ("h2", "h3", "h4")
@@ -18,6 +20,9 @@ HEADINGS = ("h2", "h3", "h4")
 DATE_TEMPLATE = "月日時分"
 KEPT_ATTRS = ("class", "id", "href", "src", "alt", "title")
 UNSEEN = ("script", "style", "noscript", "iframe", "svg")
+# fixed values: words and marks of a link to the next page, in order
+NEXT_WORDS = ("次へ", "次のページ", "Next", "next", ">>", "›", "次")
+NEXT_MARKS = ("next", "pagination-next")
 
 
 def _elements(n: H.Node, *tags: str) -> list[H.Node]:
@@ -179,3 +184,47 @@ def tidied(pages: DataFrame, anchor: str, window: int = 5000) -> DataFrame:
         return [(i, text, text[low : at + window // 2] if at >= 0 else text[:window])]
 
     return _table(pages, row, "page_id long, html string, sample string", [pa.int64(), pa.string(), pa.string()])
+
+
+def _whole(n: H.Node) -> str:
+    """Text of an element that holds one string and nothing beside it, however deep; '' for others."""
+    while len(n.kids) == 1 and isinstance(n.kids[0], H.Node):
+        n = n.kids[0]
+    return n.kids[0] if len(n.kids) == 1 else ""
+
+
+def next_links(pages: DataFrame) -> DataFrame:
+    """(page_id, url, next_url): the link to the following page by its words, then by class or rel; null without any.
+
+    Of each word the first link that holds it counts, if it leads anywhere.
+    """
+
+    def row(i, u, r, _):
+        found = _elements(r, "a")
+        marked = lambda a, how: next((n for n in found if a in n.attrs.get(how, "").split()), None)
+        tried = [next((n for n in found if w in _whole(n)), None) for w in NEXT_WORDS]
+        tried += [marked(m, "class") or marked(m, "rel") for m in NEXT_MARKS]
+        href = next((n.attrs["href"] for n in tried if n is not None and n.attrs.get("href")), None)
+        return [(i, u, None if href is None else urljoin(u, href))]
+
+    return _table(pages, row, "page_id long, url string, next_url string", [pa.int64(), pa.string(), pa.string()])
+
+
+def walked(links: DataFrame, starts: DataFrame, max_pages: int | None = None) -> DataFrame:
+    """(start, step, url): pages reached from each start over ``links`` (url, next_url), at most ``max_pages`` a start.
+
+    All starts go on together, one join by URL a step; a walk ends at a page
+    that isn't there, that leads nowhere, or that the walk has met before.
+    Repeated URLs count once, with the smallest next one.
+    """
+    if max_pages is not None and max_pages < 1:
+        raise ValueError("max_pages is at least 1")
+    links = cut(links.groupBy("url").agg(F.min("next_url").alias("next_url")))
+    at = starts.select(F.col("url").alias("start"), "url").distinct().join(links, "url")
+    at = cut(at.select("start", F.lit(0).alias("step"), "url", "next_url"))
+    done, step = at, 1
+    while not at.isEmpty() and (max_pages is None or step < max_pages):
+        ahead = at.select("start", F.col("next_url").alias("url")).where("url is not null").join(links, "url")
+        at = cut(ahead.join(done, ["start", "url"], "left_anti").select("start", F.lit(step).alias("step"), "url", "next_url"))
+        done, step = done.union(at), step + 1
+    return done.select("start", "step", "url")

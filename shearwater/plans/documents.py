@@ -139,6 +139,20 @@ def tidy_pages(spark, sf_dir):
     return t.select("page_id", F.regexp_count("html", F.lit('<a href="')).alias("n_links"), F.regexp_count("html", F.lit("<head|<title|<script|<style|onclick")).cast("long").alias("n_heads"), h2.alias("sample"))
 
 
+@query("""with recursive n as (select page_id, 'https://list.example.org/p/' || page_id as url, case when page_id % 8 = 7 or page_id % 16 = 4 then null when page_id % 8 = 6 then page_id - 2 else page_id + 1 end as next from pages),
+w as (select page_id as start, 0 as step, page_id, next from n where page_id % 8 = 0 union all select w.start, w.step + 1, n.page_id, n.next from w join n on n.page_id = w.next where w.step < 5)
+select 'https://list.example.org/p/' || start as start, step, 'https://list.example.org/p/' || page_id as url from w""")
+def paged_listing(spark, sf_dir):
+    """Pages in chains linked in several ways, followed from their first ones, six at most."""
+    k = F.col("page_id")
+    to = F.concat(F.lit("/p/"), F.when(k % 8 == 6, k - 2).otherwise(k + 1).cast("string"))
+    link = F.when(k % 3 == 0, F.concat(F.lit('<a href="'), to, F.lit('">次へ</a>'))).when(k % 3 == 1, F.concat(F.lit('<a class="x next" href="'), to, F.lit('">2</a>'))).otherwise(F.concat(F.lit('<a rel="next" href="'), to, F.lit('">2</a>')))
+    link = F.when((k % 8 == 7) | (k % 16 == 4), "").otherwise(link)
+    body = F.regexp_replace(F.regexp_replace("html", "(?s)<nav>.*?</nav>", ""), "(?s)</body>.*$", "")
+    p = table(spark, sf_dir, "pages").select("page_id", F.concat(F.lit("https://list.example.org/p/"), k.cast("string")).alias("url"), F.concat(body, link).alias("html"))
+    return details.walked(details.next_links(p), p.where(k % 8 == 0).select("url"), 6)
+
+
 ROBOTS = "User-agent: *\nDisallow: /fr/\nDisallow: /de/"
 
 

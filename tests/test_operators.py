@@ -102,6 +102,22 @@ def test_detail_parts(spark):
     assert details.fields(ladder.limit(0), {"breed": ("種類",)}).count() == 0
 
 
+def test_next_pages(spark):
+    shape = "page_id long, url string, html string"
+    pages = spark.createDataFrame([
+        (1, "https://h/1", "<a href=/9 class=next>9</a><a href=/2><b>次へ</b></a>"), (2, "https://h/2", "<a>next</a><a href=/3 rel=next>3</a>"),
+        (3, "https://h/3", "<a href=/1>次</a>"), (4, "https://h/4", "<a href=/5>次<b>x</b></a>"), (5, None, None),
+    ], shape)
+    links = details.next_links(pages)
+    assert rows(links, "page_id", "next_url") == [(1, "https://h/2"), (2, "https://h/3"), (3, "https://h/1"), (4, None), (5, None)]
+    starts = pages.where("page_id in (1, 3, 4)").select("url")
+    walk = rows(details.walked(links.union(links), starts.union(starts)), "start", "step", "url")
+    assert walk == [("https://h/1", k, f"https://h/{k + 1}") for k in range(3)] + [("https://h/3", k, f"https://h/{p}") for k, p in enumerate((3, 1, 2))] + [("https://h/4", 0, "https://h/4")]
+    assert details.walked(links, starts, 2).count() == 5 and details.walked(links.limit(0), starts).count() == 0
+    with pytest.raises(ValueError):
+        details.walked(links, starts, 0)
+
+
 def test_extract_and_registry(spark):
     pages = spark.createDataFrame([(1, "https://h/l#top", "<table><tr><th>n<th>p<tr><td>ポチ<td>x<tr><td>タマ</table>"), (2, None, None)], "page_id long, url string, html string")
     spec = extract.Spec("tr", {"name": 0, "place": 1}, skip_first=True)
