@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -99,4 +102,46 @@ def token_role(t: Column) -> Column:
     return F.when(t.rlike("オス|メス|♂|♀|雄|雌"), "sex").when(t.rlike("[0-9０-９]+(?:歳|か月|ヶ月)|齢"), "age").when(t.rlike("[茶白黒灰]|キジ|三毛色"), "color").when(t.rlike("雑種|柴|プードル"), "breed").otherwise("other")
 
 
-__all__ = ["birth_month", "completed_year", "date_and_place", "kind_and_sex", "months_text", "not_ahead", "species_by_content", "token_role", "with_legacy_age", "yearless"]
+def species_by_name(c: Column, other: str = "") -> Column:
+    """A site's name as the last resort."""
+    return F.when(c.contains("犬"), "犬").when(c.contains("猫"), "猫").otherwise(other)
+
+
+def first_keyword(c: Column, pairs: Mapping[str, str], default: str = "") -> Column:
+    """The value of the first keyword, in the order given, that a text holds; the default without any and for null."""
+    return reduce(lambda rest, kv: F.when(c.contains(kv[0]), kv[1]).otherwise(rest), reversed(list(pairs.items())), F.lit(default))
+
+
+def said_fields(text: Column, labels: Mapping[str, str]) -> dict[str, Column]:
+    """A column a field from ``label: value`` parts of free text, null where none is said.
+
+    Parts end at line breaks and after full stops; a label of at most eight
+    characters counts if it is one of ``labels`` or holds one (equal ones
+    first, then in the order given), and a field takes its first value.
+    """
+    part = r"^\s*([^:：]{1,8})\s*[:：]\s*(.+)$"
+    label = lambda x: strip(F.regexp_extract(x, part, 1))
+    said = F.filter(F.transform(F.split(text, r"[\n\r]+|(?<=。)", -1), lambda x: F.trim(x)), lambda x: x.rlike(part))
+    named = F.transform(said, lambda x: F.struct(_field(label(x), labels).alias("field"), strip(F.regexp_extract(x, part, 2)).alias("value")))
+    first = lambda f: F.get(F.filter(named, lambda x: (x["field"] == f) & (x["value"] != "")), F.lit(0))["value"]
+    return {f: first(f) for f in dict.fromkeys(labels.values())}
+
+
+def _field(label: Column, labels: Mapping[str, str]) -> Column:
+    tests = [(label == k, f) for k, f in labels.items()] + [(label.contains(k), f) for k, f in labels.items()]
+    return reduce(lambda rest, t: F.when(t[0], t[1]).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
+
+
+def serial_number(c: Column) -> Column:
+    """What follows the separator of a numbered heading, wide slashes first; '' without one."""
+    after = lambda sep: F.trim(F.substr(c, F.instr(c, sep) + 1))
+    return reduce(lambda rest, sep: F.when(c.contains(sep), after(sep)).otherwise(rest), (":", "：", "/", "／"), F.lit(""))
+
+
+def decoded_again(c: Column, known: str = "札幌|犬") -> Column:
+    """P20: a text whose UTF-8 bytes were read as single characters is read again; others, and those with a known word, stay."""
+    raw = F.encode(F.when(c.rlike("^[\\x{00}-\\x{ff}]*$"), c), "ISO-8859-1").cast("string")
+    return F.when(c.rlike(known), c).otherwise(F.coalesce(F.try_validate_utf8(raw), c))
+
+
+__all__ = ["birth_month", "completed_year", "date_and_place", "decoded_again", "first_keyword", "kind_and_sex", "months_text", "not_ahead", "said_fields", "serial_number", "species_by_content", "species_by_name", "token_role", "with_legacy_age", "yearless"]

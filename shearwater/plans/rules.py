@@ -76,7 +76,7 @@ def photo_join(spark, sf_dir):
 @query("""with b as (select s_suppkey, s_nationkey, case when contains(s_name, '1') then '088-1' when contains(s_name, '2') then '088-2' else '088-0' end as phone from supplier), r as (select *, row_number() over (partition by s_nationkey order by s_suppkey) as pos from b) select s_suppkey, phone, pos from r""")
 def facility_phones(spark, sf_dir):
     """The first keyword in order decides; sources of a place in order."""
-    phone = F.when(F.col("s_name").contains("1"), "088-1").when(F.col("s_name").contains("2"), "088-2").otherwise("088-0")
+    phone = rules.first_keyword(F.col("s_name"), {"1": "088-1", "2": "088-2"}, "088-0")
     s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey", phone.alias("phone"))
     return s.withColumn("pos", F.row_number().over(Window.partitionBy("s_nationkey").orderBy("s_suppkey"))).select("s_suppkey", "phone", "pos")
 
@@ -93,6 +93,21 @@ def source_variants(spark, sf_dir):
     )
 
 
+@query("""select s_suppkey, case s_suppkey % 3 when 0 then '犬' when 1 then '猫' else '' end as species, s_name as place, case when s_suppkey % 2 = 0 then cast(s_nationkey as varchar) end as color, 'メス。' as sex, 'A' || s_suppkey as number, case when s_suppkey % 2 = 0 then '保護犬 ' || s_name else s_name || 'é' end as title from supplier""")
+def site_texts(spark, sf_dir):
+    """Species by site name, fields said in free text, numbers of headings, texts decoded again."""
+    k, name = F.col("s_suppkey"), F.col("s_name")
+    site = F.concat(name, F.when(k % 3 == 0, "（迷子犬）").when(k % 3 == 1, "（迷子猫）").otherwise(""))
+    said = F.concat(F.lit("収容場所： "), name, F.lit("\n毛色など:"), F.when(k % 2 == 0, F.col("s_nationkey").cast("string")).otherwise(""), F.lit("\n元気です。性別：メス。収容場所：別"))
+    head = F.concat(F.when(k % 2 == 0, "識別番号／ A").otherwise("番号: A"), k.cast("string"))
+    title = F.when(k % 2 == 0, F.decode(F.encode(F.concat(F.lit("保護犬 "), name), "UTF-8"), "ISO-8859-1")).otherwise(F.concat(name, F.lit("é")))
+    fields = rules.said_fields(said, {"場所": "place", "毛色": "color", "性別": "sex"})
+    return table(spark, sf_dir, "supplier").select(
+        k, rules.species_by_name(site).alias("species"), *(c.alias(f) for f, c in fields.items()),
+        rules.serial_number(head).alias("number"), rules.decoded_again(title).alias("title"),
+    )
+
+
 @query("select o_orderkey, make_date(2024, cast(1 + o_orderkey % 12 as int), cast(1 + o_orderkey % 28 as int)) as day from orders")
 def source_dates(spark, sf_dir):
     """Dates as single sources write them, through the general rule."""

@@ -3,7 +3,7 @@ import datetime as dt
 import pytest
 from pyspark.sql import functions as F
 
-from shearwater.functions import dates, html, text, web
+from shearwater.functions import dates, html, rules, text, web
 
 TODAY = "2026-01-15"
 
@@ -80,3 +80,13 @@ def test_html_parsing():
     with pytest.raises(ValueError):
         html.select(root, "a > b:first-child")
     html.parse("<div>" * 5000 + "deep").text()
+
+
+def test_site_texts(spark):
+    df = spark.createDataFrame([("道南 函館市", "識別番号／A1:2", "種類：雑種\n種類：柴\n備考: \n性別など：オス"), ("x", "無し", "長い長い長いラベル名：x。種類:\n備考:110"), (None, None, None)], "place string, head string, said string")
+    said = rules.said_fields(F.col("said"), {"種類": "breed", "性別": "sex", "備考": "note"})
+    got = df.select(rules.first_keyword(F.col("place"), {"函館市": "1", "道南": "2"}).alias("phone"), rules.serial_number(F.col("head")).alias("n"), *(c.alias(f) for f, c in said.items())).collect()
+    assert [tuple(r) for r in got] == [("1", "A1:2", "雑種", "オス", None), ("", "", None, None, "110"), ("", "", None, None, None)]
+    broken = "迷子の動物".encode().decode("latin-1")
+    again = spark.createDataFrame([(broken,), ("犬" + broken,), ("café",), ("",), (None,)], "t string").select(rules.decoded_again(F.col("t")).alias("t"))
+    assert [r.t for r in again.collect()] == ["迷子の動物", "犬" + broken, "café", "", None]
