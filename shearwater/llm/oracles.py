@@ -27,4 +27,15 @@ select d.doc_id, any_value(case when d.text is null then null else coalesce(c.ke
 from documents d left join (select doc_id, string_agg(line, chr(10) order by no) filter (where not gone) as kept, count(*) filter (where gone) as n_removed from m group by 1) c using (doc_id) group by 1
 """
 
-ORACLE_SQL = {"op1_line_dedup": OP1, "op8_ngram_jaccard_join": OP8}
+OP13 = r"""
+with d as (select doc_id, coalesce(text, '') as t, length(coalesce(text, '')) as n, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+k as (select *, ('0x' || h[1:8])::bigint % (n + 1) as c1, ('0x' || h[9:16])::bigint % (n + 1) as c2, ('0x' || h[17:24])::bigint % 100 as c3, ('0x' || h[25:32])::bigint % 100 as c4 from d),
+f as (select *, least(c1, c2) as a, greatest(c1, c2) as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or c3 >= 90 then 'plain' when c4 < 20 then 'spm' else 'psm' end as form from k),
+p as (select *, substr(t, 1, a) as x, substr(t, a + 1, b - a) as m, substr(t, b + 1) as s from f),
+o as (select *, case form when 'plain' then t when 'psm' then '<P>' || x || '<S>' || s || '<M>' || m else '<S>' || s || '<P>' || x || '<M>' || m end as o from p),
+r as (select *, string_split_regex(o, '<P>|<S>|<M>') as q from o)
+select doc_id, n, form, case when form <> 'plain' then length(x) end as prefix_chars, case when form <> 'plain' then length(m) end as middle_chars, sha256(o) as output_sha256,
+sha256(case form when 'plain' then o when 'psm' then q[2] || q[4] || q[3] else q[3] || q[4] || q[2] end) as restored_sha256 from r
+"""
+
+ORACLE_SQL = {"op1_line_dedup": OP1, "op8_ngram_jaccard_join": OP8, "op13_fill_in_middle": OP13}
