@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import ann, fim, langid, line_dedup, merkle, ngram_join, packing, pieces, pii, secrets, substring_dedup
+from . import ann, fim, langid, line_dedup, merkle, ngram_join, packing, pieces, pii, quality, secrets, substring_dedup, variants
 from .oracles import ORACLE_SQL
 
 QUERIES = {
@@ -18,6 +18,8 @@ QUERIES = {
         ngram_join.op8_ngram_jaccard_join,
         packing.op9_best_fit_packing,
         substring_dedup.op10_substring_dedup,
+        variants.op11_spelling_variants,
+        quality.op12_quality_rules,
         fim.op13_fill_in_middle,
     )
 }
