@@ -146,3 +146,58 @@ def first_matches(records: DataFrame, preferences: DataFrame, shares: int = 16,
         & (F.col("p_size").isNull() | (F.col("size") == F.col("p_size"))) & (F.col("p_sex").isNull() | (F.col("sex") == F.col("p_sex")))
     )
     return records.join(p, fits)
+
+
+#: Classes of criteria that are broadcast: some megabytes.
+CLASSES = 20_000
+#: What a subscriber asks for; null means any.
+CRITERIA = ("p_species", "prefectures", "age_min", "age_max", "p_size", "p_sex")
+
+
+def criteria_classes(preferences: DataFrame, user: str = "user_id") -> tuple[DataFrame, DataFrame]:
+    """(class_id, criteria..., users) and (user, class_id): subscribers with equal criteria are one class.
+
+    A class is named by its smallest user.  Places are compared as sets; a user
+    with several preferences is a member of several classes.
+    """
+    places = F.when(F.size("prefectures") > 0, F.array_sort(F.array_distinct("prefectures")))
+    p = preferences.select(user, *CRITERIA).withColumn("prefectures", places)
+    classes = p.groupBy(*CRITERIA).agg(F.min(user).alias("class_id"), F.count_distinct(user).alias("users"))
+    same = [F.col(f"p.{c}").eqNullSafe(F.col(f"c.{c}")) for c in CRITERIA]
+    members = p.alias("p").join(classes.alias("c"), same).select(F.col(f"p.{user}").alias(user), "class_id").distinct()
+    return classes, members
+
+
+def class_matches(records: DataFrame, classes: DataFrame, by: str = "id") -> DataFrame:
+    """J02 by classes: records x classes of criteria, a pair for each that fit; users come in by the membership table.
+
+    Classes are counted: up to CLASSES of them are broadcast and hashed by
+    species, so records aren't shuffled.  Beyond, records are dealt over as
+    many shares as the session has shuffle partitions, and classes are repeated
+    for each.
+    """
+    kinds = F.when(F.col("p_species").isNull(), F.array(F.lit("犬"), F.lit("猫"), F.lit("その他"))).otherwise(F.array("p_species"))
+    p = classes.withColumn("_kind", F.explode(kinds))
+    age = F.col("age_months")
+    fits = (
+        (F.col("species") == F.col("_kind")) & (F.col("prefectures").isNull() | F.exists("prefectures", lambda x: F.col("location").contains(x))) & (F.col("age_min").isNull() | (age >= F.col("age_min")))
+        & (F.col("age_max").isNull() | (age <= F.col("age_max"))) & (F.col("p_size").isNull() | (F.col("size") == F.col("p_size"))) & (F.col("p_sex").isNull() | (F.col("sex") == F.col("p_sex")))
+    )
+    if classes.count() <= CLASSES:
+        return records.join(F.broadcast(p), fits)
+    shares = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    p = p.withColumn("_share", F.explode(F.sequence(F.lit(0), F.lit(shares - 1))))
+    return records.join(p, fits & (F.pmod(F.xxhash64(records[by]), F.lit(shares)) == F.col("_share")))
+
+
+def unnotified(matches: DataFrame, members: DataFrame, history: DataFrame, user: str = "user_id", key: str = "source_url") -> DataFrame:
+    """(user, n): matched records of each user that aren't in its history (user, key), without listing the pairs.
+
+    Matches are counted by class; of the history only what its user's class
+    matches is taken off.  Keys are unique among the records.
+    """
+    total = members.join(matches.groupBy("class_id").agg(F.count("*").alias("m")), "class_id")
+    told = history.select(user, key).distinct().join(members, user).join(matches.select("class_id", key), ["class_id", key], "left_semi")
+    off = told.groupBy(user, "class_id").agg(F.count("*").alias("t"))
+    left = total.join(off, [user, "class_id"], "left").select(user, (F.col("m") - F.coalesce("t", F.lit(0))).alias("n"))
+    return left.groupBy(user).agg(F.sum("n").alias("n")).where("n > 0")

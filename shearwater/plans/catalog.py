@@ -1,6 +1,6 @@
 """All registered queries: importing the modules registers them."""
 
-from . import analytics, documents, relational, rules, scalars  # noqa: F401
+from . import analytics, documents, jobs, relational, rules, scalars  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

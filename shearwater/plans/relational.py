@@ -243,23 +243,33 @@ and (age_min is null or age_months >= age_min) and (age_max is null or age_month
 def _matches(spark, sf_dir):
     prefs = spark.sql(_PREFS, customer=table(spark, sf_dir, "customer")).where("active and enabled").withColumn("prefectures", F.split("places", "[|]"))
     raw = records(spark, sf_dir)
-    r = normalize.normalized(raw, AS_OF).withColumn("location", F.element_at(F.array("location"), 1))
-    r = r.drop("location").join(raw.select("id", "location"), "id")
-    return reconcile.first_matches(r, prefs).select("user_id", "id", "source_url")
+    r = normalize.normalized(raw, AS_OF).drop("location").join(raw.select("id", "location"), "id")
+    classes, members = reconcile.criteria_classes(prefs)
+    return reconcile.class_matches(r, classes).select("class_id", "id", "source_url"), members
 
 
-@query(f"{_MATCH} select user_id, id, source_url from m")
+_CLASS = f"{_MATCH}, u as (select *, min(user_id) over (partition by p_species, places, age_min, age_max, p_size, p_sex) as class_id from p where active and enabled)"
+
+
+@query(f"{_CLASS} select class_id, id, source_url from m join (select distinct class_id from u) on user_id = class_id")
 def subscriber_match(spark, sf_dir):
-    """J01 J02."""
-    return _matches(spark, sf_dir)
+    """Records by class of equal criteria; who is in a class says subscriber_classes."""
+    return _matches(spark, sf_dir)[0]
+
+
+@query(f"{_CLASS} select user_id, class_id from u")
+def subscriber_classes(spark, sf_dir):
+    """Subscribers and the class of their criteria."""
+    return _matches(spark, sf_dir)[1]
 
 
-@query(f"{_MATCH} select user_id, count(*) as n from m where (user_id + id) % 4 <> 0 group by 1")
+@query(f"{_MATCH} select user_id, count(*) as n from m where id <> user_id and id <> 2 * user_id group by 1")
 def subscriber_unnotified(spark, sf_dir):
-    """Any earlier notification counts, whatever its status."""
-    m = _matches(spark, sf_dir)
-    history = m.where("(user_id + id) % 4 = 0").select("user_id", "source_url", F.lit("failed").alias("status"))
-    return m.join(history, ["user_id", "source_url"], "left_anti").groupBy("user_id").agg(F.count("*").alias("n"))
+    """Any earlier notification counts, whatever its status; here of two records a user at most."""
+    matches, members = _matches(spark, sf_dir)
+    url = records(spark, sf_dir).select("id", "source_url")
+    told = members.select("user_id", F.explode(F.array(F.col("user_id"), 2 * F.col("user_id"))).alias("id"))
+    return reconcile.unnotified(matches, members, told.join(url, "id").select("user_id", "source_url"))
 
 
 @query("""select c_custkey as user_id, case when c_custkey % 3 = 0 then 'new' when c_custkey % 2 = 0 then 'both' else 'old' end as origin, case when c_custkey % 3 = 0 or c_custkey % 2 = 0 then c_acctbal + 1 else c_acctbal end as value from customer""")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 ROOT = str(Path(__file__).resolve().parents[1])
+_OWN: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
@@ -19,15 +22,21 @@ def ready(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed and stored in the session's checkpoint folder: loops don't grow the plan and survive lost executors.
+def shared(spark: SparkSession) -> str:
+    """The folder all executors share, ``spark.checkpoint.dir``; only a local session that names none gets a temporary one."""
+    sc = spark.sparkContext
+    where = sc.getConf().get("spark.checkpoint.dir") or _OWN.get(sc.applicationId)
+    if not where:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        where = _OWN[sc.applicationId] = tempfile.mkdtemp(prefix="shearwater-")
+        atexit.register(shutil.rmtree, where, True)
+    return where.rstrip("/")
+
 
-    Only a local session that names no folder gets a temporary one.
-    """
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed and stored in the session's checkpoint folder: loops don't grow the plan and survive lost executors."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        where = sc.getConf().get("spark.checkpoint.dir")
-        if not where and not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="shearwater-"))
+        sc.setCheckpointDir(shared(df.sparkSession))
     return df.checkpoint()

@@ -51,19 +51,51 @@ def deduplicated(stream: DataFrame, key: str = "event_id", late: str = "1 day")
 
 
 def upserted(stream: DataFrame, target: str, key: str, order: str, checkpoint: str):
-    """M01 by micro-batch: each batch is reduced to its last row a key and merged into a new version of the table.
+    """M01 by micro-batch over whole versions: each batch is reduced to its last row a key and merged into a new one.
 
     Versions are numbered by batch, so a batch that runs again after a failure
-    writes the same version again.
+    writes the same version again.  A version that is gone is an error.
+    ``stored`` rewrites only what a batch touches.
     """
     from ..operators.reconcile import latest
     from ..sources import tables
+    from ..sources.store import Missing
 
     def merge(batch: DataFrame, n: int) -> None:
         spark = batch.sparkSession
         new = latest(batch, key, order)
         old_path = f"{target}/version={n - 1}"
-        old = spark.read.parquet(old_path) if n and tables.exists(spark, old_path) else spark.createDataFrame([], new.schema)
+        if n and not tables.exists(spark, old_path):
+            raise Missing(f"version {n - 1} under {target} is gone")
+        old = spark.read.parquet(old_path) if n else spark.createDataFrame([], new.schema)
         tables.write_version(tables.merged(old, new, key), target, str(n))
 
     return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def stored(stream: DataFrame, root: str, table: str, order: str, checkpoint: str, history: str | None = None, name: str = "stream"):
+    """Each batch's last row a key goes into a table of a store, all its rows into a history, by one commit.
+
+    The commit holds the batch's number, so a batch that runs again changes
+    nothing, and one that doesn't follow the last is an error.
+    """
+    from ..operators.reconcile import latest
+    from ..sources.store import Missing, Store
+
+    def merge(batch: DataFrame, n: int) -> None:
+        store = Store.open(batch.sparkSession, root)
+        done = store.manifest["streams"].get(name, -1)
+        if n <= done:
+            return
+        if n > done + 1:
+            raise Missing(f"batch {n} of {name} would follow {done}: a version under {root} is gone")
+        batch = batch.persist()
+        try:
+            changes = [store.upsert(table, latest(batch, store.manifest["tables"][table]["key"], order).select(store.schema(table).names))]
+            if history:
+                changes.append(store.append(history, batch.select(store.schema(history).names)))
+            store.commit(changes, {"batch": n}, (name, n))
+        finally:
+            batch.unpersist()
+
+    return stream.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
