@@ -98,9 +98,42 @@ def locate(points: np.ndarray, tree: list[tuple[int, float]]) -> np.ndarray:
 
 
 def matrix(column: pa.Array) -> np.ndarray:
+    """Vectors of one length, each scaled by the power of two that brings its largest component to [0.5, 1).
+
+    Cosines stay exactly what they are, and no square overflows or vanishes.
+    """
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    x = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, keepdims=True))[1]) if x.size else x
+
+
+def boxes(cells: list, depth: int) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """By vector length the lower and upper corners of the tree's nodes in heap order, from those of its cells."""
+    out = {}
+    for width in {r["width"] for r in cells}:
+        low, high = np.full((2 ** (depth + 1) - 1, DIMENSIONS), np.inf), np.full((2 ** (depth + 1) - 1, DIMENSIONS), -np.inf)
+        for r in cells:
+            if r["width"] == width:
+                node = r["cell"] + 2**depth - 1
+                low[node], high[node] = [r[f"lo_p{i}"] for i in range(DIMENSIONS)], [r[f"hi_p{i}"] for i in range(DIMENSIONS)]
+        for level in range(depth - 1, -1, -1):
+            at = np.arange(2**level - 1, 2 ** (level + 1) - 1)
+            low[at], high[at] = np.minimum(low[2 * at + 1], low[2 * at + 2]), np.maximum(high[2 * at + 1], high[2 * at + 2])
+        out[width] = low, high
+    return out
+
+
+def reached(points: np.ndarray, limit: np.ndarray, low: np.ndarray, high: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
+    """(row, cell) of the cells whose box is within a point's squared distance ``limit``: level by level down the tree."""
+    row, node = np.arange(len(points)), np.zeros(len(points), np.int64)
+    for level in range(depth + 1):
+        gap = np.maximum(np.maximum(low[node] - points[row], points[row] - high[node]), 0)
+        near = (gap * gap).sum(1) <= limit[row]
+        row, node = row[near], node[near]
+        if level < depth:
+            row, node = np.repeat(row, 2), np.stack([2 * node + 1, 2 * node + 2], 1).ravel()
+    return row, node - (2**depth - 1)
 
 
 def projected(x: np.ndarray) -> np.ndarray:
@@ -185,9 +218,12 @@ def neighbours(vectors: DataFrame, is_query: Callable, k: int = 5, id_column: st
 
     ``is_query`` makes the filter from the id column.  Rows that share the
     query's id never count as its neighbours; other rows that repeat an id
-    count each.  Unusable vectors take no part; vectors of another length are
-    never neighbours.  With fewer than k candidates all come back; an empty
-    table gives no rows.
+    count each.  A query id with several vectors asks with the shortest, of
+    those the smallest component by component.  Unusable vectors (null, zero,
+    or with null or non-finite components) take no part, however large or small
+    the others are; vectors of another length are never neighbours.  Of equal
+    scores the smaller vec_id comes first.  With fewer than k candidates all
+    come back; an empty table gives no rows.
     """
     spark = common.ready(vectors.sparkSession)
     sc = spark.sparkContext
@@ -210,8 +246,8 @@ def neighbours(vectors: DataFrame, is_query: Callable, k: int = 5, id_column: st
     based = good.mapInArrow(project, "vec_id long, v array<double>, width int, " + ", ".join(f"{a} double" for a in axes))
     total = good.count()
     fitted = np.array([tuple(r) for r in based.orderBy(F.xxhash64("vec_id"), "vec_id").select(*axes).limit(SAMPLE).collect()]).reshape(-1, DIMENSIONS)
-    depth = max(0, math.ceil(math.log2(max(1, total / BLOCK))))
-    tree = sc.broadcast(cuts(fitted, min(depth, 16)))
+    depth = min(16, max(0, math.ceil(math.log2(max(1, total / BLOCK)))))
+    tree = sc.broadcast(cuts(fitted, depth))
 
     def assign(batches):
         for batch in batches:
@@ -221,7 +257,8 @@ def neighbours(vectors: DataFrame, is_query: Callable, k: int = 5, id_column: st
     placed = common.table(based.mapInArrow(assign, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in based.schema) + ", cell long"), "vectors")
     bounds = [f(a).alias(f"{n}{a}") for a in axes for f, n in ((F.min, "lo_"), (F.max, "hi_"))]
     cells = common.table(placed.groupBy("cell", "width").agg(F.count("*").alias("n"), *bounds).withColumn("subs", F.ceil(F.col("n") / BLOCK)), "cells")
-    queries = common.table(placed.where(is_query(F.col("vec_id"))).dropDuplicates(["vec_id"]).withColumnRenamed("vec_id", "query_id").withColumnRenamed("v", "q"), "queries")
+    least = F.min(F.struct("width", F.col("v").alias("q"), "cell", *axes)).alias("least")
+    queries = common.table(placed.where(is_query(F.col("vec_id"))).groupBy(F.col("vec_id").alias("query_id")).agg(least).select("query_id", "least.*"), "queries")
 
     # at most 2^16 cells for each vector length
     sized = placed.join(F.broadcast(cells.select("cell", "width", "subs")), ["cell", "width"]).withColumn(
@@ -242,11 +279,27 @@ def neighbours(vectors: DataFrame, is_query: Callable, k: int = 5, id_column: st
 
     home = common.table(best(ask(queries.select("cell", "width", "query_id", "q", F.lit(-2.0).alias("bound"))), k), "home")
     known = queries.join(home.where(F.col("rank") == k).select("query_id", F.col("score").alias("bound")), "query_id", "left").withColumn("bound", F.coalesce("bound", F.lit(-2.0)))
-    gap = sum((F.pow(F.greatest(F.col(f"lo_{a}") - F.col(a), F.col(a) - F.col(f"hi_{a}"), F.lit(0.0)), 2) for a in axes), F.lit(0.0))
-    other = cells.select(F.col("cell").alias("to"), F.col("width").alias("w"), *(f"{n}{a}" for a in axes for n in ("lo_", "hi_")))
-    # the stated queries against the cells' boxes: queries x at most 2^16 boxes
-    sent = known.join(F.broadcast(other), (F.col("width") == F.col("w")) & (F.col("cell") != F.col("to")) & (gap <= F.greatest(2 - 2 * F.col("bound"), F.lit(0.0)) * REACH + 1e-9))
-    away = ask(sent.select(F.col("to").alias("cell"), "width", "query_id", "q", "bound"))
+    # at most 2^16 cells for each vector length; a query walks down their tree and leaves what its test closes
+    nodes = sc.broadcast(boxes(cells.collect(), depth))
+
+    def open_cells(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            p = np.stack([batch.column(a).to_numpy() for a in axes], 1)
+            limit = np.maximum(2 - 2 * batch.column("bound").to_numpy(), 0.0) * REACH + 1e-9
+            width = batch.column("width").to_numpy()
+            for w in np.unique(width):
+                mine = np.flatnonzero(width == w)
+                for s in range(0, len(mine), 256):
+                    part = mine[s : s + 256]
+                    row, to = reached(p[part], limit[part], *nodes.value[int(w)], depth)
+                    out = to != batch.column("cell").to_numpy()[part][row]
+                    sent = batch.select(["width", "query_id", "q", "bound"]).take(pa.array(part[row[out]]))
+                    yield pa.RecordBatch.from_arrays([pa.array(to[out]), *sent.columns], ["cell", *sent.schema.names])
+
+    sent = common.table(known.mapInArrow(open_cells, "cell long, width int, query_id long, q array<double>, bound double"), "sent")
+    away = ask(sent)
     every = home.select("query_id", "vec_id", "score").unionByName(away)
     return best(every, k).select("query_id", F.col("rank").cast("int"), "vec_id", "score")
 

@@ -23,8 +23,10 @@ from pyspark.sql import functions as F
 from . import common, kernels
 
 #: Training sample: at most so many documents of each language (those with the smallest hash), so many letter runs of
-#: each of them, and so many languages (the most frequent).  It has at most 256 * 200 * 1000 runs of 32 bytes.
+#: each of them, and so many languages (the most frequent).  With many languages fewer runs of a document are taken,
+#: so that it never holds more than some RUNS runs of 32 bytes.
 DOCS_PER_LANGUAGE, RUNS_PER_DOCUMENT, LANGUAGES = 200, 1000, 256
+RUNS = 1_000_000
 #: Training runs over this many word occurrences drawn from the sample.
 TRAINING_WORDS = 60_000
 HIDDEN, STEPS, BATCH, SEED = 16, 320, 512, 7
@@ -228,33 +230,44 @@ def labeller(model: bytes) -> Labeller:
     return Labeller(pickle.loads(model))
 
 
-def runs_of(text: str) -> list[bytes]:
-    """At most RUNS_PER_DOCUMENT letter runs of a text, spread evenly over it."""
+def runs_of(text: str, most: int = RUNS_PER_DOCUMENT) -> list[bytes]:
+    """At most ``most`` letter runs of a text, spread evenly over it."""
     buf, offsets = kernels.text_buffer(pa.array([text]))
     low = kernels.LOWER[buf]
     starts, ends, _ = letter_runs(low, offsets)
-    pick = np.unique(np.linspace(0, len(starts) - 1, RUNS_PER_DOCUMENT).astype(np.int64)) if len(starts) else []
+    pick = np.unique(np.linspace(0, len(starts) - 1, most).astype(np.int64)) if len(starts) else []
     raw = low.tobytes()
     return [raw[starts[i] : ends[i]] for i in pick]
 
 
 def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
-    """(lang, h, runs): letter runs of at most ``per_language`` labelled rows of each learned language.
+    """(lang, h, runs): letter runs of at most ``per_language`` labelled documents of each learned language.
 
-    Rows are chosen by the smallest hash of doc_id and text, so neither a
-    frequent doc_id nor a long text brings more than its share, and each task
-    keeps no more than the sample.
+    Documents, told apart by a hash of doc_id and text, are chosen by the
+    smallest hash: neither a frequent doc_id, nor a text that is repeated, nor a
+    long one brings more than its share, a language with fewer documents brings
+    all it has, and each task keeps no more than the sample.
     """
+    learn = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
+    learn = learn.select("lang", F.shiftright(F.xxhash64("doc_id", "text"), 1).alias("h"), "text")
+    # the share of different documents that surely holds the smallest hashes: few rows leave each task, at any size
+    counts = learn.select("lang", "h").distinct().groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
+    most = max(8, min(RUNS_PER_DOCUMENT, RUNS // max(1, len(counts) * per_language)))
 
     def least(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         best: dict[str, list] = {}
+        there: dict[str, set] = {}
         for batch in batches:
             last = batch.column(2).to_pylist()
             for k, (lang, h) in enumerate(zip(batch.column("lang").to_pylist(), batch.column("h").to_pylist())):
-                q = best.setdefault(lang, [])
-                if len(q) < per_language or -h > q[0][0]:
-                    runs = last[k] if isinstance(last[k], list) else runs_of(last[k])
-                    (heapq.heappush if len(q) < per_language else heapq.heappushpop)(q, (-h, runs))
+                q, known = best.setdefault(lang, []), there.setdefault(lang, set())
+                if h not in known and (len(q) < per_language or -h > q[0][0]):
+                    runs = last[k] if isinstance(last[k], list) else runs_of(last[k], most)
+                    known.add(h)
+                    if len(q) < per_language:
+                        heapq.heappush(q, (-h, runs))
+                    else:
+                        known.discard(-heapq.heappushpop(q, (-h, runs))[0])
         rows = [(lang, -h, runs) for lang, q in best.items() for h, runs in q]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), pa.list_(pa.binary())))], ["lang", "h", "runs"])
@@ -263,12 +276,8 @@ def sample(docs: DataFrame, per_language: int = DOCS_PER_LANGUAGE) -> DataFrame:
         return least(batches)
 
     shape = "lang string, h long, runs array<binary>"
-    learn = docs.where("lang is not null and text is not null and doc_id is not null").where(~held_out())
-    learn = learn.select("lang", F.shiftright(F.xxhash64("doc_id", "text"), 1).alias("h"), "text")
-    # the share of rows that surely holds the smallest hashes: few rows leave each task, at any size
-    counts = learn.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES)
-    share = F.least(F.lit(1.0), F.lit(8.0 * per_language) / F.col("count"))
-    bound = F.broadcast(counts.select("lang", (share * 2.0**63 - 2.0**62).alias("upto")))  # at most LANGUAGES rows
+    share = [(r["lang"], int(min(1.0, 8.0 * per_language / r["count"]) * 2.0**63 - 2.0**62)) for r in counts]
+    bound = F.broadcast(docs.sparkSession.createDataFrame(share, "lang string, upto long"))  # at most LANGUAGES rows
     some = learn.join(bound, "lang").where(F.col("h") <= F.col("upto")).select("lang", "h", "text")
     return some.mapInArrow(least, shape).groupBy("lang").applyInArrow(merged, shape)
 
@@ -346,7 +355,12 @@ def predict(docs: DataFrame, model: bytes) -> DataFrame:
 
 
 def identify(docs: DataFrame) -> DataFrame:
-    """Train on the labelled rows that aren't held out and label all rows.  An empty table gives no rows."""
+    """Train on the labelled rows that aren't held out and label all rows.  An empty table gives no rows.
+
+    The LANGUAGES most frequent languages (by different documents) are learned;
+    a text of any other is given the likest of those.  Repeated rows, and long
+    texts, count once in training and are labelled each.
+    """
     return predict(docs, trained(docs))
 
 

@@ -47,5 +47,52 @@ def test_odd_vectors(spark):
     assert run(spark, []) == {}
 
 
+def test_very_large_and_small_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 2e200]), (2, [1.0, 1.0]), (3, [1e-200, 2e-200]), (4, [3.0, 1.0]), (5, [1.7e308, -1.7e308]), (50, [5e-324, 5e-324]), (6, [1e-310, 0.0])]
+    got = run(spark, rows)
+
+    def cosine(a, b):
+        from fractions import Fraction
+
+        a, b = [Fraction(x) for x in a], [Fraction(x) for x in b]
+        top = sum(x * y for x, y in zip(a, b))
+        ratio = top * abs(top) / (sum(x * x for x in a) * sum(x * x for x in b))
+        return (1 if ratio >= 0 else -1) * float(abs(ratio)) ** 0.5
+
+    by = dict(rows)
+    for q in (0, 50):
+        want = sorted((cosine(by[q], v) for i, v in rows if i != q), reverse=True)[:5]
+        assert np.allclose([s for _, s in got[q]], want, rtol=0, atol=1e-15)  # ids may differ where decimals round apart by a bit
+        assert all(abs(s - cosine(by[q], by[i])) < 1e-15 for i, s in got[q]) and len({i for i, _ in got[q]}) == 5
+
+
+def test_repeated_query_ids_have_one_defined_answer(spark):
+    rows = [(50, [0.0, 1.0]), (50, [1.0, 0.0]), (50, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [0.1, 1.0]), (1, [1.0, 0.1])]
+    for order in (rows, rows[::-1]):
+        assert [v for v, _ in run(spark, order)[50]] == [2, 1, 1]  # [0, 1] is the smallest
+
+
+def test_queries_walk_down_to_the_cells_in_reach(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(500, ann.DIMENSIONS))
+    tree = ann.cuts(points, 4)
+    cell = ann.locate(points, tree)
+    rows = [{"cell": c, "width": 9, **{f"lo_p{i}": points[cell == c][:, i].min() for i in range(6)}, **{f"hi_p{i}": points[cell == c][:, i].max() for i in range(6)}} for c in set(cell)]
+    low, high = ann.boxes(rows, 4)[9]
+    asked, limit = rng.normal(size=(40, 6)) * 2, rng.uniform(0, 6, 40)
+    got = set(zip(*(x.tolist() for x in ann.reached(asked, limit, low, high, 4))))
+    want = set()
+    for k, p in enumerate(asked):
+        for r in rows:
+            gap = sum(max(r[f"lo_p{i}"] - p[i], p[i] - r[f"hi_p{i}"], 0) ** 2 for i in range(6))
+            want |= {(k, r["cell"])} if gap <= limit[k] else set()
+    assert got == want and 0 < len(got) < 40 * len(rows)
+    plans = []
+    table = ann.common.table
+    monkeypatch.setattr(ann.common, "table", lambda df, name, **k: (plans.append(df._jdf.queryExecution().executedPlan().toString()), table(df, name, **k))[1])
+    run(spark, [(i, rng.normal(size=4).tolist()) for i in range(200)])
+    assert plans and not any("NestedLoop" in p or "Cartesian" in p for p in plans)
+
+
 def test_chi_square_quantile():
     assert abs(ann.chi_square(12.591587) - 0.95) < 1e-6 and abs(ann.chi_square(ann.quantile(0.9)) - 0.9) < 1e-9

@@ -51,3 +51,38 @@ def test_backpropagation_agrees_with_differences():
             down = net.step(seq, lens, label)[1]
             part[k][at] = old
             assert abs((up - down) / 2e-3 - grad[k][at]) < 2e-3 * max(1, abs(grad[k][at])) + 1e-4
+
+
+def test_sample_loses_no_language_to_repeated_rows(spark, docs_of):
+    """One row 10^5 times beside five others: a third of all rows and more share one document."""
+    often = docs_of([(1, "ka lo mi", "es", "s", 0, "k", 1)]).crossJoin(spark.range(100_000)).drop("id")
+    docs = often.unionByName(docs_of([(10 + i, f"sch ung {i}", "fr", "s", 0, "k", 1) for i in range(8)])).repartition(6)
+    held = {i for i in (1, *range(10, 18)) if zlib.crc32(str(i).encode()) % 4 == 2}
+    rows = langid.sample(docs).collect()
+    assert 1 not in held and sorted(r.lang for r in rows) == ["es"] + ["fr"] * (8 - len(held & set(range(10, 18))))
+    assert [r.runs for r in rows if r.lang == "es"] == [[bytearray(b"ka"), bytearray(b"lo"), bytearray(b"mi")]]
+
+
+def test_sample_of_many_languages_repeated_unevenly(docs_of):
+    rows = [(1000 * k + i, f"word {'x' * i}", f"l{k:03d}", "s", 0, "k", 1) for k in range(300) for i in range(1 + k % 4) for _ in range(1 + (k * i) % 5)]
+    docs = docs_of(rows).repartition(5)
+    got = langid.sample(docs, per_language=2).collect()
+    want = {}
+    for i, t, lang, *_ in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            want.setdefault(lang, set()).add(i)
+    most = sorted(want, key=lambda k: (-len(want[k]), k))[: langid.LANGUAGES]
+    assert {r.lang for r in got} == set(most)
+    for lang in most:
+        mine = [r.h for r in got if r.lang == lang]
+        assert len(mine) == len(set(mine)) == min(2, len(want[lang]))
+
+
+def test_script_without_spaces(docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "STEPS", 80)
+    rng = random.Random(2)
+    rows = [(i, "".join(rng.choices("漢字語文中国学校" if i % 2 else "あいうえおかきく", k=rng.randint(20, 90))), "zh" if i % 2 else "ja", "s", 0, "k", 1) for i in range(200)]
+    docs = docs_of(rows)
+    got = langid.predict(docs, langid.trained(docs)).collect()
+    tested = [r for r in got if zlib.crc32(str(r.doc_id).encode()) % 4 == 2]
+    assert len(tested) > 20 and np.mean([r.lang == r.lang_pred for r in tested]) >= 0.95
