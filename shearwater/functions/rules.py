@@ -132,6 +132,12 @@ def _field(label: Column, labels: Mapping[str, str]) -> Column:
     return reduce(lambda rest, t: F.when(t[0], t[1]).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
 
 
+def complete_row(date: Column, *others: Column) -> Column:
+    """A row read from a file counts if it has a date and anything else."""
+    filled = lambda c: F.coalesce(strip(c), F.lit("")) != ""
+    return filled(date) & reduce(lambda a, b: a | b, map(filled, others), F.lit(False))
+
+
 def serial_number(c: Column) -> Column:
     """What follows the separator of a numbered heading, wide slashes first; '' without one."""
     after = lambda sep: F.trim(F.substr(c, F.instr(c, sep) + 1))

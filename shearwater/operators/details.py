@@ -114,6 +114,63 @@ def blocks(pages: DataFrame, selector: str) -> DataFrame:
     return _table(pages, row, "page_id long, pos int, text string, heading string, species string", [pa.int64(), pa.int32(), *[pa.string()] * 3])
 
 
+def header_records(pages: DataFrame, labels: Mapping[str, Sequence[str]]) -> DataFrame:
+    """(page_id, n_table, n_row, one column a field): rows of tables whose first row names columns.
+
+    A column is a field's if its label holds one of the field's words; the
+    first such column counts.  Tables whose first row names no field give
+    nothing; a cell that isn't there is ''.
+    """
+
+    def row(i, u, r, _):
+        out = []
+        for k, table in enumerate(_elements(r, "table")):
+            rows = [_elements(n, "td", "th") for n in _elements(table, "tr")]
+            heads = [_squeezed(c) for c in rows[0]] if rows else []
+            at = {f: next((x for x, h in enumerate(heads) if any(w in h for w in words)), None) for f, words in labels.items()}
+            if any(x is not None for x in at.values()):
+                for y, cells in enumerate(rows[1:], 1):
+                    out.append((i, k, y, *("" if x is None or x >= len(cells) else cells[x].text() for x in at.values())))
+        return out
+
+    shape = ", ".join(["page_id long", "n_table int", "n_row int", *(f"{f} string" for f in labels)])
+    return _table(pages, row, shape, [pa.int64(), pa.int32(), pa.int32(), *[pa.string()] * len(labels)])
+
+
+def placed(pages: DataFrame, selector: str, sections: Mapping[str, str] | None = None) -> DataFrame:
+    """(page_id, pos, text, by_section, by_caption, by_heading, by_text, species) of each selected element.
+
+    ``by_section`` comes from the class of the nearest element around it that
+    ``sections`` names, ``by_caption`` from the caption of the table around it,
+    ``by_heading`` as in ``blocks``, ``by_text`` from its own words.  The first
+    that names a species decides, else その他; '' stands for none.
+    """
+    sections = dict(sections or {})
+
+    def named(text: str) -> str:
+        return next((k for k in "犬猫" if k in text), "")
+
+    def row(i, u, r, _):
+        wanted, out, heading = {id(n) for n in H.select(r, selector)}, [], ""
+        for n in r.walk():
+            if n.tag in HEADINGS:
+                own = named(n.text())
+                heading = own if own or n.tag == "h2" else heading
+            elif id(n) in wanted:
+                section, caption, up = "", "", n.parent
+                while up is not None:
+                    section = section or next((sections[c] for c in up.attrs.get("class", "").split() if c in sections), "")
+                    if up.tag == "table" and not caption:
+                        caption = named(next((c.text() for c in _elements(up, "caption")), ""))
+                    up = up.parent
+                text = n.text()
+                found = (section, caption, heading, named(text))
+                out.append((i, len(out), text, *found, next(filter(None, found), "その他")))
+        return out
+
+    return _table(pages, row, "page_id long, pos int, text string, by_section string, by_caption string, by_heading string, by_text string, species string", [pa.int64(), pa.int32(), *[pa.string()] * 6])
+
+
 def row_kinds(pages: DataFrame) -> DataFrame:
     """(page_id, pos, kind, n_cells) of each table row: header, blank, template, message or data.
 

@@ -104,6 +104,7 @@ ENTRY_LINK = r"(detail|/animal/|/animals/|/inu/|/neko/|/dog/|/cat/|/stray/|/hogo
 EMPTY_ROW = r"(該当.{0,10}(なし|ありません)|現在.{0,10}(いません|ありません)|お知らせ)"
 #: Elements whose text nobody reads.
 NOISE_TEXT = frozenset({"script", "style"})
+# fixed values: elements of a page's frame, by tag, role, class and id, and how many signals make a list suspicious
 NOISE_TAGS = {"header", "footer", "nav", "aside", "script", "style", "noscript"}
 NOISE_ROLES = {"navigation", "banner", "contentinfo"}
 NOISE_CLASSES = {"header", "footer", "nav", "menu", "sidebar", "breadcrumb", "gnav", "global-nav", "side-menu", "pankuzu"}
@@ -165,6 +166,14 @@ def records(pages: DataFrame, spec: Spec) -> DataFrame:
     return _table(pages, row, "page_id long, pos int, key string, field string, value string", [pa.int64(), pa.int32(), pa.string(), pa.string(), pa.string()])
 
 
+def record_rows(pages: DataFrame, spec: Spec) -> DataFrame:
+    """(page_id, pos, key, one column a field): a row a record, without a shuffle."""
+    def row(i, u, r, _):
+        return [(i, k, f"{u.split('#')[0]}#row={k}", *rec.values()) for k, rec in enumerate(spec.records(r))]
+
+    return _table(pages, row, ", ".join(["page_id long", "pos int", "key string", *(f"{f} string" for f in spec.fields)]), [pa.int64(), pa.int32(), *[pa.string()] * (1 + len(spec.fields))])
+
+
 def row_number(key):
     """N of ``#row=N``, null elsewhere."""
     return F.regexp_extract(key, r"#row=(\d+)$", 1).try_cast("int")
@@ -175,11 +184,12 @@ def robots(pages: DataFrame, rules: str, agent: str = "*") -> DataFrame:
     from urllib.parse import urlparse
     from urllib.robotparser import RobotFileParser
 
+    parser = RobotFileParser()
+
     def row(i, u, r, _):
-        if not urlparse(u).netloc:
-            return [(i, False)]
-        p = RobotFileParser()
-        p.parse(rules.splitlines())
-        return [(i, not rules.strip() or p.can_fetch(agent, u))]
+        if not parser.mtime():  # once a task
+            parser.parse(rules.splitlines())
+            parser.modified()
+        return [(i, bool(urlparse(u).netloc) and (not rules.strip() or parser.can_fetch(agent, u)))]
 
     return _table(pages.withColumn("html", F.lit("")), row, "page_id long, allowed boolean", [pa.int64(), pa.bool_()])

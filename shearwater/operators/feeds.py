@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -82,6 +84,19 @@ def decision(enabled: bool, has_candidate: Column, reasons: Column, dry_run: boo
     return F.when(F.lit(not enabled), "disabled").when(~has_candidate, "no_candidate").when(F.size(reasons) > 0, "moderation_failed").when(F.lit(dry_run), "dry_run").otherwise("published")
 
 
+def payload(rows: DataFrame, of: Sequence[str], source: str, timestamp: str) -> DataFrame:
+    """(of..., animals, payload): the JSON text that the notifier is sent for each group of records, records in order of id.
+
+    Group so that one request's records fit: they are one row.
+    """
+    fields = ("species", "sex", "age_months", "color", "size", "shelter_date", "location", "phone", "image_urls", "source_url", "category")
+    day = F.date_format("shelter_date", "yyyy-MM-dd").alias("shelter_date")
+    animal = F.struct(*(day if f == "shelter_date" else F.col(f) for f in fields))
+    grouped = rows.groupBy(*of).agg(F.array_sort(F.collect_list(F.struct(F.col("id").alias("i"), animal.alias("a")))).alias("every"))
+    body = F.struct(F.transform("every", lambda x: x["a"]).alias("animals"), F.lit(source).alias("source"), F.lit(timestamp).alias("timestamp"))
+    return grouped.select(*of, F.size("every").alias("animals"), F.to_json(body, {"ignoreNullFields": "false"}).alias("payload"))
+
+
 def notification(rows: DataFrame) -> Column:
     """G10."""
     return F.concat_ws("\n", F.lit("新しい保護動物の情報です"), F.concat(F.lit("種別: "), F.col("species")), F.concat(F.lit("年齢: "), F.coalesce(text.human_age(F.col("age_months")), F.lit("不明"))), F.concat(F.lit("場所: "), F.col("location")), F.col("source_url"))

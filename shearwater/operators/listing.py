@@ -44,6 +44,27 @@ class ListFilter:
             raise ValueError("offset must not be negative")
 
 
+# fixed values: parts that no value of a feed's request may hold, and how long a request may be
+UNWANTED, LONGEST = ("<", ">", "script", "SELECT", "DROP", "INSERT", "DELETE", "UPDATE"), 1000
+FEED_VALUES = {"species": ("犬", "猫", "その他"), "category": CATEGORIES, "status": STATUSES, "sex": ("男の子", "女の子", "不明")}
+
+
+def feed_request(params: dict[str, object], limit: int = 50) -> dict[str, object]:
+    """the parameters that are set, checked in order: length, unwanted parts, known values, limit."""
+    given = {k: v for k, v in params.items() if v is not None}
+    if len("&".join(f"{k}={v}" for k, v in given.items())) > LONGEST:
+        raise ValueError("the request is too long")
+    for k, v in given.items():
+        if any(part in str(v) for part in UNWANTED):
+            raise ValueError(f"invalid parameter: {k}")
+    for k, allowed in FEED_VALUES.items():
+        if given.get(k) and given[k] not in allowed:
+            raise ValueError(f"invalid parameter: {k}")
+    if not 1 <= limit <= 100:
+        raise ValueError("limit must be between 1 and 100")
+    return given
+
+
 def keyword(df: DataFrame, q: str):
     """case-insensitive literal search in the searched columns, and in breed under all kana spellings."""
     low = q.lower()

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
+
 
 def latest(df: DataFrame, key: str, order: str) -> DataFrame:
     """Last of each key: a partial aggregate, not a window over all rows."""
@@ -53,19 +55,26 @@ def upsert(
     return numbered(merged, id_column, key)
 
 
-def numbered(rows: DataFrame, id_column: str, key: str, parts: int = 64) -> DataFrame:
+#: Rows that get their numbers in one task.
+NUMBERED = 200_000
+
+
+def numbered(rows: DataFrame, id_column: str, key: str) -> DataFrame:
     """Give rows with a null id the numbers after the largest one, in an order that only depends on the key.
 
-    Ranks are counted inside hash blocks and shifted by the blocks before, so
-    no task sorts all rows.
+    The rows are stored once; ranks are counted inside hash blocks of about
+    NUMBERED new rows and shifted by the blocks before, so no task sorts all
+    rows.
     """
-    block = F.pmod(F.xxhash64(key), F.lit(parts))
-    new = rows.where(F.col(id_column).isNull()).withColumn("_b", block)
+    rows = cut(rows)
+    size = rows.agg(F.count_if(F.col(id_column).isNull()).alias("new"), F.coalesce(F.max(id_column), F.lit(0)).alias("top")).first()
+    if not size.new:
+        return rows
+    new = rows.where(F.col(id_column).isNull()).withColumn("_b", F.pmod(F.xxhash64(key), F.lit(-(-size.new // NUMBERED))))
     ahead = new.groupBy("_b").agg(F.count("*").alias("_n"))
-    ahead = ahead.withColumn("_ahead", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))  # `parts` rows
-    top = rows.agg(F.coalesce(F.max(id_column), F.lit(0)).alias("_top"))
+    ahead = ahead.withColumn("_ahead", F.sum("_n").over(Window.orderBy("_b")) - F.col("_n"))  # a row a block
     rank = F.row_number().over(Window.partitionBy("_b").orderBy(key))
-    fresh = new.withColumn("_r", rank).join(F.broadcast(ahead), "_b").crossJoin(F.broadcast(top)).withColumn(id_column, F.col("_top") + F.col("_ahead") + F.col("_r"))
+    fresh = new.withColumn("_r", rank).join(F.broadcast(ahead), "_b").withColumn(id_column, F.lit(size.top) + F.col("_ahead") + F.col("_r"))
     return rows.where(F.col(id_column).isNotNull()).unionByName(fresh.select(*rows.columns))
 
 
@@ -88,19 +97,26 @@ def first_claim(claims: DataFrame, key: str, owner: str, order: str) -> DataFram
     return claims.groupBy(key).agg(F.min_by(owner, F.struct(order, owner)).alias(owner))
 
 
+#: Hosts whose lists are broadcast.
+HOSTS = 100_000
+
+
 def prefix_attribution(rows: DataFrame, lists: DataFrame, url: str, list_url: str, order: str) -> DataFrame:
-    """The first list whose URL starts the row's URL.
+    """The first list whose URL starts the row's URL; of equal places the smallest URL.
 
-    Joined on the host, so the prefix test is only a residual.
+    Each host's lists (a handful of configured ones) are an array, so a row
+    meets them once and is never grouped: repeated rows stay apart, columns of
+    any type come along, and a frequent host is no single task's.
     """
     from ..functions import web
 
-    left = rows.withColumn("_id", F.monotonically_increasing_id()).withColumn("_h", web.authority(F.col(url)))
-    right = lists.withColumn("_g", web.authority(F.col(list_url)))
-    hit = left.join(right, (F.col("_h") == F.col("_g")) & F.col(url).startswith(F.col(list_url)))
-    # repeated rows stay apart, and columns of any type come along
-    best = F.min_by(list_url, order).alias(list_url)
-    return hit.groupBy("_id").agg(*(F.first(c).alias(c) for c in rows.columns), best).drop("_id")
+    own = lists.select(web.authority(F.col(list_url)).alias("_g"), F.struct(F.col(order).alias("at"), F.col(list_url).alias("url")).alias("l"))
+    own = own.groupBy("_g").agg(F.collect_set("l").alias("_lists"))
+    if own.limit(HOSTS + 1).count() <= HOSTS:
+        own = F.broadcast(own)
+    met = rows.withColumn("_h", web.authority(F.col(url))).join(own, F.col("_h") == F.col("_g"))
+    hit = F.array_min(F.filter("_lists", lambda x: F.col(url).startswith(x["url"])))["url"]
+    return met.select(*rows.columns, hit.alias(list_url)).where(F.col(list_url).isNotNull())
 
 
 def audit(left: DataFrame, right: DataFrame, key: str, compared: Sequence[str]) -> tuple[DataFrame, DataFrame]:
@@ -129,6 +145,34 @@ def ordered_distinct(parts: Sequence[DataFrame], keys: Sequence[str], position:
     return every.groupBy(*keys).agg(F.min("at").alias("at")).select(*keys, F.col("at.part").alias("part"), F.col("at.pos").alias("pos"))
 
 
+def right_wins(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of both, each key once; where both have it the right side's row is taken whole."""
+    return left.join(right.select(key), key, "left_anti").unionByName(right, allowMissingColumns=True)
+
+
+def reused(listed: DataFrame, known: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """(records of ``known`` that are listed again, listed rows that have to be extracted)."""
+    once = listed.dropDuplicates([key])
+    return known.join(once.select(key), key, "left_semi"), once.join(known.select(key), key, "left_anti")
+
+
+def capped(parts: Sequence[DataFrame], key: str, position: str, cap: int = 3, attempted: DataFrame | None = None, enabled: bool = True) -> DataFrame:
+    """(key, part, pos, target): candidates of all parts in order, each once; the first ``cap`` that weren't attempted are targets.
+
+    Only the ``cap`` targets are sorted out of all candidates.  With
+    ``enabled`` false there are candidates but no targets.
+    """
+    seen = ordered_distinct(parts, [key], position)
+    open_ = seen if attempted is None else seen.join(attempted.select(key).distinct(), key, "left_anti")
+    first = open_.orderBy("part", "pos", key).limit(cap if enabled else 0).select(key, F.lit(True).alias("_t"))
+    return seen.join(F.broadcast(first), key, "left").select(key, "part", "pos", F.coalesce("_t", F.lit(False)).alias("target"))
+
+
+def first_of(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+    """One row for each combination of keys (nulls are equal), the first in order."""
+    return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), F.struct(order)).alias("_r")).select("_r.*")
+
+
 def first_matches(records: DataFrame, preferences: DataFrame, shares: int = 16, by: str = "id") -> DataFrame:
     """Records x preferences where null means any.
 
@@ -201,3 +245,16 @@ def unnotified(matches: DataFrame, members: DataFrame, history: DataFrame, user:
     off = told.groupBy(user, "class_id").agg(F.count("*").alias("t"))
     left = total.join(off, [user, "class_id"], "left").select(user, (F.col("m") - F.coalesce("t", F.lit(0))).alias("n"))
     return left.groupBy(user).agg(F.sum("n").alias("n")).where("n > 0")
+
+
+def notified(matches: DataFrame, members: DataFrame, history: DataFrame, results: DataFrame, user: str = "user_id", key: str = "source_url") -> DataFrame:
+    """One row of matches, skipped, sent and failed, by classes: no pair of user and record is listed.
+
+    Pairs of ``history`` are skipped; of the others those whose user has
+    ``ok`` false in ``results`` (user, ok), or isn't there, have failed.
+    """
+    left = unnotified(matches, members, history, user, key).join(results, user, "left")
+    ok = F.coalesce("ok", F.lit(False))
+    went = left.agg(F.coalesce(F.sum(F.when(ok, F.col("n"))), F.lit(0)).alias("sent"), F.coalesce(F.sum(F.when(~ok, F.col("n"))), F.lit(0)).alias("failed"))
+    total = matches.groupBy("class_id").agg(F.count("*").alias("m")).join(members.groupBy("class_id").agg(F.count("*").alias("users")), "class_id").agg(F.coalesce(F.sum(F.col("m") * F.col("users")), F.lit(0)).alias("matches"))
+    return total.crossJoin(went).select("matches", (F.col("matches") - F.col("sent") - F.col("failed")).alias("skipped"), "sent", "failed")  # one row each

@@ -43,3 +43,9 @@ def quantile_bin(value: Column, sorted_values: Column, bins: int) -> Column:
     n = F.size(sorted_values)
     at = [F.get(sorted_values, F.floor(n * F.lit(i) / F.lit(bins)).cast("int")) for i in range(1, bins)]
     return F.when(value <= 0, 0).otherwise(sum((F.when(value >= t, 1).otherwise(0) for t in at), F.lit(1)))
+
+
+def seeded_sample(rows: DataFrame, key: str, n: int, seed: int) -> DataFrame:
+    """``n`` rows without replacement (all, if there are fewer) by the order of a digest of key and seed: the same at any partitioning."""
+    order = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit(str(seed))))
+    return rows.orderBy(order, key).limit(n)

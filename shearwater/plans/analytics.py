@@ -262,12 +262,21 @@ def post_moderation(spark, sf_dir):
 
 @query(f"""{_N} select id, concat('新しい保護動物の情報です', chr(10), '種別: ', species, chr(10), '場所: ', c.location, chr(10), source_url) as message, to_json({{'id': id, 'species': species}}) as payload from n join ({ORACLES['coarsen_location']}) c using (id)""")
 def notification_text(spark, sf_dir):
-    """G10 G11."""
+    """G10."""
     r = norm(spark, sf_dir)
     body = F.regexp_replace(feeds.notification(r), "年齢: [^\n]*\n", "")
     return r.select("id", body.alias("message"), F.to_json(F.struct("id", "species")).alias("payload"))
 
 
+@query(f"""{W}, a as (select source_site, id, {{'species': species, 'sex': sex, 'age_months': cast(id % 50 as int), 'color': nullif(color, ''), 'size': size, 'shelter_date': strftime(date '2025-01-01' + cast(id % 300 as int), '%Y-%m-%d'), 'location': location, 'phone': phone, 'image_urls': string_split(imgs, ' '), 'source_url': source_url, 'category': category}} as a from records where category <> 'lost')
+select source_site, cast(count(*) as int) as animals, cast(to_json({{'animals': list(a order by id), 'source': 'collector', 'timestamp': '{AS_OF}T00:00:00Z'}}) as varchar) as payload from a group by 1""")
+def webhook_payloads(spark, sf_dir):
+    """What the notifier is sent of each site."""
+    r = records(spark, sf_dir).where("category <> 'lost'").withColumn("age_months", (F.col("id") % 50).cast("int")).withColumn("color", F.nullif("color", F.lit("")))
+    r = r.withColumn("shelter_date", F.date_add(F.lit("2025-01-01").cast("date"), (F.col("id") % 300).cast("int"))).withColumn("image_urls", F.split("imgs", " "))
+    return feeds.payload(r, ["source_site"], "collector", f"{AS_OF}T00:00:00Z")
+
+
 @query("select strftime(date_trunc('minute', ts), '%Y-%m-%d %H:%M') as minute, user_id % 4 as ip, count(*) as n, count(*) > 1 as limited from events group by 1, 2")
 def rate_limit_windows(spark, sf_dir):
     """Fixed one-minute windows."""
@@ -333,10 +342,10 @@ def favourite_ids(spark, sf_dir):
     return table(spark, sf_dir, "events").select("event_id", k.alias("k")).where("k % 2 = 0")
 
 
-@query()
+@query("select doc_id from documents order by md5(concat(doc_id, ':7')), doc_id limit 20")
 def seeded_sample(spark, sf_dir):
     """A sample of fixed size that depends on seed and id only."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.xxhash64("doc_id", F.lit(7)).alias("o")).orderBy("o", "doc_id").limit(20).select("doc_id")
+    return stats.seeded_sample(table(spark, sf_dir, "documents"), "doc_id", 20, 7).select("doc_id")
 
 
 @query("select event_id, 'status_change' as action, concat(cast(user_id as varchar), ':', event_type) as detail from events where event_type <> 'view'")

@@ -40,9 +40,19 @@ def page_titles(spark, sf_dir):
     return extract.texts(table(spark, sf_dir, "pages")).select("page_id", "title")
 
 
-@query()
+_GONE = "|".join(f"<{t}[ >].*?</{t}>" for t in ("script", "style", "nav", "footer", "header", "iframe", "noscript", "svg"))
+_SAID = rf"trim(regexp_replace(replace(replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(html, '<!--.*?-->|<!DOCTYPE[^>]*>|{_GONE}', '', 'gs'), '</[^>]*>', '', 'g'), '<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&amp;', '&'), '[\s\x{{A0}}\x{{3000}}]+', ' ', 'g'))"
+
+
+@query(f"select page_id, {_SAID} as text from pages")
 def page_text(spark, sf_dir):
-    """Main text without boilerplate."""
+    """Main text without boilerplate, whole."""
+    return extract.texts(table(spark, sf_dir, "pages")).select("page_id", "text")
+
+
+@query(f"select page_id, substr({_SAID}, 1, 8000) as text from pages")
+def judge_text(spark, sf_dir):
+    """What a judge is shown of a page, 8,000 characters at most by its rule."""
     return extract.texts(table(spark, sf_dir, "pages"), 8000).select("page_id", "text")
 
 
@@ -82,11 +92,9 @@ ITEMS = extract.Spec("nav li", {"label": "a", "href": "a"}, attrs={"href": "href
 
 @query(f"with l as (select page_id, url, unnest(regexp_extract_all(html, '<li><a href=\"[^\"]*\">([^<]*)</a>', 1)) as label, unnest(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1)) as href, generate_subscripts(regexp_extract_all(html, '<li><a href=\"([^\"]*)\"', 1), 1) - 1 as pos from pages) select page_id, cast(pos as int) as pos, regexp_replace(url, '#.*$', '') || '#row=' || pos as key, replace(label, '&amp;', '&') as label, href from l")
 def page_records(spark, sf_dir):
-    """One record a row, fields by selector, pivoted from long form."""
-    long = extract.records(table(spark, sf_dir, "pages"), ITEMS)
-    pick = lambda f: F.max(F.when(F.col("field") == f, F.col("value"))).alias(f)
-    wide = long.groupBy("page_id", "pos", "key").agg(pick("label"), pick("href"))
-    return wide.where(extract.row_number(F.col("key")) == F.col("pos"))
+    """One record a row, fields by selector."""
+    found = extract.record_rows(table(spark, sf_dir, "pages"), ITEMS)
+    return found.where(extract.row_number(F.col("key")) == F.col("pos"))
 
 
 # a part put before the end of each body: a list under headings, a table of its links, a field in one of three forms
@@ -117,6 +125,26 @@ def site_rules_tables(spark, sf_dir):
     return details.blocks(_bodies(spark, sf_dir), "section")
 
 
+@query(rf"""{_BODIES} select page_id, 0 as n_table, 1 as n_row, cast(page_id as varchar) as number, '' as photo from p
+union all select page_id, 0, 2, case page_id % 4 when 0 then '' when 1 then '月 日' else '該当なし' end, '' from p where page_id % 4 < 3""")
+def header_rows(spark, sf_dir):
+    """Cells of table rows by the labels of the table's first row."""
+    return details.header_records(_bodies(spark, sf_dir), {"number": ("番号",), "photo": ("写真", "画像")})
+
+
+_PLACES = """concat('<h2>', case when page_id % 2 = 0 then '収容猫' else '一覧' end, '</h2><div class="a ', case when page_id % 3 = 0 then 'sec05' else 'sec09' end, '"><div><b class="it">', case when page_id % 7 = 0 then '子犬です' else url end, '</b></div></div><table>', case when page_id % 5 = 0 then '<caption>迷子の犬</caption>' else '' end, '<tr><td><b class="it">', url, '</b></td></tr></table></body></html>')"""
+
+
+@query(rf"""with i as (select page_id, 0 as pos, case when page_id % 3 = 0 then '犬' else '' end as by_section, '' as by_caption, case when page_id % 2 = 0 then '猫' else '' end as by_heading, case when page_id % 7 = 0 then '犬' else '' end as by_text, case when page_id % 7 = 0 then '子犬です' else url end as text from pages
+union all select page_id, 1, '', case when page_id % 5 = 0 then '犬' else '' end, case when page_id % 2 = 0 then '猫' else '' end, '', url from pages)
+select *, coalesce(nullif(by_section, ''), nullif(by_caption, ''), nullif(by_heading, ''), nullif(by_text, ''), 'その他') as species from i""")
+def block_species(spark, sf_dir):
+    """Species of blocks by section, caption, heading and their own words."""
+    p = table(spark, sf_dir, "pages")
+    p = p.select("page_id", "url", F.concat(F.regexp_replace("html", "(?s)</body>.*$", ""), F.expr(_PLACES)).alias("html"))
+    return details.placed(p, "b.it", {"sec05": "犬", "sec06": "猫"})
+
+
 @query(rf"""{_BODIES}, r as (select page_id, unnest(regexp_extract_all(html, '<tr>.*?</tr>')) as tr, generate_subscripts(regexp_extract_all(html, '<tr>.*?</tr>'), 1) - 1 as pos from p),
 c as (select page_id, pos, tr, len(regexp_extract_all(tr, '<t[dh]>')) as n, regexp_replace(regexp_replace(replace(tr, '&nbsp;', ''), '<[^>]*>', '', 'g'), '[ 　]', '', 'g') as said from r)
 select page_id, cast(pos as int) as pos, case when said = '' then 'blank' when regexp_full_match(said, '[月日時分]+') then 'template' when not contains(tr, '<td>') then 'header' when n = 1 and regexp_matches(said, '該当.{{0,10}}(なし|ありません)') then 'message' else 'data' end as kind, cast(n as int) as n_cells from c""")

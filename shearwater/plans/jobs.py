@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import html as H
-from ..functions import text, web
+from ..functions import sql, text, web
 from ..operators import archive, attempts, hosts, reconcile, sites
 from ..session import shared
 from ..sources import database, documents, files
@@ -16,7 +16,7 @@ from ..sources.store import Store
 from ..streaming import cache
 from .bridge import AS_OF, records, table
 from .documents import _BODIES, _bodies
-from .registry import query
+from .registry import ORACLES, query
 from .relational import _BOARD_CTE, board
 from .scalars import _SEX, _SPECIES, W
 
@@ -248,3 +248,14 @@ def file_actions(spark, sf_dir):
     for name, done in steps.items():
         out = out.join(done.select("path", F.col("status").alias(name)), "path", "left")
     return out.drop("path")
+
+
+# ---- rules in plain SQL ------------------------------------------------------------------------
+
+
+@query(f"select a.id, age_months, phone, public_phone from ({ORACLES['normalize_age']}) a join ({ORACLES['normalize_phone']}) p on a.id = p.id where phone <> ''")
+def sql_rules(spark, sf_dir):
+    """The rules of ages and phones called from SQL."""
+    sql.register(spark)
+    ask = f"select id, normalize_age(age, date '{AS_OF}') as age_months, normalize_phone(phone) as phone, public_phone(normalize_phone(phone)) as public_phone from {{r}} where normalize_phone(phone) <> ''"
+    return spark.sql(ask, r=records(spark, sf_dir))

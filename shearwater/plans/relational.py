@@ -68,7 +68,7 @@ def _settled(spark, sf_dir):
 
 @query(f"with {_BOARD_CTE} select id, case when status = 'adopted' and shelter_date <= date '1998-01-01' - 180 then 'archive' else 'active' end as side from board")
 def archive_split(spark, sf_dir):
-    """The archive and what stays active, from one pass."""
+    """the archive and what stays active, from one pass."""
     rows = _settled(spark, sf_dir)
     old = listing.archivable(rows, "1998-01-01").select("id", F.lit("archive").alias("side"))
     return rows.select("id").join(old, "id", "left").select("id", F.coalesce("side", F.lit("active")).alias("side"))
@@ -110,7 +110,7 @@ def _versions(spark, sf_dir):
 
 @query(f"with {_OLD_NEW} select coalesce(a.id, b.id) as id, case when a.id is null then 'new' when b.id is null then 'deleted' else 'updated' end as change from a full join b on a.id = b.id where a.id is null or b.id is null or a.status is distinct from b.status or a.species is distinct from b.species")
 def snapshot_diff(spark, sf_dir):
-    """J04 J08."""
+    """J04."""
     old, new = _versions(spark, sf_dir)
     return reconcile.snapshot_diff(old, new, "id", ["species", "status", "shelter_date", "location", "price"])
 
@@ -219,7 +219,7 @@ def audit_host_flags(spark, sf_dir):
 @query("""with u as (select user_id, 0 as part, event_id as pos from events where event_type = 'error' union all select user_id, 1, event_id from events where event_type = 'purchase')
 select user_id, part, pos from u qualify row_number() over (partition by user_id order by part, pos) = 1""")
 def ordered_union_dedup(spark, sf_dir):
-    """J15 J16 J17 J22."""
+    """Union in order, each key once at its first place."""
     e = table(spark, sf_dir, "events")
     return reconcile.ordered_distinct([e.where("event_type = 'error'"), e.where("event_type = 'purchase'")], ["user_id"], "event_id")
 
@@ -272,6 +272,52 @@ def subscriber_unnotified(spark, sf_dir):
     return reconcile.unnotified(matches, members, told.join(url, "id").select("user_id", "source_url"))
 
 
+@query(f"""{_MATCH}, t as (select user_id, count(*) as m, count(*) filter (where id <> user_id and id <> 2 * user_id) as n from m group by 1)
+select cast(sum(m) as bigint) as matches, cast(sum(m - n) as bigint) as skipped, cast(sum(case when user_id % 5 <> 0 then n else 0 end) as bigint) as sent, cast(sum(case when user_id % 5 = 0 then n else 0 end) as bigint) as failed from t""")
+def notification_totals(spark, sf_dir):
+    """Totals of a run from counts by class."""
+    matches, members = _matches(spark, sf_dir)
+    told = members.select("user_id", F.explode(F.array(F.col("user_id"), 2 * F.col("user_id"))).alias("id")).join(records(spark, sf_dir).select("id", "source_url"), "id")
+    results = members.select("user_id", (F.col("user_id") % 5 != 0).alias("ok")).distinct()
+    return reconcile.notified(matches, members, told, results)
+
+
+@query("""with l as (select distinct url from pages where page_id % 2 = 0), k as (select url, min(page_id) as page_id from pages where page_id % 3 = 0 group by 1)
+select l.url, case when k.url is null then 'extract' else 'reuse' end as action, k.page_id from l left join k on k.url = l.url""")
+def known_reuse(spark, sf_dir):
+    """Listed URLs that an earlier run knows take its record, the others are to be extracted."""
+    p = table(spark, sf_dir, "pages").select("page_id", "url")
+    known = p.where("page_id % 3 = 0").groupBy("url").agg(F.min("page_id").alias("page_id"))
+    again, new = reconcile.reused(p.where("page_id % 2 = 0").select("url"), known, "url")
+    return again.select("url", F.lit("reuse").alias("action"), "page_id").unionByName(new.select("url", F.lit("extract").alias("action"), F.lit(None).cast("long").alias("page_id")))
+
+
+@query("""with e as (select user_id, event_type, max(event_id) as event_id from events where event_type in ('error', 'purchase') group by 1, 2) select user_id, arg_max(event_type, event_type) as origin, arg_max(event_id, event_type) as event_id from e group by 1""")
+def merged_results(spark, sf_dir):
+    """Of two results by user the second one wins."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("error", "purchase")).groupBy("user_id", F.col("event_type").alias("origin")).agg(F.max("event_id").alias("event_id"))
+    return reconcile.right_wins(e.where("origin = 'error'"), e.where("origin = 'purchase'"), "user_id")
+
+
+@query("""with u as (select user_id, 0 as part, min(event_id) as pos from events where event_type = 'error' group by 1 union all select user_id, 1, min(event_id) from events where event_type = 'purchase' and value > 50 group by 1),
+c as (select user_id, part, pos from u qualify row_number() over (partition by user_id order by part, pos) = 1), t as (select user_id from c where user_id % 4 <> 0 order by part, pos, user_id limit 3)
+select user_id, part, pos, user_id in (select user_id from t) as target from c""")
+def fix_candidates(spark, sf_dir):
+    """Candidates in order, each once; the first three that weren't attempted are targets."""
+    e = table(spark, sf_dir, "events")
+    tried = e.where("user_id % 4 = 0").select("user_id")
+    return reconcile.capped([e.where("event_type = 'error'"), e.where("event_type = 'purchase' and value > 50")], "user_id", "event_id", 3, tried)
+
+
+@query("""with p as (select page_id, url, regexp_extract(url, '^https?://[^/]+/([^/?#]*)', 1) as folder, regexp_extract(url, '^https?://([^/?#]+)', 1) as host, case when page_id % 4 > 0 then 'n' || (page_id % 4) end as name from pages)
+select page_id, folder, name, host from p qualify row_number() over (partition by folder, name, host order by page_id) = 1""")
+def distinct_sources(spark, sf_dir):
+    """Sources once for each place, name and host."""
+    n = F.col("page_id") % 4
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+/([^/?#]*)", 1).alias("folder"), F.when(n > 0, F.concat(F.lit("n"), n.cast("string"))).alias("name"), web.authority(F.col("url")).alias("host"))
+    return reconcile.first_of(p, ["folder", "name", "host"], "page_id")
+
+
 @query("""select c_custkey as user_id, case when c_custkey % 3 = 0 then 'new' when c_custkey % 2 = 0 then 'both' else 'old' end as origin, case when c_custkey % 3 = 0 or c_custkey % 2 = 0 then c_acctbal + 1 else c_acctbal end as value from customer""")
 def preference_merge(spark, sf_dir):
     """Incoming preferences win by user."""
@@ -285,7 +331,7 @@ def preference_merge(spark, sf_dir):
 @query("""with e as (select user_id, event_type, event_id from events where event_type in ('signup', 'error', 'purchase')), l as (select user_id, arg_max(event_type, event_id) as last, count(*) filter (where event_type = 'error') as toggles from e group by 1)
 select user_id, last <> 'error' as is_active, toggles % 2 = 0 as enabled, 0 as history from l""")
 def account_state(spark, sf_dir):
-    """The state that a log of account commands leaves."""
+    """The state that a log of account commands leaves."""
     e = table(spark, sf_dir, "events").where(F.col("event_type").isin("signup", "error", "purchase"))
     s = e.groupBy("user_id").agg(F.max_by("event_type", "event_id").alias("last"), F.count_if(F.col("event_type") == "error").alias("toggles"))
     return s.select("user_id", (F.col("last") != "error").alias("is_active"), (F.col("toggles") % 2 == 0).alias("enabled"), F.lit(0).alias("history"))
@@ -301,7 +347,7 @@ def save_with_hash(spark, sf_dir):
 @query("""with f as (select user_id, count(*) filter (where event_type = 'error') as failures, max(cast(ts as date)) filter (where event_type = 'error') as last from events group by 1)
 select s_suppkey, coalesce(failures, 0) as failures from supplier left join f on s_suppkey = user_id where s_suppkey % 2 = 0 and s_suppkey % 3 <> 0 and not (coalesce(failures, 0) >= 15 and (last is null or date '2024-02-01' - last <= 14))""")
 def eligible_sites(spark, sf_dir):
-    """Mode, registry and the auto-skip of failing sites."""
+    """Mode, registry and the auto-skip of failing sites."""
     e = table(spark, sf_dir, "events").where("event_type = 'error'").groupBy("user_id").agg(F.count("*").alias("failures"), F.max(F.col("ts").cast("date")).alias("last"))
     s = table(spark, sf_dir, "supplier").where("s_suppkey % 2 = 0 and s_suppkey % 3 <> 0")
     n = F.coalesce("failures", F.lit(0))

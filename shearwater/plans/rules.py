@@ -88,7 +88,7 @@ def source_variants(spark, sf_dir):
     from ..functions import text, web
 
     return records(spark, sf_dir).select(
-        "id", web.url_species(F.col("source_url")).alias("by_path"), ((F.col("shelter_date") != "") & ((F.col("species") != "") | (F.col("sex") != ""))).alias("valid"),
+        "id", web.url_species(F.col("source_url")).alias("by_path"), rules.complete_row(F.col("shelter_date"), F.col("species"), F.col("sex")).alias("valid"),
         F.translate(text.fold_digits(F.col("phone")), "－", "-").alias("folded"),
     )
 

@@ -81,7 +81,7 @@ def normalize_phone(spark, sf_dir):
 
 
 _PII = r"(?:[0-9０-９]){2,4}[\s　]*[-－‐ー][\s　]*(?:[0-9０-９]){2,4}[\s　]*[-－‐ー][\s　]*(?:[0-9０-９]){3,4}|0[5789]0[0-9]{8}|0[0-9]{9}|[(（][\s　]*0[0-9]{1,3}[\s　]*[)）][\s　]*[0-9]{1,4}[\s　]*[-－‐ー.\s　][\s　]*[0-9]{3,4}|0[5789]0[.\s　][0-9]{4}[.\s　][0-9]{4}|[+]81[-－‐ー\s　]?[1-9][0-9]{0,3}[-－‐ー\s　.]?[0-9]{1,4}[-－‐ー\s　.]?[0-9]{3,4}"
-_RED = lambda c: f"regexp_replace(regexp_replace({c}, '{_PII}', '███', 'g'), '[0-9A-Za-z_.+-]+@[0-9A-Za-z_-]+(?:[.][0-9A-Za-z_-]+)+', '███', 'g')"
+_RED = lambda c: rf"regexp_replace(regexp_replace({c}, '{_PII}', '███', 'g'), '[\p{{L}}\p{{N}}_.+-]+@[\p{{L}}\p{{N}}_-]+(?:[.][\p{{L}}\p{{N}}_-]+)+', '███', 'g')"
 
 
 @query(f"select doc_id, md5({_RED('text')}) as redacted_md5, cast((length({_RED('text')}) - length(replace({_RED('text')}, '███', ''))) // 3 as bigint) as n_masks from documents")
@@ -155,13 +155,16 @@ def url_species(spark, sf_dir):
     )
 
 
-@query("""select doc_id, field, value, reason from (
-select doc_id, 'description' as field, substr(text, 1, 80) as value, 'html_tag' as reason from documents where regexp_matches(text, '<[a-zA-Z/][^>]*>')
-union all select doc_id, 'description', substr(text, 1, 80), 'html_entity' from documents where regexp_matches(text, '&[a-z]+;|&#[0-9]+;')
-union all select doc_id, 'name', source, 'notice' from documents where contains(source, '※'))""")
+@query("""with d as (select doc_id, case doc_id % 5 when 0 then concat('<b>', source, '</b> ', text) when 1 then concat('a &amp; b ', text) when 2 then concat(lang, ' < 3 &#39;', text) else text end as t, case when doc_id % 7 = 0 then concat(source, '※') else source end as s from documents)
+select doc_id, field, value, reason from (
+select doc_id, 'description' as field, substr(t, 1, 80) as value, 'html_tag' as reason from d where regexp_matches(t, '<[a-zA-Z/][^>]*>')
+union all select doc_id, 'description', substr(t, 1, 80), 'html_entity' from d where regexp_matches(t, '&[a-z]+;|&#[0-9]+;')
+union all select doc_id, 'name', s, 'notice' from d where contains(s, '※'))""")
 def content_anomalies(spark, sf_dir):
-    """F24 over documents."""
-    d = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("name"), F.col("text").alias("description"))
+    """F24 over documents, with tags, entities and notices put into some."""
+    k = F.col("doc_id")
+    t = F.when(k % 5 == 0, F.concat(F.lit("<b>"), "source", F.lit("</b> "), "text")).when(k % 5 == 1, F.concat(F.lit("a &amp; b "), "text")).when(k % 5 == 2, F.concat("lang", F.lit(" < 3 &#39;"), "text")).otherwise(F.col("text"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.when(k % 7 == 0, F.concat("source", F.lit("※"))).otherwise(F.col("source")).alias("name"), t.alias("description"))
     return normalize.anomalies(d, "doc_id", ("name", "description"))
 
 
