@@ -127,6 +127,24 @@ def spread_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFra
     return one.join(two, [key, "_part"]).drop("_part")
 
 
+def apart_join(left: DataFrame, right: DataFrame, key: str, by: str) -> DataFrame:
+    """The rows of ``spread_join``, hot keys joined apart from the others.
+
+    For a wide ``right``: only its rows of hot keys are repeated and shuffled
+    by share; all of it is shuffled by ``key`` alone, as another join by its
+    key does, so both use one exchange.
+    """
+    counts = left.groupBy(key).agg(F.count("*").alias("_n"))
+    per = max(HOT_ROWS, -(-left.count() // HOT_KEYS))
+    hot = {r[key]: -(-r["_n"] // per) for r in counts.where(F.col("_n") > per).collect()}
+    if not hot:
+        return left.join(right, key)
+    parts = F.broadcast(left.sparkSession.createDataFrame(list(hot.items()), f"{key} {dict(left.dtypes)[key]}, _parts int"))  # HOT_KEYS rows at most
+    one = left.join(parts, key).withColumn("_part", F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")).drop("_parts")
+    two = right.join(parts, key).withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
+    return left.join(parts, key, "left_anti").join(right, key).unionByName(one.join(two, [key, "_part"]).drop("_part"))
+
+
 def texts(df: DataFrame, *keep: str) -> DataFrame:
     """Only the columns an operator reads, by plain names; extra columns never get into its plan."""
     return df.select(*(df[c] for c in keep))

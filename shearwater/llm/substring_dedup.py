@@ -346,7 +346,8 @@ def verified(pairs: DataFrame, words: DataFrame, name: str, ask: int) -> DataFra
                 yield pa.RecordBatch.from_arrays([*out, pa.concat_arrays([pa.nulls(m, pa.int64()), pa.array(gram, pa.int64())])], ["a", "sa", "ea", "b", "sb", "eb", "gram"])
 
     one, two = (words.select(F.col("cls").alias(k), F.col("words").alias(f"w{k}")) for k in ("a", "b"))
-    both = common.spread_join(pairs, one, "a", "b").join(two, "b").select("a", "b", "seeds", "wa", "wb")
+    # both sides read one exchange of the words, hot leaders' apart
+    both = common.apart_join(pairs, one, "a", "b").join(two, "b").select("a", "b", "seeds", "wa", "wb")
     return common.table(both.mapInArrow(run, "a long, sa int, ea int, b long, sb int, eb int, gram long"), name)
 
 

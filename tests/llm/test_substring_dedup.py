@@ -5,6 +5,7 @@ import pytest
 
 from tests.llm.conftest import WORDS
 
+from shearwater.llm import common
 from shearwater.llm import substring_dedup as sd
 
 
@@ -131,3 +132,23 @@ def test_roots_match_brute_force(monkeypatch):
         monkeypatch.setattr(sd, "_POS", (1 << bits) - 1)
         c, l, r = sd.roots(v & ~np.uint64((1 << 22) - 1), offs)
         assert {int(x): (int(y), int(z)) for x, y, z in zip(c, l, r)} == want
+
+
+def test_hot_keys_joined_apart(spark, monkeypatch):
+    """A third of the left rows share one key; the wide side goes through one exchange for both joins."""
+    monkeypatch.setattr(common, "HOT_ROWS", 50)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        left = common.table(spark.range(900).selectExpr("if(id % 3 = 0, 1L, id) as a", "id as b", "concat('s', id) as x").union(spark.createDataFrame([(10**6, 1, "none")], "a long, b long, x string")), "left")
+        right = common.table(spark.range(900).selectExpr("id as cls", "array(id, id + 1) as words"), "right")
+        one, two = (right.selectExpr(f"cls as {k}", f"words as w{k}") for k in ("a", "b"))
+        both = common.apart_join(left, one, "a", "b").join(two, "b")
+        want = left.join(one, "a").join(two, "b").select(both.columns)
+        assert sorted(map(str, both.collect())) == sorted(map(str, want.collect())) and both.count() == 900
+        plan = both._jdf.queryExecution()
+        both.collect()
+        assert "ReusedExchange" in plan.executedPlan().toString()
+        calm = common.apart_join(left.where("a <> 1"), one, "a", "b")
+        assert calm.count() == left.where("a <> 1").join(one, "a").count()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
