@@ -34,15 +34,10 @@ def _cut(text: Column, pattern: str) -> Column:
 def tree(text: Column) -> Column:
     """Sections as structs (hash, paragraphs), those as structs (hash, leaves); null counts as empty."""
 
-    def paragraph(p: Column) -> Column:
-        leaves = F.transform(_cut(p, _LEAF), lambda s: F.xxhash64(s))
-        return F.struct(F.xxhash64(leaves).alias("hash"), leaves.alias("leaves"))
-
-    def section(s: Column) -> Column:
-        paragraphs = F.transform(_cut(s, r"(?<=\n)"), paragraph)
-        return F.struct(F.xxhash64(F.transform(paragraphs, lambda p: p["hash"])).alias("hash"), paragraphs.alias("paragraphs"))
-
-    return F.transform(_cut(F.coalesce(text, F.lit("")), r"(?<=\n\n)|(?<=\n[ \t]\n)"), section)
+    # leaves first, then a level of hashes at a time over what stands: no lambda names a computed value twice
+    found = F.transform(_cut(F.coalesce(text, F.lit("")), r"(?<=\n\n)|(?<=\n[ \t]\n)"), lambda s: F.transform(_cut(s, r"(?<=\n)"), lambda p: F.transform(_cut(p, _LEAF), lambda x: F.xxhash64(x))))
+    hashed = F.transform(found, lambda s: F.transform(s, lambda p: F.struct(F.xxhash64(p).alias("hash"), p.alias("leaves"))))
+    return F.transform(hashed, lambda s: F.struct(F.xxhash64(F.transform(s, lambda p: p["hash"])).alias("hash"), s.alias("paragraphs")))
 
 
 def _hex(x: Column) -> Column:
