@@ -11,7 +11,7 @@ from ..functions import html as H
 from ..functions import sql, text, web
 from ..operators import archive, attempts, hosts, reconcile, sites
 from ..session import shared
-from ..sources import database, documents, files
+from ..sources import database, documents, files, tables
 from ..sources.store import Store
 from ..streaming import cache
 from .bridge import AS_OF, records, table
@@ -250,6 +250,33 @@ def file_actions(spark, sf_dir):
     return out.drop("path")
 
 
+# ---- snapshots and states ----------------------------------------------------------------------
+
+
+@query("""with b as (select o_orderkey as id, o_orderstatus as status from orders where o_orderkey % 9 <> 0 and o_orderkey % 10 <> 0), o as (select * from b where id % 4 <> 0), n as (select id, case when id % 6 = 0 then 'X' else status end as status from b where id % 5 <> 1),
+c as (select case when o.id is null then 'new' when n.id is null then 'deleted' when o.status <> n.status then 'updated' end as change from o full join n on o.id = n.id)
+select (select count(*) from n) as total_count, count(*) filter (where change = 'new') as new, count(*) filter (where change = 'updated') as updated, count(*) filter (where change = 'deleted') as deleted, '2026-01-15' as collected_at from c""")
+def snapshot_output(spark, sf_dir):
+    """Two snapshots written as JSON lines with broken ones among them, read tolerantly, compared and counted; a state that isn't there is empty."""
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"))
+    line = F.when(F.col("id") % 9 == 0, F.concat(F.lit('{"id": '), F.col("id").cast("string"))).when(F.col("id") % 10 == 0, F.to_json(F.struct("status"))).otherwise(F.to_json(F.struct("id", "status")))
+    schema = T.StructType([T.StructField("id", T.LongType()), T.StructField("status", T.StringType())])
+    found = []
+    for rows in (o.where("id % 4 <> 0"), o.where("id % 5 <> 1").withColumn("status", F.when(F.col("id") % 6 == 0, "X").otherwise(F.col("status")))):
+        where = _place(spark, "snapshot")
+        rows.select(line.alias("value")).write.text(where)
+        found.append(tables.snapshot(spark, where, schema, "id"))
+    before = tables.state(spark, _place(spark, "nothing"), schema).unionByName(found[0])
+    return tables.output(found[1], reconcile.snapshot_diff(before, found[1], "id", ["status"]), AS_OF)
+
+
+@query(f"""{W}, d as (select id, trim(regexp_replace(description, '^[ 　]+|[ 　]+$', '', 'g')) as s from records)
+select id, substr(regexp_replace(regexp_replace(case when contains(s, '<') then trim(regexp_replace(replace(regexp_replace(s, '<[a-zA-Z/!][^>]*>', ' ', 'g'), '&amp;', '&'), '[ ]+', ' ', 'g')) else replace(s, '&amp;', '&') end, '(?:[0-9]{{2,4}}-[0-9]{{2,4}}-[0-9]{{3,4}})|[(]0[0-9]{{1,3}}[)][0-9]{{1,4}}-[0-9]{{3,4}}|[+]81 ?[1-9][0-9]{{0,3}} ?[0-9]{{1,4}} ?[0-9]{{3,4}}', '███', 'g'), '[a-z.]+@[a-z.]+', '███', 'g'), 1, 2000) as description from d""")
+def normalize_description(spark, sf_dir):
+    """Descriptions without tags, masked and cut."""
+    return records(spark, sf_dir).select("id", text.description(F.col("description")).alias("description"))
+
+
 # ---- rules in plain SQL ------------------------------------------------------------------------
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,9 +26,9 @@ def streaks(stream: DataFrame, key: str = "user_id") -> DataFrame:
 
     def fold(k: tuple, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         streak, runs = state.get if state.exists else (0, 0)
-        pdf = pd.concat(list(frames)).sort_values("event_id")
-        for failed in pdf["event_type"].eq("error"):
-            streak, runs = (streak + 1 if failed else 0), runs + 1
+        failed = pd.concat(list(frames)).sort_values("event_id")["event_type"].eq("error").to_numpy()
+        fine = np.flatnonzero(~failed)
+        streak, runs = (len(failed) - 1 - int(fine[-1]) if len(fine) else streak + len(failed)), runs + len(failed)
         state.update((int(streak), int(runs)))
         yield pd.DataFrame({key: [k[0]], "streak": [int(streak)], "runs": [int(runs)]})
 
