@@ -132,6 +132,33 @@ def _field(label: Column, labels: Mapping[str, str]) -> Column:
     return reduce(lambda rest, t: F.when(t[0], t[1]).otherwise(rest), reversed(tests), F.lit(None).cast("string"))
 
 
+def source_date(c: Column, form: Column, as_of: Column) -> Column:
+    """The day of arrival as single sources write it, as ISO text; '' without one.
+
+    ``form`` says how: ``any`` (an era date, else a full one), ``era_text`` (the
+    era date as it stands, without blanks), ``labelled`` (a full date behind
+    【収容日】), ``past_day`` (month and day of the last twelve months), ``full``
+    (a full date only).
+    """
+    gap = r"[\s　]*"
+    era = f"令和{gap}([0-9]+){gap}年{gap}([0-9]{{1,2}}){gap}月{gap}([0-9]{{1,2}}){gap}日"
+    full, label, day = "([0-9]{4})[年/-]([0-9]{1,2})[月/-]([0-9]{1,2})", "【収容日】([0-9]{4})年([0-9]{1,2})月([0-9]{1,2})日", "([0-9]{1,2})月([0-9]{1,2})日"
+    pad = lambda x, n: F.lpad(x.cast("string"), n, "0")
+
+    def iso(pattern: str, shift: int = 0) -> Column:
+        y, m, d = _parts(c, pattern, 3)
+        return F.when(c.rlike(pattern), F.concat_ws("-", pad(y + shift, 4), pad(m, 2), pad(d, 2)))
+
+    m, d = _parts(c, day, 2)
+    this = make(F.year(as_of), m, d)
+    past = F.date_format(F.when(this > as_of, make(F.year(as_of) - 1, m, d)).otherwise(this), "yyyy-MM-dd")
+    found = (
+        F.when(form == "any", F.coalesce(iso(era, 2018), iso(full))).when(form == "era_text", F.regexp_replace(F.regexp_extract(c, era, 0), r"[\s　]+", ""))
+        .when(form == "labelled", iso(label)).when(form == "past_day", past).when(form == "full", iso(full))
+    )
+    return F.coalesce(found, F.lit(""))
+
+
 def complete_row(date: Column, *others: Column) -> Column:
     """A row read from a file counts if it has a date and anything else."""
     filled = lambda c: F.coalesce(strip(c), F.lit("")) != ""

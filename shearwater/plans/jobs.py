@@ -233,6 +233,18 @@ def review_reports(spark, sf_dir):
     return documents.write(documents.markdown(r, name, title, heading, {"URLs": n, "phone": F.col("phone")}, "id"), _local(_place(spark, "reports")))
 
 
+@query(f"""{W}, c as (select concat('sheets/', source_site, '.html') as name, concat('確認 ', source_site) as title, concat('<article><h2>', {_SPECIES}, ' ', location, '</h2><p class="seek">', concat_ws(' / ', '管理番号: ' || management_number, case when breed <> '' then '品種: ' || breed end, case when id % 3 = 0 then 'row: ' || id end), '</p><dl><dt>性別</dt><dd>', {_SEX}, '</dd><dt>電話</dt>',
+case when phone <> '' then concat('<dd>', phone, '</dd>') else '<dd class="missing"></dd>' end, '<dt>説明</dt><dd>', {_XML.format('description')}, '</dd></dl><a href="', source_url, case when id % 3 = 0 then '#row=' || id else '' end, '">source</a></article>{chr(10)}') as card from records where category = 'adoption')
+select name, count(*) as items, cast(sum(strlen(card)) + strlen(concat('<!doctype html><html lang="ja"><head><meta charset="utf-8"><title>', any_value(title), '</title></head><body><h1>', any_value(title), '</h1>{chr(10)}</body></html>{chr(10)}')) as bigint) as bytes from c group by name""")
+def review_sheets(spark, sf_dir):
+    """HTML sheets for reviewers, with hints to find each entry in its list."""
+    r = records(spark, sf_dir).where("category = 'adoption'").withColumn("link", F.concat("source_url", F.when(F.col("id") % 3 == 0, F.concat(F.lit("#row="), F.col("id").cast("string"))).otherwise("")))
+    name, title = F.concat(F.lit("sheets/"), F.col("source_site"), F.lit(".html")), F.concat(F.lit("確認 "), F.col("source_site"))
+    heading = F.concat_ws(" ", text.species(F.col("species")), "location")
+    facts, hints = {"性別": text.sex(F.col("sex")), "電話": F.col("phone"), "説明": F.col("description")}, {"管理番号": F.col("management_number"), "品種": F.col("breed")}
+    return documents.write(documents.html(r, name, title, heading, facts, hints, F.col("link"), "id"), _local(_place(spark, "sheets")))
+
+
 @query("""with p as (select page_id, page_id % 4 = 3 as text, page_id % 2 = 0 as moved, page_id % 6 = 1 as gone from pages)
 select page_id, case when text then 'rejected' else 'stored' end as put, case when text then 'rejected' else 'present' end as again, case when not moved then null when text then 'missing' else 'moved' end as moved, case when not moved then null when text then 'missing' else 'there' end as moved_again,
 case when not gone then null when text then 'missing' else 'deleted' end as deleted, case when text or moved or gone then 'missing' else 'present' end as left from p""")

@@ -119,6 +119,21 @@ def source_dates(spark, sf_dir):
     return rows.select("o_orderkey", dates.shelter_date(F.col("t"), today(), ready=True).alias("day"))
 
 
+_FORMS = """with d as (select o_orderkey as k, year(o_orderdate) as y, month(o_orderdate) as m, day(o_orderdate) as d from {orders})
+select k, y, m, d, case k % 5 when 0 then 'any' when 1 then 'era_text' when 2 then 'labelled' when 3 then 'past_day' else 'full' end as form,
+case k % 5 when 0 then case when k % 2 = 0 then concat('令和', y - 1990, '年 ', m, '月', d, '日 収容') else concat('収容 ', y, '/', m, '/', d) end when 1 then concat('収容日　令和 ', y - 1990, ' 年', m, '月 ', d, '日（金）')
+when 2 then concat('備考 2020年1月1日【収容日】', y, '年', m, '月', d, '日') when 3 then concat(m, '月', d, '日に保護') else concat(case when k % 2 = 0 then concat(y, '年') else '' end, m, '月', d, '日') end as said from d"""
+
+
+@query(f"""with f as ({_FORMS.replace('{orders}', 'orders')}), p as (select *, try_cast(concat('2026-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(d as varchar), 2, '0')) as date) as this, try_cast(concat('2025-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(d as varchar), 2, '0')) as date) as last from f)
+select k, coalesce(case form when 'any' then concat(case when k % 2 = 0 then y + 28 else y end, '-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(d as varchar), 2, '0')) when 'era_text' then concat('令和', y - 1990, '年', m, '月', d, '日')
+when 'labelled' then concat(y, '-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(d as varchar), 2, '0')) when 'past_day' then strftime(case when this > date '2026-01-15' then last else this end, '%Y-%m-%d') else case when k % 2 = 0 then concat(y, '-', lpad(cast(m as varchar), 2, '0'), '-', lpad(cast(d as varchar), 2, '0')) end end, '') as day from p""")
+def source_date_forms(spark, sf_dir):
+    """Order dates as five kinds of sources write them, each read by its own rule."""
+    said = spark.sql(_FORMS, orders=table(spark, sf_dir, "orders"))
+    return said.select("k", rules.source_date(F.col("said"), F.col("form"), today()).alias("day"))
+
+
 @query("select count(*) as archivable, min(cast(o_orderdate as date)) as oldest, count(*) filter (where cast(o_orderdate as date) <= date '1996-01-01') as overdue from orders where o_orderstatus = 'F' and cast(o_orderdate as date) <= date '1998-01-01' - 180")
 def archive_report(spark, sf_dir):
     """The daily report of what can be archived."""

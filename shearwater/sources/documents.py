@@ -149,3 +149,21 @@ def markdown(cards: DataFrame, name: Column, title: Column, heading: Column, fac
     lines = [F.when(c.isNotNull() & (c.cast("string") != ""), F.concat(F.lit(f"- {label}: "), plain(c), F.lit("\n"))).otherwise("") for label, c in facts.items()]
     body = F.concat(F.lit("\n## "), plain(F.coalesce(heading, F.lit(""))), F.lit("\n\n"), *lines)
     return cards.select(name.alias("name"), F.concat(F.lit("# "), plain(title), F.lit("\n")).alias("head"), body.alias("body"), F.lit("").alias("foot"), F.col(position).cast("long").alias("position"))
+
+
+def html(cards: DataFrame, name: Column, title: Column, heading: Column, facts: dict[str, Column], hints: dict[str, Column], link: Column, position: str) -> DataFrame:
+    """Cards as rows of HTML review sheets: a heading, hints that help to find the entry, labelled facts, the source.
+
+    Empty hints are left out; an empty fact is marked as missing; the row
+    number of a list's entry (``#row=N`` of the link) is a hint of its own.
+    """
+    tag = lambda t, c: F.concat(F.lit(f"<{t}>"), escaped(c.cast("string")), F.lit(f"</{t}>"))
+    filled = lambda c: c.isNotNull() & (c.cast("string") != "")
+    row = F.regexp_extract(link, r"#row=(\d+)$", 1)
+    found = F.array_compact(F.array(*(F.when(filled(c), F.concat(F.lit(f"{k}: "), c.cast("string"))) for k, c in {**hints, "row": row}.items())))
+    seek = F.when(F.size(found) > 0, F.concat(F.lit('<p class="seek">'), escaped(F.array_join(found, " / ")), F.lit("</p>"))).otherwise("")
+    told = F.concat(*(F.concat(tag("dt", F.lit(k)), F.when(filled(c), tag("dd", c)).otherwise('<dd class="missing"></dd>')) for k, c in facts.items()))
+    source = F.when(filled(link), F.concat(F.lit('<a href="'), escaped(link), F.lit('">source</a>'))).otherwise("")
+    body = F.concat(F.lit("<article>"), tag("h2", F.coalesce(heading, F.lit(""))), seek, F.lit("<dl>"), told, F.lit("</dl>"), source, F.lit("</article>\n"))
+    head = F.concat(F.lit('<!doctype html><html lang="ja"><head><meta charset="utf-8">'), tag("title", title), F.lit("</head><body>"), tag("h1", title), F.lit("\n"))
+    return cards.select(name.alias("name"), head.alias("head"), body.alias("body"), F.lit("</body></html>\n").alias("foot"), F.col(position).cast("long").alias("position"))

@@ -170,3 +170,9 @@ def test_samples_and_payloads(spark):
 
     body = json.loads(row.payload)
     assert row.animals == 2 and [a["species"] for a in body["animals"]] == ["猫", "犬"] and body["animals"][0]["shelter_date"] == "2026-01-02" and body["animals"][1]["sex"] is None and body["source"] == "c" and len(body["animals"][0]) == 11
+
+
+def test_dates_of_sources(spark):
+    rows = [("any", "令和 8 年 3月13日", "2026-03-13"), ("any", "2025-1-2", "2025-01-02"), ("any", "3月13日", ""), ("era_text", "x 令和8年　3月 13日（金）", "令和8年3月13日"), ("era_text", "2025年1月2日", ""), ("labelled", "2020年1月1日【収容日】2026年5月12日", "2026-05-12"), ("labelled", "2020年1月1日", ""), ("past_day", "1月15日", "2026-01-15"), ("past_day", "1月16日", "2025-01-16"), ("past_day", "2月30日", ""), ("full", "5月10日", ""), ("full", "2025/5/10", "2025-05-10"), ("other", "2025/5/10", ""), ("any", None, "")]
+    df = spark.createDataFrame(rows, "form string, said string, want string").withColumn("got", rules.source_date(F.col("said"), F.col("form"), F.lit("2026-01-15").cast("date")))
+    assert [(r.said, r.got) for r in df.collect()] == [(s, w) for _, s, w in rows]
