@@ -201,3 +201,12 @@ def test_archive_goes_on_after_a_kill(spark, tmp_path, monkeypatch):
     done = archive.run(half, "1998-01-01", wrong(), batch)
     assert done.processed == old and done.store.read("archive").count() == done.moved == old - done.failed
     assert done.store.read("archive").select("id").distinct().count() == done.moved and done.store.read("failures").count() == done.failed
+
+
+def test_archive_of_many_batches_makes_few_commits(spark, tmp_path):
+    rows = settled_board(spark)
+    old = {r.id for r in archive.settled(rows, "1998-01-01").collect()}
+    store = archive.create(Store.create(spark, str(tmp_path / "a")), rows, buckets=4)
+    done = archive.run(store, "1998-01-01", wrong(), 3)
+    assert done.batches == -(-len(old) // 3) > 2 * archive.COMMITS and done.store.version - store.version <= archive.COMMITS
+    assert (done.processed, sides(done.store)["archive"]) == (len(old), {k for k in old if k % 10 != 3})
