@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Collection, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -54,7 +54,7 @@ def register(name: str, spec: Spec) -> None:
     REGISTRY[name] = spec
 
 
-def _table(pages: DataFrame, row: Callable[[int, str, H.Node, str], list[tuple]], schema: str, types: list[pa.DataType]) -> DataFrame:
+def _table(pages: DataFrame, row: Callable[[int, str, H.Node, str], list[tuple]], schema: str, types: list[pa.DataType], references: Collection[str] | None = None) -> DataFrame:
     ready(pages.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -62,7 +62,7 @@ def _table(pages: DataFrame, row: Callable[[int, str, H.Node, str], list[tuple]]
         for batch in batches:
             out = []
             for page_id, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                out += row(page_id, url or "", H.parse(text), text or "")
+                out += row(page_id, url or "", H.parse(text, references), text or "")
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
 
@@ -74,13 +74,13 @@ def links(pages: DataFrame, selector: str = "a[href]") -> DataFrame:
     return _table(pages, lambda i, u, r, _: [(i, *x) for x in H.links(r, u, selector)], "page_id long, pos int, href string, label string", [pa.int64(), pa.int32(), pa.string(), pa.string()])
 
 
-def texts(pages: DataFrame, limit: int | None = None) -> DataFrame:
-    """(page_id, title, text)."""
+def texts(pages: DataFrame, limit: int | None = None, references: Collection[str] | None = None) -> DataFrame:
+    """(page_id, title, text); of character references all are decoded, or only the named ones."""
     def row(i, u, r, _):
         title = next(iter(H.select(r, "title")), None)
         return [(i, title.text() if title else "", H.main_text(r, limit))]
 
-    return _table(pages, row, "page_id long, title string, text string", [pa.int64(), pa.string(), pa.string()])
+    return _table(pages, row, "page_id long, title string, text string", [pa.int64(), pa.string(), pa.string()], references)
 
 
 # fixed values: phrases that say a list is empty, and what hints at entries of one

@@ -36,6 +36,8 @@ class Strategy(ABC):
     kinds: ClassVar[dict[str, type[Strategy]]] = {}
     kind: ClassVar[str] = ""
     post: tuple[str, ...] = ()
+    #: Character references that are decoded; None is all that HTML knows.
+    references: Sequence[str] | None = None
 
     def __init_subclass__(cls, **more) -> None:
         super().__init_subclass__(**more)
@@ -82,6 +84,7 @@ class Rows(Strategy):
     fields: Mapping[str, Mapping | str | int]
     skip_first: bool = False
     post: Sequence[str] = ()
+    references: Sequence[str] | None = None
 
     def __post_init__(self) -> None:
         for how in self.fields.values():
@@ -92,7 +95,7 @@ class Rows(Strategy):
         ))
 
     def text(self) -> str:
-        return json.dumps({"rows": self.rows, "fields": self.fields, "skip_first": self.skip_first, "post": list(self.post)}, ensure_ascii=False, sort_keys=True)
+        return json.dumps({"rows": self.rows, "fields": self.fields, "skip_first": self.skip_first, "post": list(self.post), "references": self.references}, ensure_ascii=False, sort_keys=True)
 
     def records(self, root: H.Node, url: str) -> list[dict[str, str]]:
         return self.spec.records(root)
@@ -105,6 +108,7 @@ class Detail(Strategy):
     kind: ClassVar[str] = "detail"
     fields: Mapping[str, Mapping]
     post: Sequence[str] = ()
+    references: Sequence[str] | None = None
 
     def __post_init__(self) -> None:
         if not self.fields or not all(isinstance(how, Mapping) for how in self.fields.values()):
@@ -113,7 +117,7 @@ class Detail(Strategy):
             _field(how)
 
     def text(self) -> str:
-        return json.dumps({"fields": self.fields, "post": list(self.post)}, ensure_ascii=False, sort_keys=True)
+        return json.dumps({"fields": self.fields, "post": list(self.post), "references": self.references}, ensure_ascii=False, sort_keys=True)
 
     def records(self, root: H.Node, url: str) -> list[dict[str, str]]:
         pairs = None
@@ -194,7 +198,7 @@ class _Reader:
         if html is None:
             return "fetch_error", [], "no page"
         try:
-            root = H.parse(html)
+            root = H.parse(html, made.references)
             found = made.records(root, url or "")
             for hook in hooks:
                 found = [hook(r, url or "", root) for r in found]

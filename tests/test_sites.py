@@ -3,7 +3,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from shearwater.functions import html as H
-from shearwater.operators import sites
+from shearwater.operators import extract, sites
 
 LIST = "<nav><ul><li><a href='/a?x=1'>A</a></li><li><a href='b'>B</a></li></ul></nav>"
 DETAIL = "<dl><dt>特色</dt><dd>白</dd><dt>色</dt><dt>x</dt><dd>黒</dd></dl><table><tr><th>性別</th><td></td></tr><tr><th>動物の性別</th><th>y</th><td>オス</td></tr></table><h1 id='t'>名</h1>"
@@ -80,3 +80,19 @@ def test_empty_table(pages, tables):
     assert sites.extracted(pages.where("false"), *tables, ["name"]).count() == 0
     assert sites.checked(pages.where("false"), *tables).count() == 0
     assert sites.extracted(pages, tables[0].where("false"), tables[1], ["name"]).where(F.col("error").isNull()).count() == 0
+
+
+def test_references_that_are_decoded(spark):
+    shape, html = "page_id long, url string, html string", "<title>a&amp;b &quot;c&quot; &amp;lt; d&am</title><body>&lt;e&gt; &copy; f&amp</body>"
+    page = spark.createDataFrame([(1, "u", html)], shape)
+    texts = lambda *names: tuple(extract.texts(page, None, names or None).select("title", "text").first())
+    assert texts("amp") == ("a&b &quot;c&quot; &lt; d&am", "a&b &quot;c&quot; &lt; d&am &lt;e&gt; &copy; f&amp")
+    assert texts("amp", "lt", "gt", "quot")[1] == 'a&b "c" &lt; d&am <e> &copy; f&amp'
+    assert texts() == ('a&b "c" &lt; d&am', 'a&b "c" &lt; d&am <e> © f&')
+    assert H.parse("a&amp;b&lt;", ()).text() == "a&amp;b&lt;"
+    one = spark.createDataFrame([(1, "https://a.jp/1", "<h1>a&amp;b&quot;&amp</h1>")], shape)
+    names = [
+        sites.extracted(one, spark.createDataFrame([("a.jp", "x")], "host string, name string"), sites.registry(spark, {"x": sites.Detail({"name": {"selector": "h1"}}, references=known)}), ["name"]).first().name
+        for known in (("amp",), None)
+    ]
+    assert names == ["a&b&quot;&amp", 'a&b"&']
