@@ -116,6 +116,14 @@ def test_matches_by_class_equal_all_pairs(spark, monkeypatch):
     for u, i in want:
         left[u] = left.get(u, 0) + ((u, f"u{i}") not in told)
     assert {r.user_id: r.n for r in reconcile.unnotified(m, members, history).collect()} == {u: n for u, n in left.items() if n}
+    # the same history told to whole groups: user 7 and above 100 are in none
+    groups = spark.createDataFrame([(u, u % 5) for u in range(100) if u != 7], "user_id long, group int")
+    by_group = [(g, f"u{i}") for g in range(5) for i in range(80) if (g + i) % 3 == 0]
+    shared = {}
+    for u, i in want:
+        shared[u] = shared.get(u, 0) + (u == 7 or u >= 100 or (u % 5 + i) % 3 != 0)
+    got = reconcile.unnotified(m, members, spark.createDataFrame(by_group + by_group[:9], "group int, source_url string"), groups=groups)
+    assert {r.user_id: r.n for r in got.collect()} == {u: n for u, n in shared.items() if n}
     ok = spark.createDataFrame([(u, u % 3 > 0) for u in range(0, 120, 2)], "user_id long, ok boolean")
     total = reconcile.notified(m, members, history, ok).first()
     sent = sum(n for u, n in left.items() if u % 2 == 0 and u % 3 > 0)
