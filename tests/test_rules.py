@@ -1,8 +1,10 @@
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from shearwater.functions import dates, rules, sql, text, web
 from shearwater.operators import details, extract, feeds, listing, reconcile, stats
+from shearwater.plans import relational
 
 SF = "/root/testdata/sf0.001"
 
@@ -184,3 +186,14 @@ def test_dates_of_sources(spark):
     rows = [("any", "令和 8 年 3月13日", "2026-03-13"), ("any", "2025-1-2", "2025-01-02"), ("any", "3月13日", ""), ("era_text", "x 令和8年　3月 13日（金）", "令和8年3月13日"), ("era_text", "2025年1月2日", ""), ("labelled", "2020年1月1日【収容日】2026年5月12日", "2026-05-12"), ("labelled", "2020年1月1日", ""), ("past_day", "1月15日", "2026-01-15"), ("past_day", "1月16日", "2025-01-16"), ("past_day", "2月30日", ""), ("full", "5月10日", ""), ("full", "2025/5/10", "2025-05-10"), ("other", "2025/5/10", ""), ("any", None, "")]
     df = spark.createDataFrame(rows, "form string, said string, want string").withColumn("got", rules.source_date(F.col("said"), F.col("form"), F.lit("2026-01-15").cast("date")))
     assert [(r.said, r.got) for r in df.collect()] == [(s, w) for _, s, w in rows]
+
+
+def test_subscriber_match_holds_every_pair(spark):
+    found = relational.subscriber_match(spark, SF)
+    con = duckdb.connect()
+    for t in ("part", "customer"):
+        con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
+    want = con.execute(f"{relational._MATCH} select user_id, id, source_url from m").fetchall()
+    users = found.where("user_id is not null").select("class_id", "user_id")
+    got = users.join(found.where("id is not null").select("class_id", "id", "source_url"), "class_id").select("user_id", "id", "source_url").collect()
+    assert len(want) > 1000 and sorted(map(tuple, got)) == sorted(want)
