@@ -54,17 +54,27 @@ def register(name: str, spec: Spec) -> None:
     REGISTRY[name] = spec
 
 
+#: Characters of pages whose rows a worker holds before it hands them on.
+CHUNK = 4 << 20
+
+
 def _table(pages: DataFrame, row: Callable[[int, str, H.Node, str], list[tuple]], schema: str, types: list[pa.DataType], references: Collection[str] | None = None) -> DataFrame:
     ready(pages.sparkSession)
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for page_id, url, text in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-                out += row(page_id, url or "", H.parse(text, references), text or "")
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+            columns = [batch.column(c) for c in ("page_id", "url", "html")]
+            out, held = [], 0
+            for k in range(batch.num_rows):
+                page_id, url, text = (c[k].as_py() for c in columns)
+                root = H.parse(text, references)
+                out += row(page_id, url or "", root, text or "")
+                H.release(root)
+                held += len(text or "")
+                if out and (held >= CHUNK or k + 1 == batch.num_rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names)
+                    out, held = [], 0
 
     return pages.select("page_id", "url", "html").mapInArrow(run, schema)
 

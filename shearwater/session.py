@@ -15,10 +15,11 @@ _OWN: dict[str, str] = {}
 
 
 def ready(spark: SparkSession) -> SparkSession:
-    """Let Python workers import this package."""
+    """Let Python workers import this package, and bound the bytes of a batch, so that long texts fit beside their work."""
     env = spark.sparkContext.environment
     if ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (ROOT, env.get("PYTHONPATH", "")) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
     return spark
 
 

@@ -1,3 +1,4 @@
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -185,3 +186,21 @@ def test_entry_works_without_the_corpus_operators():
     code = "import sys; sys.modules['shearwater.llm'] = None; import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(n.startswith('op') and n[2].isdigit() for n in q); print(len(q))"
     done = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, timeout=120)
     assert done.returncode == 0 and int(done.stdout.split()[-1]) >= 100, done.stderr[-500:]
+
+
+def test_pages_are_handed_on_in_chunks(monkeypatch):
+    class Pages:
+        sparkSession = None
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    monkeypatch.setattr(extract, "ready", lambda _: None)
+    monkeypatch.setattr(extract, "CHUNK", 1000)
+    html = [f"<h2>{k}</h2>" + "x" * 390 for k in range(20)] + [None]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(21), pa.int64()), pa.array(["u"] * 21), pa.array(html)], ["page_id", "url", "html"])
+    made = list(details.tidied(Pages(), "<h2>", 40)(iter([batch])))
+    assert max(b.num_rows for b in made) == 3 and [k for b in made for k in b.column("page_id").to_pylist()] == list(range(21))
