@@ -6,6 +6,8 @@ and bitmap bounds prune pairs inside a token's group; what is left is verified
 on the whole token sets.  A line goes when an earlier line of the corpus is
 similar (Jaccard >= 0.8), so it is enough to find *one* earlier match of each
 line, which keeps large groups of near copies from becoming all pairs.
+Postings are many and small, so tasks hand them on as blocks of columns, one
+for each of as many buckets of tokens as the corpus needs.
 """
 
 from __future__ import annotations
@@ -15,7 +17,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common, kernels, setjoin
@@ -28,29 +30,47 @@ SMALL = 400
 FEW = 8
 #: Lines of more tokens than this also have a signature of 256 bits.
 WIDE = 80
+#: Postings that a task holds at most before it hands them on, and the words of the corpus to a bucket of tokens.
+HELD, WORDS = 1 << 18, 600_000
+#: Columns of postings; each row with more than WIDE tokens also has four words of the wide signature in ``wide``.
+FIELDS = {"key": np.int64, "cls": np.int64, "sig": np.uint64, "doc": np.int64, "line": np.int32, "n": np.int32, "pos": np.int32, "wide": np.uint64}
 _LOWEST = -(1 << 63)
 
 
+def _place(doc, line):
+    """One long for a place: arrays or columns."""
+    if isinstance(doc, Column):
+        return doc.bitwiseXOR(F.shiftleft(line.cast("long"), 40))
+    return doc ^ (line.astype(np.int64) << 40)
+
+
 class Lines:
-    """Lines and words of one buffer of texts."""
+    """Lines and words of one buffer of texts; with ``places``, a Bloom filter, only of lines at these."""
 
-    def __init__(self, batch: pa.RecordBatch):
+    def __init__(self, batch: pa.RecordBatch, places: np.ndarray | None = None):
         buf, self.offsets = kernels.text_buffer(batch.column("text"))
-        low = kernels.LOWER[buf]
         n = int(self.offsets[-1])
-        starts, ends, _ = kernels.word_spans(low, self.offsets)
-        self.words = kernels.hash_spans(low, starts, ends)
-        newline = np.flatnonzero(low[:n] == 10)
+        newline = np.flatnonzero(buf[:n] == 10)
         filled = self.offsets[:-1][np.diff(self.offsets) > 0]
         begin = np.union1d(newline + 1, filled)
         # a newline that ends a text opens one more, empty line; those hold no words and are left out
         self.begin = begin[begin < n]
-        self.first = np.searchsorted(starts, np.append(self.begin, n))
-        self.count = np.diff(self.first)
         self.doc = np.searchsorted(self.offsets, self.begin, "right") - 1
         self.number = np.cumsum(np.ones(len(self.begin), np.int64)) - 1
         head = np.searchsorted(self.begin, self.offsets[:-1])
         self.number -= head[self.doc] if len(self.begin) else 0
+        if places is not None:
+            have = np.flatnonzero(common.in_bloom(places, _place(batch.column("doc").to_numpy()[self.doc], self.number)))
+            size = np.diff(np.append(self.begin, n))[have]
+            cuts = np.concatenate([[0], np.cumsum(size)])
+            n, some = int(cuts[-1]), np.zeros(int(cuts[-1]) + 8, np.uint8)
+            some[:n] = buf[np.repeat(self.begin[have] - cuts[:-1], size) + np.arange(n)]
+            buf, self.offsets, self.begin, self.doc, self.number = some, cuts, cuts[:-1], self.doc[have], self.number[have]
+        low = kernels.LOWER[buf]
+        starts, ends, _ = kernels.word_spans(low, self.offsets)
+        self.words = kernels.hash_spans(low, starts, ends)
+        self.first = np.searchsorted(starts, np.append(self.begin, n))
+        self.count = np.diff(self.first)
 
     def classes(self) -> np.ndarray:
         """A hash of each line's word sequence; 0 for lines without words."""
@@ -104,8 +124,8 @@ def _prepared(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LOWEST)).alias("doc"), F.xxhash64("text").alias("th"), "text")
 
 
-def listed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
-    """(cls, doc, th, line) of every line that holds words, and rarity classes of tokens."""
+def listed(docs: DataFrame) -> tuple[DataFrame, np.ndarray, int]:
+    """(cls, doc, th, line) of every line that holds words, rarity classes of tokens, and the number of words."""
 
     def rows(batch: pa.RecordBatch, counts: np.ndarray) -> pa.RecordBatch:
         x = Lines(batch)
@@ -115,61 +135,112 @@ def listed(docs: DataFrame) -> tuple[DataFrame, np.ndarray]:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in (x.classes()[full], doc, th, x.number[full].astype(np.int32))], ["cls", "doc", "th", "line"])
 
     lines, counts = setjoin.counted(docs, rows, "cls long, doc long, th long, line int", WIDTH, "lines")
-    return lines, common.rarity_classes(counts)
+    return lines, common.rarity_classes(counts), int(counts.sum())
 
 
-def _wide_signatures(keys: np.ndarray, n: np.ndarray) -> pa.Array:
-    """256 bits for each set of more than WIDE tokens, null for the others; each token flips one."""
-    wide: list[bytes | None] = [None] * len(n)
-    start, long_ = np.cumsum(n) - n, np.flatnonzero(n > WIDE)
+def _wide_signatures(keys: np.ndarray, n: np.ndarray, wide: int) -> np.ndarray:
+    """256 bits, as four words, for each set of more than ``wide`` tokens; each token flips one."""
+    start, long_ = np.cumsum(n) - n, np.flatnonzero(n > wide)
+    out = [np.zeros((0, 4), np.uint64)]
     for k in range(0, len(long_), 2048):
         part = long_[k : k + 2048]
         size = n[part]
         at = np.repeat(start[part] - (np.cumsum(size) - size), size) + np.arange(int(size.sum()))
         bit = np.repeat(np.arange(len(part)) * 256, size) + ((keys[at] >> np.uint64(6)).astype(np.int64) & 255)
-        bits = np.packbits(np.bincount(bit, minlength=256 * len(part)).astype(np.uint8).reshape(-1, 256) & 1, axis=1)
-        for i, row in zip(part.tolist(), bits):
-            wide[i] = row.tobytes()
-    return pa.array(wide, pa.binary())
+        out.append(np.packbits(np.bincount(bit, minlength=256 * len(part)).astype(np.uint8).reshape(-1, 256) & 1, axis=1).view(np.uint64))
+    return np.concatenate(out)
 
 
-def postings(docs: DataFrame, rarity: object, only: object | None = None) -> DataFrame:
-    """(key, cls, sig, doc, line, size, wide): prefix tokens of every line that its task meets for the first time.
+def _posted(keys: np.ndarray, n: np.ndarray, cls: np.ndarray, doc: np.ndarray, line: np.ndarray, wide: int, only: np.ndarray | None) -> dict[str, np.ndarray]:
+    """Columns of postings for lines with these token sets, end to end in ``keys``.
 
     Tokens in a bucket counted once can't match and aren't indexed.  ``sig``
     has a bit flipped by each token: two sets differ in at least as many
     tokens as their signatures differ in bits; long lines also have a wide
-    one.  ``doc`` and ``line`` are the place, ``size`` holds the number of
-    tokens and the token's position.  ``only`` is a Bloom filter of keys.
+    one.  ``doc`` and ``line`` are the place, ``n`` is the number of tokens and
+    ``pos`` the token's position.  ``only`` is a Bloom filter of keys.
     """
+    start = np.cumsum(n) - n
+    sig = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
+    pos = np.arange(len(keys)) - np.repeat(start, n)
+    take = (pos < np.repeat(setjoin.prefix(n), n)) & (keys >> np.uint64(56) > 0)
+    if only is not None:
+        take[take] = common.in_bloom(only, kernels.signed(keys[take]))
+    of = np.repeat(np.arange(len(n)), n)[take]
+    big = n > wide
+    long_ = (np.cumsum(big) - 1)[of[big[of]]]
+    return {"key": kernels.signed(keys[take]), "cls": cls[of], "sig": sig[of], "doc": doc[of], "line": line[of], "n": n[of], "pos": pos[take], "wide": _wide_signatures(keys, n, wide)[long_]}
+
+
+def _blocks(parts: Iterator[dict[str, np.ndarray]], buckets: int, wide: int) -> Iterator[pa.RecordBatch]:
+    """Postings as rows (bucket, a binary for each column): a token's bucket depends on its hash alone."""
+
+    def block(held: list[dict[str, np.ndarray]]) -> pa.RecordBatch:
+        g = {c: np.concatenate([h[c] for h in held]).astype(kind, copy=False) for c, kind in FIELDS.items()}
+        bucket = (kernels.mix(g["key"].view(np.uint64)) >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)
+        order = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.uint32), kind="stable")
+        bucket, big = bucket[order], g["n"] > wide
+        start = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1]]))
+        cuts = np.append(start, len(bucket))
+        wides = np.concatenate([[0], np.cumsum(big[order])])[cuts]
+        cols = []
+        for c, v in g.items():
+            v, at = (v[(np.cumsum(big) - 1)[order[big[order]]]], wides) if c == "wide" else (v[order], cuts)
+            ends = (at * v.itemsize * (4 if c == "wide" else 1)).astype(np.int32)
+            cols.append(pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(v).reshape(-1))]))
+        return pa.RecordBatch.from_arrays([pa.array(bucket[start].astype(np.int32)), *cols], ["bucket", *g])
+
+    held, rows = [], 0
+    for part in parts:
+        if len(part["key"]):
+            held.append(part)
+            rows += len(part["key"])
+        if rows >= HELD:
+            yield block(held)
+            held, rows = [], 0
+    if held:
+        yield block(held)
+
+
+BLOCKS = "bucket int, " + ", ".join(f"{c} binary" for c in FIELDS)
+
+
+def postings(docs: DataFrame, rarity: object, buckets: int) -> DataFrame:
+    """Blocks of postings: prefix tokens of every line that its task meets for the first time."""
+    wide = WIDE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        met = Met()
-        for batch in kernels.chunks(batches):
-            x = Lines(batch)
-            cls = x.classes()
-            doc, line = batch.column("doc").to_numpy()[x.doc], x.number
-            lines = met.news(cls, doc, line)
-            words = kernels.order_keys(x.words, rarity.value)
-            if only is not None and len(lines):  # lines without a wanted token end here
-                hits = np.concatenate([[0], np.cumsum(common.in_bloom(only.value, kernels.signed(words)))])
-                lines = lines[hits[x.first[lines + 1]] > hits[x.first[lines]]]
-            if not len(lines):
-                continue
-            keys, n = x.sets(words, lines)
-            start = np.cumsum(n) - n
-            sig = np.bitwise_xor.reduceat(np.uint64(1) << (keys & np.uint64(63)), start)
-            pos = np.arange(len(keys)) - np.repeat(start, n)
-            wides = _wide_signatures(keys, n)
-            take = (pos < np.repeat(setjoin.prefix(n), n)) & (keys >> np.uint64(56) > 0)
-            if only is not None:
-                take[take] = common.in_bloom(only.value, kernels.signed(keys[take]))
-            at = np.repeat(np.arange(len(lines)), n)[take]
-            of = lines[at]
-            cols = [kernels.signed(keys[take]), cls[of], kernels.signed(sig[at]), doc[of], line[of].astype(np.int32), n[at].astype(np.int64) << 32 | pos[take]]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, cols), wides.take(pa.array(at))], ["key", "cls", "sig", "doc", "line", "size", "wide"])
-
-    return docs.mapInArrow(run, "key long, cls long, sig long, doc long, line int, size long, wide binary")
+        def parts() -> Iterator[dict[str, np.ndarray]]:
+            met = Met()
+            for batch in kernels.chunks(batches):
+                x = Lines(batch)
+                cls = x.classes()
+                doc = batch.column("doc").to_numpy()[x.doc]
+                lines = met.news(cls, doc, x.number)
+                if len(lines):
+                    keys, n = x.sets(kernels.order_keys(x.words, rarity.value), lines)
+                    yield _posted(keys, n, cls[lines], doc[lines], x.number[lines], wide, None)
+
+        return _blocks(parts(), buckets, wide)
+
+    return docs.mapInArrow(run, BLOCKS)
+
+
+def postings_of(sets: DataFrame, only: object, buckets: int) -> DataFrame:
+    """The same blocks from (cls, keys, doc, line), for keys in a Bloom filter."""
+    wide = WIDE
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def parts() -> Iterator[dict[str, np.ndarray]]:
+            for batch in batches:
+                if batch.num_rows:
+                    cls, doc, line = (batch.column(c).to_numpy() for c in ("cls", "doc", "line"))
+                    n = batch.column("keys").value_lengths().to_numpy().astype(np.int64)
+                    yield _posted(batch.column("keys").flatten().to_numpy().view(np.uint64), n, cls, doc, line, wide, only.value)
+
+        return _blocks(parts(), buckets, wide)
+
+    return sets.select("cls", "keys", "doc", "line").mapInArrow(run, BLOCKS)
 
 
 def _bound(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -192,89 +263,103 @@ def _bound(g: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray) -> tuple[np.n
     return at[ok], flips[ok] / np.maximum(most[ok], 1)
 
 
-def _wide(column: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(row of each wide signature or -1, signatures of four words) from a column of bytes and nulls."""
-    have = np.array([x is not None for x in column], bool)
-    at = np.where(have, np.cumsum(have) - 1, -1)
-    return at, np.frombuffer(b"".join(column[have]), np.uint64).reshape(-1, 4)
+def _by_place(g: dict[str, np.ndarray]) -> np.ndarray:
+    """Order of rows by doc, line and, where these repeat, cls."""
+    bits = int(g["line"].max()).bit_length()
+    if (int(g["doc"].max()) - int(g["doc"].min())).bit_length() + bits < 63:
+        at = (g["doc"] - g["doc"].min()) << bits | g["line"]
+        order = np.argsort(at)
+        same = at[order[1:]] == at[order[:-1]]
+        if not (same & (g["cls"][order[1:]] != g["cls"][order[:-1]])).any():
+            return order
+    return np.lexsort((g["cls"], g["line"], g["doc"]))
 
 
 def candidates(posts: DataFrame, every: object | None = None) -> DataFrame:
-    """(a, b, more): line class a and an earlier class b it may be similar to.
+    """(a, b, more, ad, al, bd, bl): line class a and an earlier class b it may be similar to, with the places of both.
 
-    In a group a line with many candidates gets its earliest and
-    ``more``; with ``every``, a Bloom filter over classes, all candidates of
-    those classes and nothing else.
+    In a group a line with many candidates gets its earliest and ``more``; it
+    and the others are only named, in rows where a is b.  With ``every``, a
+    Bloom filter over classes: all candidates of those classes and nothing else.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in common.sorted_groups(batches, "key"):
-            start, size = setjoin.group_bounds(g["key"])
-            alone = np.repeat(size < 2, size)
-            if alone.all():
-                continue
-            g = {c: v[~alone] for c, v in g.items()}
-            # the same class from several tasks: its first place counts
-            order = np.lexsort((g["line"], g["doc"], g["cls"], g["key"]))
+    least_wide = WIDE
+
+    def run(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        raw: dict[str, list[bytes]] = {c: [] for c in FIELDS}
+        for batch in batches:
+            for c, v in raw.items():
+                v.extend(batch.column(c).to_pylist())
+        g = {c: np.frombuffer(b"".join(raw.pop(c)), kind) for c, kind in FIELDS.items()}
+        wide = g.pop("wide").reshape(-1, 4)
+        g["n"], g["pos"] = g["n"].astype(np.int64), g["pos"].astype(np.int64)
+        big = g["n"] > least_wide
+        g["at"] = np.where(big, np.cumsum(big) - 1, -1)
+        order = np.argsort(g["key"])
+        start, size = setjoin.group_bounds(g["key"][order])
+        able = np.add.reduceat(g["n"][order] >= 9 * g["pos"][order], start) > 0 if len(start) else size > 1
+        group = np.repeat(np.arange(len(size)), size)
+        kept = np.repeat((size > 1) & able, size)  # without a row that has a longest partner no pair is close
+        order, group = order[kept], group[kept]
+        if len(order):
             g = {c: v[order] for c, v in g.items()}
-            again = np.concatenate([[False], (g["key"][1:] == g["key"][:-1]) & (g["cls"][1:] == g["cls"][:-1])])
-            g = {c: v[~again] for c, v in g.items()}
-            g["n"], g["pos"], g["sig"] = g["size"] >> 32, g["size"] & 0xFFFFFFFF, g["sig"].view(np.uint64)
-            start, size = setjoin.group_bounds(g["key"])
-            place = np.empty(len(g["key"]), np.int64)
-            place[np.lexsort((g["cls"], g["line"], g["doc"]))] = np.arange(len(place))
+            g["group"] = group << 32 | g["n"]
+            order = _by_place(g)
+            g["place"] = np.empty(len(order), np.int64)
+            g["place"][order] = np.arange(len(order))
+            # the same class from several tasks: its first place counts
+            order = order[np.lexsort((g["cls"][order], g["group"][order]))]
+            again = np.concatenate([[False], (g["group"][order[1:]] == g["group"][order[:-1]]) & (g["cls"][order[1:]] == g["cls"][order[:-1]])])
+            g = {c: v[order[~again]] for c, v in g.items()}
+            g["wide"], place = wide, g["place"]
             wanted = None if every is None else common.in_bloom(every.value, g["cls"])
-            small = np.repeat((size > 1) & (size <= SMALL), size)
-            rows = np.flatnonzero(small)
-            g["at"], g["wide"] = _wide(g["wide"])
+            start, size = setjoin.group_bounds(g["group"] >> 32)
+            # rows of a group by size: the partners of each as the shorter one, up to the longest possible, come next
+            longest = np.maximum((5 * g["n"] - 9 * g["pos"]) // 4, 0)
+            left = np.searchsorted(g["group"], (g["group"] >> 32 << 32) + longest, "right") - np.arange(len(place))
+            small = np.repeat(size <= SMALL, size)
             later, earlier, odds = [], [], []
 
-            def put(i, j, part):
+            def put(i, j):
                 late = place[i] > place[j]
                 a, b = np.where(late, i, j), np.where(late, j, i)
-                keep = slice(None) if wanted is None else wanted[a]
-                later.append(a[keep])
-                earlier.append(b[keep])
-                odds.append(part[keep])
-
-            if len(rows):
-                for i, j in setjoin.close_pairs(size[(size > 1) & (size <= SMALL)]):
-                    i, j = rows[i], rows[j]
-                    ok, part = _bound(g, i, j)
-                    if len(ok):
-                        put(i[ok], j[ok], part)
-            for s, m in zip(start[size > SMALL].tolist(), size[size > SMALL].tolist()):
-                order = s + np.argsort(g["n"][s : s + m], kind="stable")
-                least = np.searchsorted(g["n"][order], setjoin.at_least(g["n"][order]))  # shorter ones can't be similar
-                for k in range(1, m):
-                    x, y = order[k], order[least[k] : k]
-                    if wanted is not None:
-                        y = y[np.where(place[y] < place[x], wanted[x], wanted[y])]
-                    ok, part = _bound(g, np.full(len(y), x), y)
-                    if len(ok):
-                        put(np.full(len(ok), x), y[ok], part)
+                if wanted is not None:
+                    a, b = a[wanted[a]], b[wanted[a]]
+                ok, part = _bound(g, a, b)
+                if len(ok):
+                    later.append(a[ok])
+                    earlier.append(b[ok])
+                    odds.append(part)
+
+            for i, j in setjoin.pairs_within(np.where(small, left, 0)):
+                put(i, j)
+            for k in np.flatnonzero(~small & (left > 1)).tolist():
+                put(np.full(left[k] - 1, k), np.arange(k + 1, k + left[k]))
             a, b, part = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (later, earlier, odds))
-            more = np.zeros(len(a), bool)
+            more, named = np.zeros(len(a), bool), np.zeros(0, np.int64)
             if every is None and len(a):
                 order = np.lexsort((place[b], part, a))
                 a, b, part = a[order], b[order], part[order]
                 start, size = setjoin.group_bounds(a)
                 many = np.repeat((size > FEW) & (part[start] <= 0.5), size)
+                named = np.union1d(a[many], b[many])
+                named = named[np.unique(g["cls"][named], return_index=True)[1]]
                 keep = ~many | (np.arange(len(a)) - np.repeat(start, size) < FEW)
                 a, b, more = a[keep], b[keep], many[keep]
             if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (g["cls"][a], g["cls"][b], more)], ["a", "b", "more"])
+                a, b, more = np.concatenate([a, named]), np.concatenate([b, named]), np.concatenate([more, np.zeros(len(named), bool)])
+                cols = [g["cls"][a], g["cls"][b], more, g["doc"][a], g["line"][a], g["doc"][b], g["line"][b]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "more", "ad", "al", "bd", "bl"])
 
-    return posts.repartition("key").sortWithinPartitions("key").mapInArrow(run, "a long, b long, more boolean")
+    return posts.groupBy("bucket").applyInArrow(run, "a long, b long, more boolean, ad long, al int, bd long, bl int")
 
 
-def sets_of(docs: DataFrame, wanted: object, rarity: object) -> DataFrame:
-    """(cls, keys): token sets of the line classes in a Bloom filter."""
+def sets_of(docs: DataFrame, wanted: object, places: object, rarity: object) -> DataFrame:
+    """(cls, keys): token sets of the line classes in a Bloom filter, read where another one has their places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         recent = common.Recent()
         for batch in kernels.chunks(batches):
-            x = Lines(batch)
+            x = Lines(batch, places.value)
             cls = x.classes()
             lines = np.flatnonzero(recent.fresh(np.where(common.in_bloom(wanted.value, cls), cls, 0)))
             if len(lines):
@@ -285,40 +370,41 @@ def sets_of(docs: DataFrame, wanted: object, rarity: object) -> DataFrame:
     return docs.mapInArrow(run, "cls long, keys array<long>").groupBy("cls").agg(F.first("keys").alias("keys"))
 
 
-def similar(docs: DataFrame, rarity: np.ndarray) -> DataFrame:
-    """(cls) of the line classes that have an earlier similar class."""
+def similar(docs: DataFrame, rarity: np.ndarray, words: int) -> DataFrame:
+    """(cls) of the line classes that have an earlier similar class, in a corpus of so many words."""
     sc = docs.sparkSession.sparkContext
     rare = sc.broadcast(rarity)
-
-    def sets(pairs: DataFrame, name: str) -> DataFrame:
-        wanted = sc.broadcast(common.bloom(pairs.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
-        return common.table(sets_of(docs, wanted, rare), name)
-
-    def check(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        return setjoin.verified(pairs.select("a", "b"), known).where(setjoin.enough()).select(F.col("a").alias("cls")).distinct()
-
-    pairs = common.table(candidates(postings(docs, rare)).groupBy("a", "b").agg(F.max("more").alias("more")), "candidates")
-    known = sets(pairs, "sets")
-    found = common.table(check(pairs, known), "similar")
-    # lines whose few tried candidates failed try all the others
+    buckets = 1 + words // WORDS
+
+    def check(pairs: DataFrame) -> DataFrame:
+        return setjoin.verified(pairs, known).where(setjoin.enough()).select(F.col("a").alias("cls")).distinct()
+
+    place = ("ad", "al", "bd", "bl")
+    tried = candidates(postings(docs, rare, buckets)).groupBy("a", "b").agg(F.max("more").alias("more"), *(F.first(c).alias(c) for c in place))
+    tried = common.table(tried, "candidates")
+    wanted = sc.broadcast(common.bloom(tried.select(F.explode(F.array("a", "b")).alias("cls")), "cls"))
+    at = F.array(*(_place(F.col(f"{x}d"), F.col(f"{x}l")) for x in "ab"))
+    places = sc.broadcast(common.bloom(tried.select(F.explode(at).alias("place")), "place"))
+    known = common.table(sets_of(docs, wanted, places, rare), "sets")
+    pairs = tried.where("a <> b").select("a", "b", "more")
+    found = common.table(check(pairs.select("a", "b")), "similar")
+    # lines whose few tried candidates failed try all the others, which are among those named
     left = common.table(pairs.where("more").select(F.col("a").alias("cls")).distinct().join(found, "cls", "left_anti"), "unsettled")
     if left.isEmpty():
         return found
     every = sc.broadcast(common.bloom(left, "cls"))
     asked = known.join(left, "cls", "left_semi")
     keys = sc.broadcast(common.bloom(asked.select(F.explode(F.slice("keys", F.lit(1), setjoin.prefix(F.size("keys")))).alias("key")), "key"))
-    rest = candidates(postings(docs, rare, keys), every).select("a", "b").distinct().join(left.withColumnRenamed("cls", "a"), "a", "left_semi")
+    named = tried.where("a = b").select(F.col("a").alias("cls"), F.col("ad").alias("doc"), F.col("al").alias("line"))
+    rest = candidates(postings_of(known.join(named, "cls"), keys, buckets), every).select("a", "b").distinct().join(left.withColumnRenamed("cls", "a"), "a", "left_semi")
     rest = common.table(rest.join(pairs, ["a", "b"], "left_anti"), "rest")
-    missing = common.table(rest.select(F.explode(F.array("a", "b")).alias("cls")).distinct().join(known.select("cls"), "cls", "left_anti"), "missing")
-    if not missing.isEmpty():
-        known = known.union(common.table(sets_of(docs, sc.broadcast(common.bloom(missing, "cls")), rare).join(missing, "cls", "left_semi"), "sets"))
-    return found.union(check(rest, known)).distinct()
+    return found.union(check(rest)).distinct()
 
 
 def removed_lines(docs: DataFrame) -> DataFrame:
     """(doc, th, gone array<int>): numbers (from 0) of the lines to remove in each text that loses any."""
-    lines, rarity = listed(docs)
-    late = similar(docs, rarity)
+    lines, rarity, words = listed(docs)
+    late = similar(docs, rarity, words)
     place = F.struct("doc", "line", "th")
     # only classes that lose a line: late ones, and those that are there more than once
     first = lines.groupBy("cls").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(late.withColumn("late", F.lit(True)), "cls", "left")

@@ -73,3 +73,39 @@ def test_wide_signatures(docs_of, monkeypatch):
     monkeypatch.setattr(line_dedup, "WIDE", 3)
     rows = corpus(4)
     assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(rows)).collect()} == brute(rows)
+
+
+def test_many_buckets_wide_signatures_and_ids_of_any_size(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "WORDS", 40)
+    monkeypatch.setattr(line_dedup, "WIDE", 3)
+    rows = [({0: -(1 << 62), 1: 1 << 62}.get(k, d), t) for k, (d, t) in enumerate(corpus(5))]
+    assert {r.doc_id: r.text for r in line_dedup.dedup(docs_of(rows).repartition(3)).collect()} == brute(rows)
+
+
+def test_documents_are_read_four_times_even_with_a_second_round(docs_of, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FEW", 1)
+    rng = random.Random(3)
+    base, often = [f"b{i}" for i in range(40)], [f"often{i}" for i in range(20)]
+    lines = [" ".join(base[:-k]) for k in (1, 2, 3)]  # nothing else is similar to them, but 35 of 45 words look so by chance
+    lines += [" ".join([*rng.sample(base, 35), *rng.sample(often, 5)]) for _ in range(400)]
+    rows = [*enumerate(lines), *((k, " ".join(often)) for k in range(1000, 1600))]
+    docs = docs_of(rows).coalesce(2)
+    seen = docs.sparkSession.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    got = line_dedup.dedup(docs.mapInArrow(read, docs.schema)).collect()
+    assert {r.doc_id: r.text for r in got} == brute(rows)
+    assert 0 < seen.value <= 4 * len(rows)
+
+
+def test_postings_travel_as_one_row_a_bucket(docs_of):
+    rows = corpus(3)
+    docs = line_dedup._prepared(docs_of(rows).coalesce(1))
+    _, rarity, words = line_dedup.listed(docs)
+    posts = line_dedup.postings(docs, docs.sparkSession.sparkContext.broadcast(rarity), 7).collect()
+    assert words == sum(len(t.split()) for _, t in rows if t) and len(posts) == len({r.bucket for r in posts}) == 7
+    assert all(len(r.cls) == len(r.key) == 2 * len(r.n) for r in posts) and sum(len(r.key) for r in posts) > 8 * 500
